@@ -212,7 +212,8 @@ def rule_rows(spark, variants: list | None = None) -> DataFrame:
 def lookup_long(docs: DataFrame, rule_table: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`lookup` against a rule table: (doc_id, target, key, value) per target with a hit.
 
-    Keys repeat from document to document, so the rules are matched with the distinct keys
+    The documents are read twice, so they should be a stored table. Keys repeat from document
+    to document, so the rules are matched with the distinct keys
     only. "Contains" is an equi join too: a source can only be contained in a key as one of
     the key's substrings of a length that some source has.
     """

@@ -247,16 +247,19 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FACTS + """
-SELECT doc_id, number AS document_no, strftime(d, '%Y-%m-%d') AS issue_date,
-       total::DOUBLE AS grand_total, CASE WHEN split THEN sub::DOUBLE END AS subtotal,
-       CASE WHEN split THEN tax::DOUBLE END AS tax, currency,
-       CASE WHEN NOT later_empty AND NOT is_po THEN strftime(later, '%Y-%m-%d') END AS due_date,
-       CASE WHEN later_empty THEN (CASE WHEN is_po THEN 'delivery_date' ELSE 'due_date' END)
+SELECT doc_id, CASE WHEN has_cdm THEN number END AS document_no,
+       CASE WHEN has_cdm THEN strftime(d, '%Y-%m-%d') END AS issue_date,
+       CASE WHEN has_cdm THEN total::DOUBLE END AS grand_total,
+       CASE WHEN has_cdm AND split THEN sub::DOUBLE END AS subtotal,
+       CASE WHEN has_cdm AND split THEN tax::DOUBLE END AS tax,
+       CASE WHEN has_cdm THEN currency END AS currency,
+       CASE WHEN has_cdm AND NOT later_empty AND NOT is_po THEN strftime(later, '%Y-%m-%d') END AS due_date,
+       CASE WHEN has_cdm AND later_empty THEN (CASE WHEN is_po THEN 'delivery_date' ELSE 'due_date' END)
             ELSE '' END AS null_targets
-FROM g WHERE has_cdm
+FROM g
 """)
 def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mapping.with_mapped_fields(_entries(spark, sf_dir).filter(F.col("doc_type").isNotNull()))
+    out = mapping.with_mapped_fields(_entries(spark, sf_dir))
     names = ("document_no", "issue_date", "grand_total", "subtotal", "tax", "currency", "due_date")
     return out.select("doc_id", *[F.col(f"t_{n}").alias(n) for n in names],
                       F.array_join("null_targets", ",").alias("null_targets"))
@@ -275,28 +278,28 @@ VENDOR_LAYER = {
 
 @query(FACTS + """
 SELECT doc_id,
-       CASE WHEN mine THEN replace(number, 'INV', 'SM') ELSE number END AS document_no,
-       CASE WHEN mine AND currency = 'JPY' THEN 'USD' ELSE currency END AS currency,
-       CASE WHEN mine THEN repeat(priority || '/', 20) END AS payment_terms
-FROM (SELECT *, (NOT is_po AND c % 6 = 1) AS mine FROM g WHERE has_cdm)
+       CASE WHEN NOT has_cdm THEN NULL WHEN mine THEN replace(number, 'INV', 'SM') ELSE number END AS document_no,
+       CASE WHEN NOT has_cdm THEN NULL WHEN mine AND currency = 'JPY' THEN 'USD' ELSE currency END AS currency,
+       CASE WHEN has_cdm AND mine THEN repeat(priority || '/', 20) END AS payment_terms
+FROM (SELECT *, (NOT is_po AND c % 6 = 1) AS mine FROM g)
 """)
 def layered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _entries(spark, sf_dir).filter(F.col("doc_type").isNotNull())
-    out = mapping.with_mapped_fields(docs, mapping.rule_variants(VENDOR_LAYER))
+    out = mapping.with_mapped_fields(_entries(spark, sf_dir), mapping.rule_variants(VENDOR_LAYER))
     return out.select("doc_id", *[
         F.col(f"t_{n}").alias(n) for n in ("document_no", "currency", "payment_terms")])
 
 
 @query(FACTS + """
-SELECT doc_id, '備考=' || left(repeat(priority || '/', 20), 100) || ':key_value_pairs'
-       || (CASE WHEN is_po THEN '' ELSE ';担当者=部署　' || priority || ':key_value_pairs' END) AS unmapped
-FROM g WHERE has_cdm
+SELECT doc_id, CASE WHEN has_cdm THEN '備考=' || left(repeat(priority || '/', 20), 100) || ':key_value_pairs'
+       || (CASE WHEN is_po THEN '' ELSE ';担当者=部署　' || priority || ':key_value_pairs' END) END AS unmapped
+FROM g
 """)
 def unmapped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mapping.with_keys(_entries(spark, sf_dir).filter(F.col("doc_type").isNotNull()))
+    docs = mapping.with_keys(_entries(spark, sf_dir))
     rows = F.transform(mapping.unmapped_fields(), lambda u: F.concat(
         u["field"], F.lit("="), u["value"], F.lit(":"), u["source"]))
-    return docs.select("doc_id", F.array_join(rows, ";").alias("unmapped"))
+    listed = F.when(F.col("doc_type").isNotNull(), F.array_join(rows, ";"))
+    return docs.select("doc_id", listed.alias("unmapped"))
 
 
 MATCHES = FACTS + """, h AS (
@@ -318,13 +321,13 @@ MATCHES = FACTS + """, h AS (
 
 @query(MATCHES + "SELECT doc_id, target, key FROM h")
 def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _entries(spark, sf_dir).filter(F.col("doc_type").isNotNull())
+    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "entries"))
     return mapping.lookup_long(docs, mapping.rule_rows(spark)).select("doc_id", "target", "key")
 
 
 @query(MATCHES + "SELECT doc_type, target, key, count(*) AS documents FROM h GROUP BY ALL")
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _entries(spark, sf_dir).filter(F.col("doc_type").isNotNull())
+    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "entries"))
     return monitor.rule_usage(docs, mapping.lookup_long(docs, mapping.rule_rows(spark)))
 
 
@@ -343,26 +346,30 @@ SELECT doc_id, 1, CASE WHEN h < 2 THEN '送料' END, NULL, NULL,
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.with_lines(extract.with_extraction(render.line_docs(spark, sf_dir)).withColumn(
         "vendor", F.lit(None).cast("string")))
-    return out.select("doc_id", F.posexplode("lines").alias("line", "l")).select(
+    return out.select("doc_id", F.posexplode_outer("lines").alias("line", "l")).select(
         "doc_id", "line", "l.description", "l.qty", "l.unit_price", "l.amount", "l.tax_rate",
         "l.delivery_date", F.try_element_at("l.unparsed", F.lit("qty")).alias("unread_qty"))
 
 
 @query(FACTS + """
-SELECT doc_id, t_total::DOUBLE AS grand_total, CASE WHEN split AND style <> 1 THEN sub::DOUBLE END AS subtotal,
-       CASE WHEN split AND style <> 1 THEN tax::DOUBLE END AS tax
-FROM f WHERE NOT broken
+SELECT doc_id, CASE WHEN NOT broken THEN t_total::DOUBLE END AS grand_total,
+       CASE WHEN NOT broken AND split AND style <> 1 THEN sub::DOUBLE END AS subtotal,
+       CASE WHEN NOT broken AND split AND style <> 1 THEN tax::DOUBLE END AS tax
+FROM f
 """)
 def extract_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = extract.with_extraction(render.payload_docs(spark, sf_dir)).filter("extracted")
+    docs = extract.with_extraction(render.payload_docs(spark, sf_dir))
     return lines.with_totals(docs).select("doc_id", "totals.*")
 
 
 @query(FACTS + """
-SELECT doc_id, t_total::DOUBLE AS grand_total, t_sub AS subtotal, t_tax AS tax FROM g WHERE has_cdm
+SELECT doc_id, CASE WHEN NOT broken THEN t_total::DOUBLE END AS grand_total,
+       CASE WHEN broken THEN NULL WHEN split OR has_cdm THEN t_sub END AS subtotal,
+       CASE WHEN broken THEN NULL WHEN split OR has_cdm THEN t_tax END AS tax
+FROM g
 """)
 def post_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _entries(spark, sf_dir).filter(F.col("doc_type").isNotNull())
+    docs = _entries(spark, sf_dir)
     return lines.with_post_compute(lines.with_totals(docs)).select("doc_id", "totals.*")
 
 

@@ -46,6 +46,7 @@ WITH f AS (
     CASE WHEN currency = 'YEN1' THEN 'schema_pattern:doc.currency' END,
     CASE WHEN later_empty AND NOT is_po THEN 'schema_type:doc.due_date' END,
     CASE WHEN later_empty AND is_po THEN 'schema_type:doc.delivery_date' END,
+    CASE WHEN line_bad THEN 'schema_type:lines.1.unit_price' END,
     CASE WHEN line_bad THEN 'schema_type:lines.1.amount' END,
     CASE WHEN abs(t_sub + t_tax - t_total) > 1 THEN 'amount_mismatch:totals.grand_total' END,
     CASE WHEN abs(line1 + (CASE WHEN line_bad THEN 0 ELSE line2 END) - t_sub) > 10

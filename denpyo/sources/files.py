@@ -17,6 +17,18 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/denpyo/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write a stage to the shared folder and read it back.
+
+    Needed between expensive per-row stages and joins, filters or grouping on their results:
+    the optimizer pushes such conditions below the stages and would evaluate them once more
+    for every condition.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, size, last_modified) of all files below a path; contents are not read."""
     return (
