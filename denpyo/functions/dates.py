@@ -69,19 +69,22 @@ def spark_layout(fmt: str) -> str | None:
 
 def to_date_text(c: Column, fmt: str | None = None) -> Column:
     """ISO date text; '' gives null, an unreadable value is returned unchanged."""
-    t = utrim(c)
-    if fmt == "%Y-%m-%d":
-        # Whatever this format reads, the substring search reads to the same date.
-        parsed = japanese_date(t)
-    elif fmt:
-        layout = spark_layout(fmt)
-        exact = F.date_format(F.try_to_date(t, layout), "yyyy-MM-dd") if layout else F.lit(None)
-        parsed = F.coalesce(exact, japanese_date(t))
-    else:
-        tries = [F.date_format(F.try_to_timestamp(t, F.lit(p)), "yyyy-MM-dd") for p in FREE_LAYOUTS]
+
+    def read(t: Column) -> Column:
+        if fmt == "%Y-%m-%d":
+            # Whatever this format reads, the substring search reads to the same date.
+            return japanese_date(t)
+        if fmt:
+            layout = spark_layout(fmt)
+            if layout is None:
+                return japanese_date(t)
+            exact = F.date_format(F.try_to_date(t, layout), "yyyy-MM-dd")
+            return F.coalesce(exact, japanese_date(t))
         # Era and year-first notation is unambiguous, so it goes before the loose layouts.
-        parsed = F.coalesce(japanese_date(t), *tries)
-    return F.when(c != "", F.coalesce(parsed, t))
+        tries = [F.date_format(F.try_to_timestamp(t, F.lit(p)), "yyyy-MM-dd") for p in FREE_LAYOUTS]
+        return F.coalesce(japanese_date(t), *tries)
+
+    return let(utrim(c), lambda t: F.when(c != "", F.coalesce(read(t), t)))
 
 
 def iso_date(c: Column) -> Column:

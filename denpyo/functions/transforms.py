@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import dates
 from .text import (
-    fold_alnum, fold_digits, fold_width, num, plain_number_text, squeeze_spaces, truthy, utrim, widen_alnum,
+    fold_alnum, fold_digits, fold_width, let, num, plain_number_text, squeeze_spaces, truthy, utrim, widen_alnum,
 )
 
 log = logging.getLogger(__name__)
@@ -148,15 +148,16 @@ def _regex(v: Typed, p: str | None) -> Typed:
         log.warning("regex %r skipped: %s", p, exc)
         return v
     pattern = "(?U)" + p.replace("(?P<", "(?<")
-    c = v.text()
-    return Typed(F.when(c.rlike(pattern), F.regexp_extract(c, pattern, min(groups, 1))).otherwise(c))
+    return Typed(let(v.text(), lambda c: F.when(
+        c.rlike(pattern), F.regexp_extract(c, pattern, min(groups, 1))).otherwise(c)))
 
 
 @_step("default")
 def _default(v: Typed, p: str | None) -> Typed:
     if v.kind == "strings":
         return v
-    return Typed(F.when(truthy(v.col, v.kind), v.text()).otherwise(F.lit(p)))
+    return Typed(let(v.col, lambda c: F.when(
+        truthy(c, v.kind), Typed(c, v.kind).text()).otherwise(F.lit(p))))
 
 
 @_step("split")
@@ -185,9 +186,12 @@ def _arithmetic(v: Typed, fn: Callable[[Column], Column]) -> Typed:
         return Typed(fn(v.col), "double")
     if v.kind == "strings":
         return v
+
     # Text that is no number stays as it is, so the result has to stay text as well.
-    number = num(v.col)
-    return Typed(F.when(number.isNull(), v.col).otherwise(plain_number_text(fn(number))))
+    def on_text(c: Column) -> Column:
+        return let(num(c), lambda n: F.when(n.isNull(), c).otherwise(let(fn(n), plain_number_text)))
+
+    return Typed(let(v.col, on_text))
 
 
 @_step("round")
