@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from denpyo.plans import catalog
+from denpyo.session import configure
 
 HEADLINE = [
     "normalize_invoices", "normalize_text_documents", "classify_vendor", "extract_tables",
@@ -22,18 +23,14 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("denpyo-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
-        # Call sites are only recorded for error messages; plans of many columns build faster.
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    spark = configure(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     # Start the JVM's readers and the code generator before the first timing.
