@@ -111,3 +111,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def sql_text(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fence(c: Column) -> Column:
+    """The same value, from below which no filter is pushed.
+
+    A filter on a stage's result would otherwise be moved under the stage, with the whole
+    expression copied into it once per reference, stage after stage.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import fold_alnum, squeeze_spaces, substrings, utrim
+from ..functions.text import fence, fold_alnum, squeeze_spaces, substrings, utrim
 
 
 def normalize_for_matching(c: Column) -> Column:
@@ -125,8 +125,8 @@ def with_classification(df: DataFrame, text: str = "raw_text",
             for k, words in rules.TYPE_KEYWORDS.items()
         })
         .withColumns({
-            "doc_type": type_by_score({k: F.col(f"_score_{k}") for k in rules.TYPE_KEYWORDS}),
-            "vendor": vendor(t, vendors),
+            "doc_type": fence(type_by_score({k: F.col(f"_score_{k}") for k in rules.TYPE_KEYWORDS})),
+            "vendor": fence(vendor(t, vendors)),
         })
         .withColumn("confidence", confidence(F.col("doc_type"), F.col("vendor"), t))
         .drop("_lower", "_norm", *[f"_score_{k}" for k in rules.TYPE_KEYWORDS])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import fence, let
 
 # A field is a map, not a struct, because a key that is present with null beats later keys.
 PAYLOAD_SCHEMA = """
@@ -203,12 +203,13 @@ def with_extraction(df: DataFrame, payload: str = "payload") -> DataFrame:
         })
         .withColumn("_pair_entries", _last_wins(F.col("_pair_entries")))
         .withColumns({
-            "entries": merge_entries(F.col("_field_entries"), F.col("_pair_entries")),
+            "entries": fence(merge_entries(F.col("_field_entries"), F.col("_pair_entries"))),
             "conf": F.coalesce(field_confidence(F.col("_fields")),
                                F.create_map().cast("map<string,double>")),
-            "tables": F.coalesce(extract_tables(result["tables"]), F.array().cast(_NO_TABLES)),
-            "raw_text": F.coalesce(result["content"], F.lit("")),
-            "extracted": result.isNotNull() & F.col("_p._corrupt").isNull(),
+            "tables": fence(
+                F.coalesce(extract_tables(result["tables"]), F.array().cast(_NO_TABLES))),
+            "raw_text": fence(F.coalesce(result["content"], F.lit(""))),
+            "extracted": fence(result.isNotNull() & F.col("_p._corrupt").isNull()),
         })
         .drop("_p", "_fields", "_kv", "_field_entries", "_pair_entries")
     )

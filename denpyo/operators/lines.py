@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import let, money, normalize_key, normalize_key_text
+from ..functions.text import fence, let, money, normalize_key, normalize_key_text
 from .mapping import _by_variant, lookup, rule_variants, with_keys
 
 NUMBER_FIELDS = ("qty", "unit_price", "amount")
@@ -88,7 +88,7 @@ def with_lines(df: DataFrame, variants: list | None = None) -> DataFrame:
     built = _by_variant(
         [(d, v, r.get("lines")) for d, v, r in variants],
         lambda rule: line_items(F.col("tables"), rule) if rule else None, none)
-    return df.withColumn("lines", F.coalesce(built, none))
+    return df.withColumn("lines", fence(F.coalesce(built, none)))
 
 
 def with_totals(df: DataFrame) -> DataFrame:

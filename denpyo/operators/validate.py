@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.dates import iso_date
-from ..functions.text import truthy
+from ..functions.text import fence, truthy
 from .mapping import lookup, rule_variants, with_keys
 
 ERRORS = "array<struct<code:string,path:string,message:string>>"
@@ -307,7 +307,7 @@ def with_validation(df: DataFrame, v: dict | None = None, first_only: bool = Fal
         .when(F.col("doc_type").isNull(), F.array(error("classify_failed", "doc", "no document type")))
     )
     return (
-        staged.withColumn("errors", F.coalesce(stopped, coded))
+        staged.withColumn("errors", fence(F.coalesce(stopped, coded)))
         .withColumn("is_valid", F.size("errors") == 0)
         .drop("_schema", "_amounts", "_dates", "_required", "_constraints", "_formats")
     )
