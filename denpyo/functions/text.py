@@ -67,9 +67,9 @@ def normalize_key_text(s: str) -> str:
 
 def num(c: Column) -> Column:
     """Number or null, accepting exactly plain and scientific decimal notation."""
-    t = fold_digits(utrim(c))
     shape = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    return F.when(t.rlike(shape), t.try_cast("double"))
+    return let(
+        fold_digits(utrim(c)), lambda t: F.when(t.rlike(shape), t.try_cast("double")))
 
 
 def plain_number_text(c: Column) -> Column:

@@ -177,7 +177,8 @@ def _join(v: Typed, p: str | None) -> Typed:
 def _to_decimal(v: Typed, p: str | None) -> Typed:
     places = int(p) if p else 2
     digits = F.regexp_replace(fold_digits(strip_currency(v.text())), r"[^\d.-]", "")
-    value = F.coalesce(num(digits), F.when(v.col.isNotNull(), F.lit(0.0)))
+    # Only digits, points and signs are left, on which the plain cast is exact.
+    value = F.coalesce(digits.try_cast("double"), F.lit(0.0))
     return Typed(F.bround(value, places) if places >= 0 else value, "double")
 
 
