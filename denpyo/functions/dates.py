@@ -15,11 +15,15 @@ _DIRECTIVES = {
     "%B": "MMMM", "%b": "MMM", "%%": "%",
 }
 
-# Layouts tried, in order, when no format is given.
-FREE_LAYOUTS = (
-    "yyyy.M.d", "yyyyMMdd", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy",
-    "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s",
-)
+# Layouts tried, in order, when no format is given, each with the shape a text must have. A
+# failed parse costs an exception, so the parser only sees texts of its shape.
+FREE_LAYOUTS = {
+    "yyyy.M.d": r"^\d+\.\d+\.\d+$", "yyyyMMdd": r"^\d{8}$", "M/d/yyyy": r"^\d+/\d+/\d+$",
+    "d MMM yyyy": r"^\d+ \p{L}{3} \d+$", "d MMMM yyyy": r"^\d+ \p{L}+ \d+$",
+    "MMM d, yyyy": r"^\p{L}{3} \d+, \d+$", "MMMM d, yyyy": r"^\p{L}+ \d+, \d+$",
+    "MMM d yyyy": r"^\p{L}{3} \d+ \d+$", "MMMM d yyyy": r"^\p{L}+ \d+ \d+$",
+    "yyyy-M-d H:m:s": r"^\d+-\d+-\d+ \d+:\d+:\d+$", "yyyy-M-d'T'H:m:s": r"^\d+-\d+-\d+T\d+:\d+:\d+$",
+}
 
 
 def japanese_date(c: Column, strict: bool = False) -> Column:
@@ -81,7 +85,10 @@ def to_date_text(c: Column, fmt: str | None = None) -> Column:
             exact = F.date_format(F.try_to_date(t, layout), "yyyy-MM-dd")
             return F.coalesce(exact, japanese_date(t))
         # Era and year-first notation is unambiguous, so it goes before the loose layouts.
-        tries = [F.date_format(F.try_to_timestamp(t, F.lit(p)), "yyyy-MM-dd") for p in FREE_LAYOUTS]
+        tries = [
+            F.when(t.rlike(shape), F.date_format(F.try_to_timestamp(t, F.lit(p)), "yyyy-MM-dd"))
+            for p, shape in FREE_LAYOUTS.items()
+        ]
         return F.coalesce(japanese_date(t), *tries)
 
     return let(utrim(c), lambda t: F.when(c != "", F.coalesce(read(t), t)))

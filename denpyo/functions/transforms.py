@@ -11,8 +11,10 @@ import logging
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import dates
@@ -138,16 +140,23 @@ def _replace(v: Typed, p: str | None) -> Typed:
     return Typed(F.replace(v.text(), F.lit(old), F.lit(new)))
 
 
+@lru_cache(maxsize=None)
+def _try_pattern(pattern: str) -> None:
+    """Raise now what the pattern would raise in a job: the two regex dialects differ."""
+    SparkSession.active().sql("SELECT 1").select(F.lit("").rlike(pattern)).collect()
+
+
 @_step("regex")
 def _regex(v: Typed, p: str | None) -> Typed:
     if not p:
         return v
+    pattern = "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", p.replace("(?P<", "(?<"))
     try:
         groups = re.compile(p).groups
-    except re.error as exc:
+        _try_pattern(pattern)
+    except (re.error, PySparkException) as exc:
         log.warning("regex %r skipped: %s", p, exc)
         return v
-    pattern = "(?U)" + p.replace("(?P<", "(?<")
     return Typed(let(v.text(), lambda c: F.when(
         c.rlike(pattern), F.regexp_extract(c, pattern, min(groups, 1))).otherwise(c)))
 

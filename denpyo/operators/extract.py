@@ -2,22 +2,26 @@
 
 A document is one row before and after, and every step is an expression over its own arrays
 and maps, so nothing is shuffled. Arrays keep the order of the payload, which later decides
-which key wins.
+which key wins. Only nested values, which may be of any depth, are unfolded by a small Arrow
+function, and only payloads that name such a value are handed to it.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fence, let
+from ..functions.text import fence, let, plain_number_text
 
 # A field is a map, not a struct, because a key that is present with null beats later keys.
 PAYLOAD_SCHEMA = """
     analyzeResult STRUCT<
-        documents: ARRAY<STRUCT<fields: MAP<STRING, MAP<STRING, STRING>>>>,
-        tables: ARRAY<STRUCT<rowCount: INT, columnCount: INT,
-                             cells: ARRAY<STRUCT<rowIndex: INT, columnIndex: INT, content: STRING>>>>,
+        documents: ARRAY<STRUCT<fields: MAP<STRING, {field}>>>,
+        tables: ARRAY<STRUCT<rowCount: DOUBLE, columnCount: DOUBLE,
+                             cells: ARRAY<STRUCT<rowIndex: DOUBLE, columnIndex: DOUBLE, content: STRING>>>>,
         keyValuePairs: ARRAY<STRUCT<key: STRUCT<content: STRING>, value: STRUCT<content: STRING>>>,
         content: STRING>,
     _corrupt STRING
@@ -25,58 +29,114 @@ PAYLOAD_SCHEMA = """
 
 # Typed variants of a field, the first one present decides.
 SCALAR_VARIANTS = ["content", "valueString", "valueNumber", "valueDate"]
-NESTED_DEPTH = 2
+NESTED_VARIANTS = ["valueObject", "valueArray"]
 
-_FIELD_MAP = "map<string,map<string,string>>"
+_FIELD = "MAP<STRING, STRING>"
 
 
-def parse_payload(c: Column) -> Column:
-    """Payload struct; `_corrupt` holds the text where it is no such JSON."""
-    return F.from_json(
-        c, PAYLOAD_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    )
+def _parsed(c: Column, field: str) -> Column:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return F.from_json(c, PAYLOAD_SCHEMA.format(field=field), options)
 
 
-def _object_text(c: Column, depth: int) -> Column:
-    """Fields of a JSON object as a JSON object of their values."""
-    entries = F.map_entries(F.from_json(c, _FIELD_MAP))
-    pairs = F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), typed_value(e["value"], depth).alias("value")))
-    # null marks both "no variant present" and "present but null", and both are left out.
-    return F.to_json(F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull())))
+def parse_payload(c: Column) -> Column:
+    """Payload struct; `_corrupt` holds the text where it is no such JSON.
+
+    A field that is no object makes the whole text unfit for the schema. Such texts are read
+    again with every field as text of its own, and the field is left out.
+    """
+    def again(slow: Column) -> Column:
+        result = slow["analyzeResult"]
+        documents = F.transform(result["documents"], lambda d: F.struct(F.map_filter(
+            F.transform_values(d["fields"], lambda k, v: F.from_json(v, _FIELD)),
+            lambda k, v: v.isNotNull()).alias("fields")))
+        return F.struct(result.withField("documents", documents).alias("analyzeResult"), slow["_corrupt"].alias("_corrupt"))
+
+    return let(_parsed(c, _FIELD), lambda fast: F.when(fast["_corrupt"].isNull(), fast).otherwise(
+        let(_parsed(c, "STRING"), again)))
+
+
+def _named_value(field) -> bool:
+    return isinstance(field, dict) and any(v in field for v in SCALAR_VARIANTS + NESTED_VARIANTS)
+
+
+def _plain(field: dict):
+    """Value of a field of a parsed payload, objects and arrays unfolded all the way down."""
+    for variant in SCALAR_VARIANTS:
+        if variant in field:
+            return field[variant]
+    if "valueObject" in field:
+        return _object(field["valueObject"])
+    items = field["valueArray"]
+    return [_object(x) if isinstance(x, dict) else x for x in items] if isinstance(items, list) else items
+
+
+def _object(fields) -> dict:
+    if not isinstance(fields, dict):
+        return {}
+    return {name: _plain(field) for name, field in fields.items() if _named_value(field)}
+
+
+def _nested_values(payload: str | None) -> dict[str, str] | None:
+    """Field -> JSON text of the first document's fields whose value is nested."""
+    try:
+        fields = json.loads(payload)["analyzeResult"]["documents"][0]["fields"]
+        out = {}
+        for name, field in fields.items():
+            if _named_value(field) and not any(v in field for v in SCALAR_VARIANTS):
+                value = _plain(field)
+                if value is not None:
+                    out[name] = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        return out
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
+        return None  # no such payload: parse_payload says so
+
+
+def nested_values(payload: Column) -> Column:
+    """Field -> JSON text of its nested value; null for payloads that name none."""
+    @F.pandas_udf("map<string,string>")
+    def unfold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _nested_values(t))
+
+    named = [payload.contains(f'"{v}"') for v in NESTED_VARIANTS]
+    return unfold(F.when(named[0] | named[1], payload))
+
+
+def typed_value(field: Column, nested: Column) -> Column:
+    """Value of one field; objects and arrays as JSON text, numbers without an exponent."""
+    value = nested
+    for variant in reversed(SCALAR_VARIANTS):
+        text = field[variant]
+        if variant == "valueNumber":
+            # The JSON reader writes large and small numbers with an exponent.
+            text = let(text, lambda t: F.when(
+                t.rlike("[eE]"), F.coalesce(plain_number_text(t.try_cast("double")), t)).otherwise(t))
+        value = F.when(F.map_contains_key(field, variant), text).otherwise(value)
+    return value
 
 
-def _array_text(c: Column, depth: int) -> Column:
-    items = F.transform(
-        F.from_json(c, "array<string>"),
-        lambda x: F.when(x.startswith("{"), _object_text(x, depth)).otherwise(x),
-    )
-    return F.when(c.contains("{"), F.to_json(items)).otherwise(c)
+def _last_wins(entries: Column) -> Column:
+    """One entry per key at the place of its first, with the value of its last occurrence."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    merged = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    return F.when(F.size(keys) == F.size(entries), entries).otherwise(merged)
 
 
-def typed_value(field: Column, depth: int = NESTED_DEPTH) -> Column:
-    """Value of one field; objects and arrays as JSON text, unfolded `depth` levels down."""
-    value = F.lit(None).cast("string")
-    if depth > 0:
-        for variant, build in (("valueArray", _array_text), ("valueObject", _object_text)):
-            value = F.when(
-                F.map_contains_key(field, variant), build(field[variant], depth - 1)
-            ).otherwise(value)
-    for variant in reversed(SCALAR_VARIANTS):
-        value = F.when(F.map_contains_key(field, variant), field[variant]).otherwise(value)
-    return value
+def last_keys(pairs: Column) -> Column:
+    """The map with one entry per key, the last of each; maps without repeats as they are."""
+    return F.when(
+        F.size(F.array_distinct(F.map_keys(pairs))) == F.size(F.map_keys(pairs)), pairs,
+    ).otherwise(F.map_from_entries(_last_wins(F.map_entries(pairs))))
 
 
-def field_entries(fields: Column) -> Column:
+def field_entries(fields: Column, nested: Column) -> Column:
     """(key, value) in payload order for every field that has one of the variants."""
-    known = SCALAR_VARIANTS + ["valueObject", "valueArray"]
-
-    def has_value(e: Column) -> Column:
-        return F.arrays_overlap(F.map_keys(e["value"]), F.array(*[F.lit(v) for v in known]))
+    known = F.array(*[F.lit(v) for v in SCALAR_VARIANTS + NESTED_VARIANTS])
 
     return F.transform(
-        F.filter(F.map_entries(fields), has_value),
-        lambda e: F.struct(e["key"].alias("key"), typed_value(e["value"]).alias("value")),
+        F.filter(F.map_entries(fields), lambda e: F.arrays_overlap(F.map_keys(e["value"]), known)),
+        lambda e: F.struct(
+            e["key"].alias("key"), typed_value(e["value"], F.try_element_at(nested, e["key"])).alias("value")),
     )
 
 
@@ -86,13 +146,6 @@ def field_confidence(fields: Column) -> Column:
     return F.transform_values(stated, lambda k, v: v["confidence"].try_cast("double"))
 
 
-def _last_wins(entries: Column) -> Column:
-    """One entry per key at the place of its first, with the value of its last occurrence."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    merged = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
-    return F.when(F.size(keys) == F.size(entries), entries).otherwise(merged)
-
-
 def pair_entries(pairs: Column) -> Column:
     """(key, value) of the key/value pairs whose key and value are both non-empty."""
     flat = F.transform(pairs, lambda p: F.struct(
@@ -154,14 +207,14 @@ def table_rows(cells: Column, by_column_index: bool = False) -> Column:
         return F.transform(part, lambda c: F.coalesce(c["content"], F.lit("")))
 
     def place(part: Column) -> Column:
-        columns = F.transform(part, lambda c: F.coalesce(c["columnIndex"], F.lit(0)))
+        columns = F.transform(part, lambda c: F.coalesce(c["columnIndex"].cast("int"), F.lit(0)))
         return let(columns, lambda column: F.transform(
             F.sequence(F.lit(0), F.array_max(column)),
             lambda j: F.coalesce(
                 F.get(texts(part), F.array_position(column, j).cast("int") - 1), F.lit("")),
         ))
 
-    index = F.transform(cells, lambda c: F.coalesce(c["rowIndex"], F.lit(0)))
+    index = F.transform(cells, lambda c: F.coalesce(c["rowIndex"].cast("int"), F.lit(0)))
     built = let(index, lambda ix: let(starts_of(ix), rows_of))
     return F.when(F.size(cells) > 0, built)
 
@@ -170,7 +223,7 @@ def extract_tables(tables: Column, by_column_index: bool = False) -> Column:
     """Tables with at least one row; counts default to what the cells show."""
     built = F.transform(tables, lambda t: F.struct(
         table_rows(t["cells"], by_column_index).alias("rows"),
-        t["rowCount"].alias("row_count"), t["columnCount"].alias("column_count")))
+        t["rowCount"].cast("int").alias("row_count"), t["columnCount"].cast("int").alias("column_count")))
     return F.transform(
         F.filter(built, lambda t: F.size(t["rows"]) > 0),
         lambda t: F.struct(
@@ -189,7 +242,9 @@ _NO_TABLES = "array<struct<rows:array<array<string>>,row_count:int,column_count:
 
 def with_extraction(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add entries, conf, tables, raw_text and extracted (false for unreadable JSON)."""
-    parsed = df.withColumn("_p", parse_payload(F.col(payload)))
+    # Unfolded first, while a row is no more than its payload.
+    staged = df.withColumn("_nested", nested_values(F.col(payload)))
+    parsed = staged.withColumn("_p", parse_payload(F.col(payload)))
     result = F.col("_p.analyzeResult")
     return (
         parsed.withColumns({
@@ -197,8 +252,10 @@ def with_extraction(df: DataFrame, payload: str = "payload") -> DataFrame:
             "_fields": F.get(result["documents"], 0)["fields"],
             "_kv": result["keyValuePairs"],
         })
+        .withColumn("_fields", F.transform_values(last_keys(F.col("_fields")), lambda k, v: last_keys(v)))
         .withColumns({
-            "_field_entries": F.coalesce(field_entries(F.col("_fields")), F.array().cast(_NO_PAIRS)),
+            "_field_entries": F.coalesce(
+                field_entries(F.col("_fields"), F.col("_nested")), F.array().cast(_NO_PAIRS)),
             "_pair_entries": F.coalesce(pair_entries(F.col("_kv")), F.array().cast(_NO_PAIRS)),
         })
         .withColumn("_pair_entries", _last_wins(F.col("_pair_entries")))
@@ -211,5 +268,5 @@ def with_extraction(df: DataFrame, payload: str = "payload") -> DataFrame:
             "raw_text": fence(F.coalesce(result["content"], F.lit(""))),
             "extracted": fence(result.isNotNull() & F.col("_p._corrupt").isNull()),
         })
-        .drop("_p", "_fields", "_kv", "_field_entries", "_pair_entries")
+        .drop("_p", "_nested", "_fields", "_kv", "_field_entries", "_pair_entries")
     )

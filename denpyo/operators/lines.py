@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import re
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +13,33 @@ from .. import rules
 from ..functions.text import fence, let, money, normalize_key, normalize_key_text
 from .mapping import _by_variant, lookup, rule_variants, with_keys
 
-NUMBER_FIELDS = ("qty", "unit_price", "amount")
-TEXT_FIELDS = ("description", "delivery_date")
-LINE_SCHEMA = (
-    "array<struct<description:string,qty:double,unit_price:double,amount:double,"
-    "tax_rate:double,delivery_date:string,unparsed:map<string,string>>>"
-)
+log = logging.getLogger(__name__)
+
+#: Columns that every line has, with their types; rules may add more.
+COLUMNS = {"description": "string", "qty": "double", "unit_price": "double", "amount": "double",
+           "tax_rate": "double", "delivery_date": "string"}
+
+
+def line_columns(variants: list) -> dict[str, str]:
+    """Column -> type: the fixed ones, then every header target and default of the rules. A column
+    is a number if some rule's default for it is one."""
+    columns = dict(COLUMNS)
+    for _, _, rule in variants:
+        own = rule.get("lines") or {}
+        for name in [*own.get("headers", {}), *own.get("defaults", {})]:
+            columns.setdefault(name, "string")
+        for name, value in own.get("defaults", {}).items():
+            if isinstance(value, (int, float)) and not isinstance(value, bool) and name not in COLUMNS:
+                columns[name] = "double"
+    return columns
+
+
+def line_schema(columns: dict[str, str]) -> str:
+    fields = ",".join(f"`{n}`:{t}" for n, t in columns.items())
+    return f"array<struct<{fields},unparsed:map<string,string>>>"
+
+
+LINE_SCHEMA = line_schema(COLUMNS)
 
 
 def header_dictionary(headers: dict[str, list[str]]) -> dict[str, str]:
@@ -37,7 +62,7 @@ def is_data_row(row: Column) -> Column:
     return F.size(F.filter(row, lambda c: c.rlike(r"(?U)\S"))) >= 2
 
 
-def _raw_line(row: Column, header: Column) -> Column:
+def _raw_line(row: Column, header: Column, names: list[str]) -> Column:
     """Text of each target. Of several columns for one target the last non-empty cell counts."""
 
     def cells(zipped: Column) -> Column:
@@ -45,49 +70,65 @@ def _raw_line(row: Column, header: Column) -> Column:
             hits = F.filter(zipped, lambda z: (z["h"] == target) & (z["c"] != ""))
             return F.try_element_at(hits, F.lit(-1))["c"]
 
-        return F.struct(*[cell(t).alias(t) for t in TEXT_FIELDS + NUMBER_FIELDS])
+        return F.struct(*[cell(t).alias(t) for t in names])
 
     return let(F.arrays_zip(header.alias("h"), row.alias("c")), cells)
 
 
-def _typed_line(raw: Column, n: Column, defaults: dict) -> Column:
-    """Line from its texts and parsed numbers; unreadable numbers stay as text in `unparsed`."""
+def _typed_line(raw: Column, n: Column, columns: dict[str, str], named: set[str], defaults: dict) -> Column:
+    """Line from its texts and parsed numbers; unreadable numbers stay as text in `unparsed`. A
+    default stands in for a cell that is missing or empty, not for one that is unreadable."""
     failed = [
         F.when(raw[f].isNotNull() & n[f].isNull(),
                F.struct(F.lit(f).alias("key"), raw[f].alias("value")))
-        for f in NUMBER_FIELDS
+        for f, kind in columns.items() if kind == "double" and f in named
     ]
+
+    def value(name: str, kind: str) -> Column:
+        default = F.lit(defaults.get(name)).cast(kind)
+        if name not in named:
+            return default
+        return F.when(raw[name].isNull(), default).otherwise(n[name] if kind == "double" else raw[name])
+
     return F.struct(
-        raw["description"].alias("description"),
-        *[n[f].alias(f) for f in NUMBER_FIELDS],
-        F.lit(defaults.get("tax_rate")).cast("double").alias("tax_rate"),
-        raw["delivery_date"].alias("delivery_date"),
-        F.map_from_entries(F.array_compact(F.array(*failed))).alias("unparsed"),
+        *[value(name, kind).alias(name) for name, kind in columns.items()],
+        F.map_from_entries(F.array_compact(F.array(*failed)) if failed else F.array().cast(_PAIRS)).alias("unparsed"),
     )
 
 
-def line_items(tables: Column, lines_rule: dict) -> Column:
+_PAIRS = "array<struct<key:string,value:string>>"
+
+
+def line_items(tables: Column, lines_rule: dict, columns: dict[str, str] | None = None) -> Column:
     """Lines of every table that has a header row and data below it."""
+    columns = line_columns([(None, None, {"lines": lines_rule})]) if columns is None else columns
+    headers = lines_rule.get("headers", {})
+    names = [c for c in columns if c in headers]
+    numbers = [c for c in names if columns[c] == "double"]
 
     def raw_of_table(t: Column) -> Column:
         body = F.filter(F.slice(t["rows"], F.lit(2), F.size(t["rows"])), is_data_row)
-        header = map_headers(F.get(t["rows"], 0), lines_rule["headers"])
-        return let(header, lambda h: F.transform(body, lambda row: _raw_line(row, h)))
+        header = map_headers(F.get(t["rows"], 0), headers)
+        return let(header, lambda h: F.transform(body, lambda row: _raw_line(row, h, names)))
+
+    def parsed(r: Column) -> Column:
+        read = [money(r[f]).alias(f) for f in numbers] or [F.lit(None).cast("double").alias("none")]
+        return F.struct(r.alias("raw"), F.struct(*read).alias("n"))
 
     wide = F.filter(tables, lambda t: F.size(t["rows"]) >= 2)
     raw = F.flatten(F.transform(wide, raw_of_table))
-    parsed = F.transform(raw, lambda r: F.struct(
-        r.alias("raw"), F.struct(*[money(r[f]).alias(f) for f in NUMBER_FIELDS]).alias("n")))
     defaults = lines_rule.get("defaults", {})
-    return F.transform(parsed, lambda p: _typed_line(p["raw"], p["n"], defaults)).cast(LINE_SCHEMA)
+    return F.transform(F.transform(raw, parsed), lambda p: _typed_line(
+        p["raw"], p["n"], columns, set(names), defaults)).cast(line_schema(columns))
 
 
 def with_lines(df: DataFrame, variants: list | None = None) -> DataFrame:
     variants = rule_variants() if variants is None else variants
-    none = F.array().cast(LINE_SCHEMA)
+    columns = line_columns(variants)
+    none = F.array().cast(line_schema(columns))
     built = _by_variant(
         [(d, v, r.get("lines")) for d, v, r in variants],
-        lambda rule: line_items(F.col("tables"), rule) if rule else None, none)
+        lambda rule: line_items(F.col("tables"), rule, columns) if rule and rule.get("headers") else None, none)
     return df.withColumn("lines", fence(F.coalesce(built, none)))
 
 
@@ -103,25 +144,69 @@ def with_totals(df: DataFrame) -> DataFrame:
     )
 
 
+#: What a rule may divide: names, numbers, calls without inner brackets, bracketed terms.
+_OPERAND = r"(?:[\w.]*\([^()/%]*\)|[\w.]+)"
+_SAFE_FORMS = ("cast", "to_date", "to_timestamp", "to_number", "element_at", "make_date", "make_timestamp")
+
+
+def safe_expression(text: str) -> str | None:
+    """The SQL expression with forms that give null where the plain ones raise an error; None if it
+    has one that is not known to have such a form, or is no expression."""
+    for name in _SAFE_FORMS:
+        text = re.sub(rf"(?i)(?<![\w.]){name}\s*\(", f"try_{name}(", text)
+    text = re.sub(r"(?i)\s+div\s+", " // ", text)
+    found = re.compile(rf"({_OPERAND})\s*(//|/|%)\s*({_OPERAND})")
+    functions = {"/": "try_divide(%s, %s)", "%": "try_mod(%s, %s)", "//": "cast(floor(try_divide(%s, %s)) as bigint)"}
+    held: list[str] = []
+    # What has been rewritten is set aside under a name, so that it can be an operand in turn.
+    while match := found.search(text):
+        held.append(functions[match[2]] % (match[1], match[3]))
+        text = f"{text[:match.start()]}held_{len(held) - 1}_{text[match.end():]}"
+    for i in reversed(range(len(held))):
+        text = text.replace(f"held_{i}_", held[i])
+    refused = re.search(r"(?i)(?<!\w)(?:assert_true|raise_error|date\s*'|timestamp\s*')", text)
+    if re.search(r"[/%;]", re.sub(r"'[^']*'", "", text)) or refused:
+        return None
+    try:
+        F.expr(text)
+    except PySparkException:
+        return None
+    return text
+
+
 def with_post_compute(df: DataFrame, variants: list | None = None) -> DataFrame:
-    """Run the back-fill rules in order. Conditions and values are SQL expressions over
-    `totals`; an assignment sees the assignments before it, the condition does not."""
+    """Run the back-fill rules in order, those of the vendor's layer included. Conditions and values
+    are SQL expressions over `totals`; an assignment sees the assignments before it, the
+    condition does not. A rule that can not be made free of run-time errors is skipped with a
+    warning; one that fails for a row leaves that row's totals as they are."""
     variants = rule_variants() if variants is None else variants
-    types = [(d, r.get("post_compute", [])) for d, v, r in variants if v is None]
-    steps: list[tuple[list[str], dict]] = []
-    for doc_type, own in types:
-        for i, rule in enumerate(own):
-            shared = [t for t, o in types if i < len(o) and o[i] == rule]
-            if doc_type == shared[0]:
+    which = _by_variant([(d, v, i) for i, (d, v, _) in enumerate(variants)], F.lit, F.lit(-1))
+    lists = [r.get("post_compute", []) for _, _, r in variants]
+    steps: list[tuple[list[int], dict]] = []
+    for i, own in enumerate(lists):
+        for at, rule in enumerate(own):
+            shared = [j for j, o in enumerate(lists) if at < len(o) and o[at] == rule]
+            if i == shared[0]:
                 steps.append((shared, rule))
-    out = df
+    fields = {f.name for f in df.schema["totals"].dataType}
+    staged = df if "vendor" in df.columns else df.withColumn("vendor", F.lit(None).cast("string"))
+    out = staged.withColumn("_variant", which)
     for shared, rule in steps:
-        applies = F.col("doc_type").isin(shared) & F.expr(rule["when"])
+        forms = [safe_expression(rule["when"]), *[safe_expression(value) for _, value in rule["set"]]]
+        try:
+            if None in forms or any(target not in fields for target, _ in rule["set"]):
+                raise ValueError("a form that may fail, or an unknown target")
+            staged.select(*[F.expr(form) for form in forms])
+        except (ValueError, PySparkException) as exc:
+            log.warning("post-compute rule %r skipped: %s", rule, exc)
+            continue
+        applies = F.col("_variant").isin(shared) & F.expr(forms[0])
         out = out.withColumn("_on", F.coalesce(applies, F.lit(False)))
-        for target, value in rule["set"]:
-            changed = F.col("totals").withField(target, F.expr(value))
+        for (target, _), form in zip(rule["set"], forms[1:]):
+            value = F.expr(form).try_cast("double")
+            changed = F.col("totals").withField(target, F.coalesce(value, F.col(f"totals.{target}")))
             out = out.withColumn("totals", F.when(F.col("_on"), changed).otherwise(F.col("totals")))
-    return out.drop("_on")
+    return out.drop("_on", "_variant", *({"vendor"} - set(df.columns)))
 
 
 # Long form --------------------------------------------------------------------------------
@@ -129,8 +214,12 @@ def with_post_compute(df: DataFrame, variants: list | None = None) -> DataFrame:
 
 def line_sums(lines: DataFrame, key: str, amount: str) -> DataFrame:
     """Exact line total per document for lines kept as rows; partial sums leave the map side,
-    so a document with very many lines is no burden on one task."""
+    so a document with very many lines is no burden on one task. Amounts that are no number of
+    at most 26 digits before the point are counted in `unread_count`, not summed; a sum beyond 36
+    digits is null."""
+    value = F.col(amount).try_cast("decimal(28,2)")
     return lines.groupBy(key).agg(
-        F.sum(F.col(amount).cast("decimal(18,2)")).alias("line_total"),
+        F.try_sum(value).alias("line_total"),
         F.count("*").alias("line_count"),
+        F.count_if(F.col(amount).isNotNull() & value.isNull()).alias("unread_count"),
     )

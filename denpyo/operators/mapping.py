@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import normalize_key, normalize_key_text, sql_text, substrings
 from ..functions.transforms import compile_chain
+from ..sources.files import materialize
 
 NUMERIC_TARGETS = ("grand_total", "subtotal", "tax")
 _SEP = "\x01"
@@ -51,7 +52,7 @@ def rule_variants(vendor_layers: dict | None = None,
         (t, vendor, layered_rules(t, layer, list_merge))
         for (t, vendor), layer in (vendor_layers or {}).items()
     ]
-    return out + [(t, None, layered_rules(t)) for t in rules.TYPE_MAPPING]
+    return out + [(t, None, layered_rules(t, None, list_merge)) for t in rules.TYPE_MAPPING]
 
 
 def _by_variant(variants: list, build, default: Column) -> Column:
@@ -199,44 +200,82 @@ def unmapped_fields(variants: list | None = None, entries: str = "entries") -> C
 
 
 def rule_rows(spark, variants: list | None = None) -> DataFrame:
-    """Rules as rows: (doc_type, target, priority, source)."""
+    """Rules as rows: (doc_type, vendor, target, priority, source); vendor is null for the rules
+    of a whole type."""
     variants = rule_variants() if variants is None else variants
     rows = [
-        (d, t, i, s)
-        for d, v, r in variants if v is None
+        (d, v, t, i, s)
+        for d, v, r in variants
         for t, m in r["mappings"].items() for i, s in enumerate(m.get("from", []))
     ]
-    return spark.createDataFrame(rows, "doc_type string, target string, priority int, source string")
+    return spark.createDataFrame(
+        rows, "doc_type string, vendor string, target string, priority int, source string")
+
+
+#: Pairs of key and rule that are broadcast at most, and pieces a key is spread over beyond that.
+SENT_HITS, SALTS = 100_000, 64
 
 
 def lookup_long(docs: DataFrame, rule_table: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """`lookup` against a rule table: (doc_id, target, key, value) per target with a hit.
 
-    The documents are read twice, so they should be a stored table. Keys repeat from document
-    to document, so the rules are matched with the distinct keys
-    only. "Contains" is an equi join too: a source can only be contained in a key as one of
-    the key's substrings of a length that some source has.
+    The documents are read twice, so they should be a stored table. Keys repeat from document to
+    document, so the rules are matched with the distinct keys only. "Contains" is an equi join
+    too: a source can only be contained in a key as one of the key's substrings of a length that
+    some source has. What matches is counted: up to SENT_HITS pairs are broadcast and chosen from
+    inside each row, without a shuffle; more are joined to the entries, spread over SALTS pieces
+    of each key, as a key may occur in every document.
+
+    A document follows the rules of its vendor if there are any, else those of its type.
     """
+    spark = docs.sparkSession
     table = rule_table.withColumns({
         "_lower": F.lower("source"), "_norm": normalize_key(F.col("source")),
+        "vendor": F.coalesce("vendor", F.lit("")),
     })
-    entries = docs.select(doc_id, "doc_type", F.posexplode("entries").alias("pos", "e")).select(
-        doc_id, "doc_type", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
-    vocabulary = entries.select("doc_type", "key").distinct()
+    layered = table.select("doc_type", "vendor").distinct().filter("vendor <> ''").withColumn("_own", F.lit(True))
+    own_vendor = F.when(F.col("_own"), F.col("vendor")).otherwise("").alias("_vendor")
+    named = docs if "vendor" in docs.columns else docs.withColumn("vendor", F.lit(None).cast("string"))
+    ruled = named.join(layered, ["doc_type", "vendor"], "left").select(doc_id, "doc_type", own_vendor, "entries")
+    vocabulary = ruled.select("doc_type", "_vendor", F.explode("entries.key").alias("key")).distinct()
     # One row per distinct source length; the number of lengths is bounded by the longest name.
     lengths = [r[0] for r in table.select(F.length("_lower")).distinct().collect() if r[0]]
     windows = [substrings(F.col("_k"), n) for n in sorted(lengths)]
     parts = vocabulary.withColumn("_k", F.lower("key")).withColumn(
         "_lower", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*windows))))))
-    contained = parts.join(table, ["doc_type", "_lower"]).select(
-        "doc_type", "key", "target", "priority")
+    rule = table.withColumnRenamed("vendor", "_vendor")
+    pair = ["doc_type", "_vendor", "key", "target", "priority"]
+    contained = parts.join(rule, ["doc_type", "_vendor", "_lower"]).select(*pair)
     equal = vocabulary.withColumn("_norm", normalize_key(F.col("key"))).join(
-        table, ["doc_type", "_norm"]).select("doc_type", "key", "target", "priority")
-    hits = contained.unionByName(equal).groupBy("doc_type", "key", "target").agg(
-        F.min("priority").alias("priority"))
-    return (
-        entries.join(hits, ["doc_type", "key"])
-        .groupBy(doc_id, "target")
-        .agg(F.min_by(F.struct("key", "value"), F.struct("priority", "pos")).alias("hit"))
-        .select(doc_id, "target", "hit.key", "hit.value")
-    )
+        rule, ["doc_type", "_vendor", "_norm"]).select(*pair)
+    hits = materialize(contained.unionByName(equal).groupBy("doc_type", "_vendor", "key", "target").agg(
+        F.min("priority").alias("priority")), "rule-hits")
+
+    if hits.count() > SENT_HITS:
+        entries = ruled.select(doc_id, "doc_type", "_vendor", F.posexplode("entries").alias("pos", "e")).select(
+            doc_id, "doc_type", "_vendor", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"),
+            F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("_salt"))
+        spread = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return (
+            entries.join(spread, ["doc_type", "_vendor", "key", "_salt"])
+            .groupBy(doc_id, "target")
+            .agg(F.min_by(F.struct("key", "value"), F.struct("priority", "pos")).alias("hit"))
+            .select(doc_id, "target", "hit.key", "hit.value")
+        )
+
+    by_key = hits.groupBy("doc_type", "_vendor", "key").agg(F.collect_list(F.struct("target", "priority")).alias("to"))
+    by_type = by_key.groupBy("doc_type", "_vendor").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "to"))).alias("_hits"))
+
+    def found(e: Column, pos: Column) -> Column:
+        return F.transform(F.coalesce(F.try_element_at("_hits", e["key"]), F.array().cast(_TO)), lambda h: F.struct(
+            h["target"].alias("target"), h["priority"].alias("priority"), pos.alias("pos"),
+            e["key"].alias("key"), e["value"].alias("value")))
+
+    ordered = F.array_sort(F.flatten(F.transform("entries", found)))
+    chosen = ruled.join(F.broadcast(by_type), ["doc_type", "_vendor"]).withColumn("_all", ordered)
+    first = F.filter("_all", lambda x, i: (i == 0) | (x["target"] != F.get("_all", i - 1)["target"]))
+    return chosen.select(doc_id, F.explode(first).alias("h")).select(doc_id, "h.target", "h.key", "h.value")
+
+
+_TO = "array<struct<target:string,priority:int>>"

@@ -272,6 +272,34 @@ def range_errors(schema: T.StructType, r: dict, today: Column) -> Column:
     return collect(out)
 
 
+#: Names of the declared checks that a verdict can cover.
+DECLARED = ("currency", "future_dates", "confidence", "business", "ranges")
+
+
+def with_declared_errors(df: DataFrame, v: dict, names: Iterable[str], check_date: str | None) -> DataFrame:
+    """Add `_declared`, the errors of the named checks in the order of DECLARED."""
+    names = set(names)
+    unknown = names - set(DECLARED)
+    if unknown:
+        raise ValueError(f"no such checks: {sorted(unknown)}")
+    if check_date is None and names & {"future_dates", "business", "ranges"}:
+        raise ValueError("checks on dates need check_date")
+    s, today = df.schema, F.lit(check_date).cast("date")
+    build = {
+        "currency": lambda: currency_errors(s, v["allowed_currencies"]),
+        "future_dates": lambda: future_date_errors(s, v["dates"], today),
+        "confidence": lambda: F.col("confidence_errors"),
+        "business": lambda: business_errors(s, v["business"], today),
+        "ranges": lambda: range_errors(s, v["ranges"], today),
+    }
+    staged = with_days(df, check_date) if "business" in names else df
+    if "confidence" in names:
+        staged = with_confidence_errors(staged, v["confidence"])
+    found = [build[name]().cast(ERRORS) for name in DECLARED if name in names]
+    staged = staged.withColumn("_declared", F.concat(*found) if found else F.array().cast(ERRORS))
+    return staged.drop(*({"issue_day", "delivery_day", "today", "confidence_errors"} - set(df.columns)))
+
+
 # Verdict ----------------------------------------------------------------------------------
 
 
@@ -282,12 +310,14 @@ def _by_type(build, per_type: dict) -> Column:
     return out
 
 
-def with_validation(df: DataFrame, v: dict | None = None, first_only: bool = False) -> DataFrame:
+def with_validation(df: DataFrame, v: dict | None = None, first_only: bool = False,
+                    declared: Iterable[str] = (), check_date: str | None = None) -> DataFrame:
     """Add `errors` in the order schema, amounts, dates, required, constraints, duplicate,
-    formats, and `is_valid`. A boolean column `is_duplicate`, if there, is part of it."""
+    formats, the `declared` checks asked for, and `is_valid`. A boolean column `is_duplicate`, if
+    there, is part of it."""
     v = rules.VALIDATION if v is None else v
     s = df.schema
-    staged = df.withColumns({
+    staged = with_declared_errors(df, v, declared, check_date).withColumns({
         "_schema": _by_type(lambda spec: schema_errors(s, spec, first_only), rules.CDM_SCHEMA),
         "_amounts": amount_errors(s, v["amounts"]),
         "_dates": date_errors(s, v["dates"]),
@@ -300,7 +330,7 @@ def with_validation(df: DataFrame, v: dict | None = None, first_only: bool = Fal
         duplicate = collect([(F.col("is_duplicate"), error("duplicate", "doc", "duplicate document"))])
     coded = F.concat(
         *[F.col(c) for c in ("_schema", "_amounts", "_dates", "_required", "_constraints")],
-        duplicate, F.col("_formats"),
+        duplicate, F.col("_formats"), F.coalesce("_declared", F.array().cast(ERRORS)),
     ).cast(ERRORS)
     stopped = (
         F.when(~F.col("extracted"), F.array(error("extract_failed", "doc", "unreadable payload")))
@@ -309,7 +339,7 @@ def with_validation(df: DataFrame, v: dict | None = None, first_only: bool = Fal
     return (
         staged.withColumn("errors", fence(F.coalesce(stopped, coded)))
         .withColumn("is_valid", F.size("errors") == 0)
-        .drop("_schema", "_amounts", "_dates", "_required", "_constraints", "_formats")
+        .drop("_schema", "_amounts", "_dates", "_required", "_constraints", "_formats", "_declared")
     )
 
 

@@ -13,6 +13,9 @@ SETTINGS = {
     # The JVM does not compile methods beyond 8000 bytes of code. Stages with many rules are
     # then better generated operator by operator than fused into one long method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # The state of a year of documents does not fit into executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Call sites are only recorded for error messages; plans of many columns build faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the shared folder of the cluster; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application under the shared folder that the session names.
+
+    Executors and driver must see it, so there is no local fallback.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/denpyo/{purpose}-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/denpyo/{context.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder for one stored stage."""
+    return f"{scratch_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
@@ -50,20 +64,48 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataF
 
 
 RECORD_SCHEMA = "doc_id STRING, payload STRING"
+#: A line that is no such JSON keeps its text, and every record names its file.
+_LINE_SCHEMA = RECORD_SCHEMA + ", _corrupt STRING"
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(doc_id, payload, source_file). A broken line becomes a record of its own, with the file and
+    the line's hash as id and its text as payload, so that it ends as a traceable error."""
+    broken = F.concat(F.col("source_file"), F.lit("#"), F.lower(F.hex(F.xxhash64("_corrupt"))))
+    return lines.select(
+        F.when(F.col("_corrupt").isNotNull(), broken).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.coalesce("payload", "_corrupt").alias("payload"), "source_file")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of (doc_id, payload)."""
-    return spark.read.schema(RECORD_SCHEMA).json(path)
+    reader = spark.read.schema(_LINE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt")
+    return _records(reader.json(path).select("*", F.col("_metadata.file_path").alias("source_file")))
 
 
-def stream_records(spark: SparkSession, inbox: str, max_files: int = 1000,
-                   archive: str | None = None) -> DataFrame:
-    """New files of an inbox as a stream; read files go to `archive` if one is named."""
+def _stream(spark: SparkSession, max_files: int, archive: str | None):
     reader = (
-        spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", max_files)
-        .option("recursiveFileLookup", "true")
+        spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true")
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.json(inbox)
+    return reader
+
+
+def stream_records(spark: SparkSession, inbox: str, max_files: int = 1000,
+                   archive: str | None = None) -> DataFrame:
+    """New files of JSON lines as a stream; read files go to `archive` if one is named."""
+    reader = _stream(spark, max_files, archive).schema(_LINE_SCHEMA)
+    lines = reader.option("columnNameOfCorruptRecord", "_corrupt").json(inbox)
+    return _records(lines.select("*", F.col("_metadata.file_path").alias("source_file")))
+
+
+def stream_files(spark: SparkSession, inbox: str, content: str = "payload", pattern: str = "*",
+                 max_files: int = 1000, archive: str | None = None) -> DataFrame:
+    """New files as a stream, one document per file: (doc_id = path, `content`, source_file).
+
+    `content` is "payload" for analysis JSON and "raw_text" for plain text.
+    """
+    reader = _stream(spark, max_files, archive).option("pathGlobFilter", pattern)
+    path = F.col("_metadata.file_path")
+    return reader.text(inbox, wholetext=True).select(path.alias("doc_id"), F.col("value").alias(content), path.alias("source_file"))

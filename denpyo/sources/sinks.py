@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,17 @@ def artifact_rows(df: DataFrame) -> DataFrame:
         "doc_id", "a.kind", "a.body")
 
 
-def write_artifacts(df: DataFrame, path: str, run_ts: str, batch: str = "0") -> None:
-    """All artifacts in one job, one JSON document per line, by kind and batch. Writing a
-    batch again replaces it."""
+def part_of(run: str, batch: int) -> str:
+    """Folder of one batch of one run. Writing it again replaces that batch and nothing else."""
+    return f"run={re.sub('[^0-9A-Za-z]+', '-', run)}/batch={batch:09d}"
+
+
+def write_artifacts(df: DataFrame, path: str, run_ts: str, run: str, batch: int) -> None:
+    """All artifacts in one job, one JSON document per line, by run, batch and kind."""
     (
         artifact_rows(df)
         .select(F.col("body").alias("value"), "kind", F.lit(run_ts[:10]).alias("run_date"))
-        .write.mode("overwrite").partitionBy("kind", "run_date").text(f"{path}/batch={batch}")
+        .write.mode("overwrite").partitionBy("kind", "run_date").text(f"{path}/{part_of(run, batch)}")
     )
 
 
@@ -91,38 +97,57 @@ def audit_rows(df: DataFrame, run_ts: str) -> DataFrame:
     )
 
 
-def write_audit(df: DataFrame, path: str, run_ts: str, batch: str = "0") -> None:
-    audit_rows(df, run_ts).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def write_audit(df: DataFrame, path: str, run_ts: str, run: str, batch: int) -> None:
+    audit_rows(df, run_ts).write.mode("overwrite").parquet(f"{path}/{part_of(run, batch)}")
 
 
 # Keep-latest table ------------------------------------------------------------------------
 
 
-def latest(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_at", "doc_id")
-           ) -> DataFrame:
-    """Last version per key. An aggregate, not a window, so versions of one key are reduced
-    before they are shuffled and never gathered in one place."""
-    return rows.groupBy(key).agg(
-        F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("_r")
-    ).select(key, "_r.*")
+ORDER = ("created_at", "batch_no", "doc_id")
+
+
+def latest(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_at", "doc_id"),
+           row: tuple[str, ...] = ()) -> DataFrame:
+    """Last version per key.
 
+    The winner is chosen on narrow columns, reduced before they are shuffled, so versions of one
+    key are never gathered in one place, and whole documents are neither sorted nor aggregated:
+    they meet the winners in one join. `row` names columns that tell versions of equal order
+    apart; without them all but one of such versions must be equal in full.
+    """
+    names = tuple(dict.fromkeys((*order, *row)))
+    winner = rows.groupBy(key).agg(F.max(F.struct(*names)).alias("_w")).select(
+        F.col(key).alias("_key"), *[F.col(f"_w.{n}").alias(f"_{n}") for n in names])
+    match = F.col(key).eqNullSafe(F.col("_key"))
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    out = rows.join(winner, match).select(*rows.columns)
+    return out if row else out.dropDuplicates([key])
 
-def upsert_documents(rows: DataFrame, path: str, batch: str) -> None:
-    """Add one batch of document versions. A batch costs its own size, whatever the size of
-    the table, and writing it again replaces it; readers see the latest versions."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+def upsert_documents(rows: DataFrame, path: str, run: str, batch: int) -> None:
+    """Add one batch of document versions. A batch costs its own size, whatever the size of the
+    table, and writing it again replaces it; readers see the latest versions."""
+    rows.withColumn("batch_no", F.lit(batch).cast("long")).write.mode("overwrite").parquet(
+        f"{path}/{part_of(run, batch)}")
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions with the place where each is stored."""
+    return spark.read.parquet(path).drop("run", "batch").select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of every document."""
-    return latest(spark.read.parquet(path).drop("batch"))
+    """The current version of every document: the last by creation time, then by batch."""
+    rows = latest(_versions(spark, path), order=ORDER, row=("_file", "_row"))
+    return rows.drop("_file", "_row", "batch_no")
 
 
 def compact_documents(spark: SparkSession, path: str, target: str) -> None:
-    """Write only the current versions to a new table, by type and sorted by vendor, so that
-    reads of one vendor skip most row groups."""
-    (
-        read_documents(spark, path).withColumn("batch", F.lit("compacted"))
-        .sortWithinPartitions("partition_key", "id")
-        .write.mode("overwrite").partitionBy("batch").parquet(target)
-    )
+    """Write only the current versions to a new table, sorted by type and vendor, so that reads of
+    one vendor skip most row groups. Their batch numbers stay, so later batches still win."""
+    rows = latest(_versions(spark, path), order=ORDER, row=("_file", "_row")).drop("_file", "_row")
+    rows.sortWithinPartitions("doc_type", "partition_key", "id").write.mode("overwrite").parquet(
+        f"{target}/{part_of('compacted', 0)}")

@@ -13,7 +13,9 @@ def first_arrivals(docs: DataFrame, vendor: str = "vendor", document_no: str = "
 
     The first pass works per key and salt and lets at most `salts` rows of a key through, so
     a key that many documents share never reaches one task in full. The state spans the
-    horizon; keep it in RocksDB. Rows later than the watermark are left to the batch check.
+    horizon and is kept in RocksDB (`session.SETTINGS`). Which row of a micro-batch arrives first
+    is not defined by Spark: use `save_first_arrivals` for the earliest of each batch. Rows later
+    than the watermark are left to the batch check.
     """
     keyed = docs.withWatermark(arrival, horizon).withColumn(
         "_salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int"))
@@ -22,3 +24,36 @@ def first_arrivals(docs: DataFrame, vendor: str = "vendor", document_no: str = "
         .dropDuplicatesWithinWatermark([vendor, document_no])
         .drop("_salt")
     )
+
+
+def earliest(docs: DataFrame, vendor: str = "vendor", document_no: str = "document_no",
+             arrival: str = "arrival", doc_id: str = "doc_id") -> DataFrame:
+    """The row of each key with the earliest arrival, ties to the smaller document id.
+
+    An aggregate with partial results, so a key of very many rows is reduced where it lies.
+    """
+    rest = F.struct(*[c for c in docs.columns if c not in (vendor, document_no)])
+    return docs.groupBy(vendor, document_no).agg(
+        F.min_by(rest, F.struct(arrival, doc_id)).alias("_r")).select(vendor, document_no, "_r.*")
+
+
+def save_first_arrivals(path: str, vendor: str = "vendor", document_no: str = "document_no",
+                        arrival: str = "arrival", doc_id: str = "doc_id", horizon_days: int = 365):
+    """foreachBatch function that adds the first arrivals of a batch to a table.
+
+    Within a batch the earliest arrival of a key passes; a key passes again when the stored one is
+    more than the horizon older. Writing a batch again replaces it.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = earliest(batch, vendor, document_no, arrival, doc_id)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.parquet(path).filter(F.col("batch") != batch_id).select(
+                F.col(vendor).alias("_v"), F.col(document_no).alias("_n"), F.col(arrival).alias("_a"))
+            near = F.abs(F.datediff(F.col(arrival), F.col("_a"))) <= horizon_days
+            first = first.join(known, (F.col(vendor) == F.col("_v")) & (F.col(document_no) == F.col("_n")) & near,
+                               "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return save

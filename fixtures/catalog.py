@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import rules
-from ..functions import dates, text
-from ..functions.transforms import apply_chain, chain_text
-from ..operators import (
+from denpyo import rules
+from denpyo.functions import dates, text
+from denpyo.functions.transforms import apply_chain, chain_text
+from denpyo.operators import (
     classify, duplicates, extract, lines, mapping, monitor, resolve, text_fields, validate,
 )
-from ..sources import files, sinks
-from ..streaming import alert, dedup, ingest
+from denpyo.sources import files, sinks
+from denpyo.streaming import alert, dedup, ingest
+from denpyo.plans.normalize import KEY_COLUMNS, normalize_payloads, normalize_texts
+
 from . import render
-from .normalize import KEY_COLUMNS, normalize_payloads, normalize_texts
 from .oracles import CDM, FACTS, cdm_errors, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,49 @@ def normalize_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(FACTS + """
+SELECT doc_id, CASE WHEN has_cdm THEN number END AS document_no, errors, errors = '' AS is_valid
+FROM g WHERE doc_id >= 'D5' AND doc_id < 'D6'
+""")
+def normalize_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few documents of a large table: the condition reaches the scan."""
+    out = normalize_payloads(
+        render.payload_docs(spark, sf_dir), RUN_TS, where="doc_id >= 'D5' AND doc_id < 'D6'")
+    return out.select("doc_id", "doc.document_no", validate.error_codes().alias("errors"), "is_valid")
+
+
+@query(FACTS + f"""
+, r AS (SELECT g.*, copy, doc_id || copy AS id FROM g, (SELECT unnest(['', 'b']) AS copy)
+        WHERE copy = '' OR k % 41 = 7),
+e AS (SELECT r.*, list_sort(list_filter(string_split(errors, ',') || [
+    CASE WHEN has_cdm AND copy = 'b' AND vendor IS NOT NULL AND number IS NOT NULL THEN 'duplicate:doc' END,
+    CASE WHEN has_cdm AND currency = 'YEN1' THEN 'currency_not_allowed:doc.currency' END,
+    CASE WHEN has_cdm AND d > DATE '{RUN_DATE}' THEN 'future_date:doc.issue_date' END,
+    CASE WHEN has_cdm AND NOT is_po AND d > DATE '{RUN_DATE}' THEN 'issue_not_after_today:doc.issue_date' END,
+    CASE WHEN has_cdm AND NOT is_po AND least(abs(t_tax - t_sub * 0.08::DOUBLE), abs(t_tax - t_sub * 0.1::DOUBLE)) > 1
+      THEN 'tax_rate_8_or_10:totals.tax' END,
+    CASE WHEN has_cdm AND is_po AND NOT later_empty AND NOT later > d THEN 'delivery_after_issue:doc.delivery_date' END,
+    CASE WHEN has_cdm AND is_po AND t_total <= 0 THEN 'total_positive:totals.grand_total' END],
+    lambda x: coalesce(x, '') <> '')) AS found FROM r)
+SELECT id AS doc_id, array_to_string(found, ',') AS errors, len(found) = 0 AS is_valid,
+       CASE WHEN has_cdm AND c % 6 = 0 THEN 'V1' WHEN has_cdm AND c % 6 = 4 THEN 'V2' END AS vendor_id,
+       CASE WHEN has_cdm AND NOT is_po AND k % 10 <> 3 THEN printf('C%06d', c_custkey) END AS customer_id
+FROM e LEFT JOIN customer ON c_custkey = c
+""")
+def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything at once: masters, duplicates and declared checks."""
+    vendors = spark.createDataFrame(
+        [("株式会社エグザンプル", "V1", None), ("有限会社　山田工務店", "V2", None)],
+        "name string, id string, normalized_name string")
+    out = normalize_payloads(
+        render.repeated_payloads(spark, sf_dir), RUN_TS, vendors=vendors, find_duplicates=True, salts=4,
+        customers=render.customer_master(spark, sf_dir), checks=("currency", "future_dates", "business"),
+        check_date=RUN_DATE)
+    listed = F.transform("errors", lambda e: F.concat_ws(":", e["code"], e["path"]))
+    return out.select("doc_id", F.array_join(F.array_sort(listed), ",").alias("errors"), "is_valid",
+                      "doc.vendor_id", "doc.customer_id")
+
+
 @query(FACTS + """
 SELECT doc_id, doc_type, CASE WHEN doc_type IS NOT NULL THEN vendor END AS vendor,
        CASE WHEN doc_type = 'INVOICE' THEN number END AS document_no,
@@ -142,7 +186,7 @@ def classify_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'D' || o_orderkey AS doc_id, s_name AS vendor
-FROM orders JOIN supplier ON s_suppkey = o_custkey // 10 WHERE o_orderkey % 8 <> 0
+FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey // 10 AND o_orderkey % 8 <> 0
 """)
 def vendor_master_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = render.table(spark, sf_dir, "supplier")
@@ -203,6 +247,27 @@ def extract_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT 'D' || o_orderkey AS doc_id, true AS extracted, 7 AS n_fields,
+       (floor(o_totalprice)::BIGINT + 10000000) || '.0' AS amount, '0.5' AS small,
+       (floor(o_totalprice)::BIGINT + 20000000)::VARCHAR AS whole,
+       '{"bank":{"branch":{"account":{"holder":"H' || o_orderkey || '"}}}}' AS nested,
+       '["a' || o_orderkey || '",{},7]' AS items, 'K' || o_orderkey AS twice, '{"a":"2"}' AS inner_twice,
+       floor(o_totalprice)::DOUBLE + 10000000 AS grand_total, 'h/c' AS cells
+FROM orders
+""")
+def payload_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large numbers, deep nesting, repeated keys, fields that are no objects, float indexes."""
+    out = extract.with_extraction(render.hard_payloads(spark, sf_dir))
+    total = apply_chain(_entry("TotalAmount"), "to_decimal:2")
+    return out.select(
+        "doc_id", "extracted", F.size("entries").alias("n_fields"), _entry("TotalAmount").alias("amount"),
+        _entry("Small").alias("small"), _entry("Whole").alias("whole"), _entry("Pay").alias("nested"),
+        _entry("Items").alias("items"), _entry("Twice").alias("twice"), _entry("Pay2").alias("inner_twice"),
+        total.alias("grand_total"),
+        F.array_join(F.flatten(F.get("tables", 0)["rows"]), "/").alias("cells"))
+
+
 LINES = """
 WITH x AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS doc_id,
@@ -321,13 +386,13 @@ MATCHES = FACTS + """, h AS (
 
 @query(MATCHES + "SELECT doc_id, target, key FROM h")
 def rule_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "entries"))
+    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "vendor", "entries"))
     return mapping.lookup_long(docs, mapping.rule_rows(spark)).select("doc_id", "target", "key")
 
 
 @query(MATCHES + "SELECT doc_type, target, key, count(*) AS documents FROM h GROUP BY ALL")
 def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "entries"))
+    docs = files.materialize(_entries(spark, sf_dir).select("doc_id", "doc_type", "vendor", "entries"))
     return monitor.rule_usage(docs, mapping.lookup_long(docs, mapping.rule_rows(spark)))
 
 
@@ -351,6 +416,51 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l.delivery_date", F.try_element_at("l.unparsed", F.lit("qty")).alias("unread_qty"))
 
 
+WIDE_LINES = {
+    (rules.INVOICE, "A社"): {"lines": {
+        "headers": {"product_code": ["品番"], "tax_rate": ["税率"]}, "defaults": {"unit": "個", "weight": 1.5}}},
+}
+
+
+@query("""
+SELECT 'D' || o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'P-' || o_orderkey END AS product_code,
+       CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 3 = 0 THEN 0.1::DOUBLE
+            WHEN o_orderkey % 3 = 1 THEN 0.08::DOUBLE END AS tax_rate,
+       CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 2 THEN '軽減' END AS unread_rate,
+       CASE WHEN o_orderkey % 2 = 0 THEN '個' END AS unit,
+       CASE WHEN o_orderkey % 2 = 0 THEN 1.5::DOUBLE END AS weight, 2.0::DOUBLE AS qty
+FROM orders
+""")
+def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns and defaults that only a vendor's rules name."""
+    docs = extract.with_extraction(render.wide_line_docs(spark, sf_dir))
+    out = lines.with_lines(docs, mapping.rule_variants(WIDE_LINES)).withColumn("l", F.get("lines", 0))
+    return out.select("doc_id", "l.product_code", "l.tax_rate",
+                      F.try_element_at("l.unparsed", F.lit("tax_rate")).alias("unread_rate"),
+                      "l.unit", "l.weight", "l.qty")
+
+
+VENDOR_RULES = {
+    (rules.INVOICE, "株式会社サンプル商事"): {"post_compute": [
+        {"when": "totals.grand_total > 0", "set": [("tax", "totals.grand_total / (totals.grand_total - totals.grand_total)")]},
+        {"when": "totals.grand_total > 0", "set": [("tax", "totals.subtotal * 2")]},
+        {"when": "totals.grand_total > 0", "set": [("tax", "raise_error('x')")]},
+    ]},
+}
+
+
+@query(FACTS + """
+SELECT doc_id, CASE WHEN broken THEN NULL WHEN has_cdm AND NOT is_po AND c % 6 = 1 AND t_total > 0 AND t_sub IS NOT NULL
+         THEN t_sub * 2 WHEN split OR has_cdm THEN t_tax END AS tax FROM g
+""")
+def vendor_post_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a vendor's layer run after those of the type; one that divides by zero changes
+    nothing, one that can not be made safe is skipped."""
+    docs = lines.with_totals(_entries(spark, sf_dir))
+    out = lines.with_post_compute(docs, mapping.rule_variants(VENDOR_RULES))
+    return out.select("doc_id", "totals.tax")
+
+
 @query(FACTS + """
 SELECT doc_id, CASE WHEN NOT broken THEN t_total::DOUBLE END AS grand_total,
        CASE WHEN NOT broken AND split AND style <> 1 THEN sub::DOUBLE END AS subtotal,
@@ -437,8 +547,7 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderd
 FROM orders
 """)
 def tf_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = render.spread(render.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.to_date("o_orderdate").alias("d")))
+    o = render.orders(spark, sf_dir).select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     styled = render.date_text(F.col("d"), F.col("o_orderkey") % 4)
     third = F.col("o_orderkey") % 3 == 0
     padded = F.concat(F.lit("　"), styled, F.lit(" 付"))
@@ -565,7 +674,8 @@ SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::INTEGER AS emails,
 FROM documents
 """)
 def text_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render.spread(render.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = render.prepared(
+        spark, sf_dir, "documents", lambda: render.table(spark, sf_dir, "documents")).select("doc_id", "text")
     found = {k: text_fields.screen_matches(F.col("text"), k) for k in rules.SCREENS}
     return docs.select(
         "doc_id", F.size(found["email"]).alias("emails"),
@@ -924,7 +1034,7 @@ UNION ALL SELECT 'validation', count(*), sum(CASE WHEN errors = '' THEN 0
 def artifacts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch_dir(spark, "artifacts")
     out = normalize_payloads(render.payload_docs(spark, sf_dir), RUN_TS)
-    sinks.write_artifacts(out, path, RUN_TS)
+    sinks.write_artifacts(out, path, RUN_TS, RUN_TS, 0)
     body = F.from_json("value", "doc STRUCT<grand_total: DOUBLE>, errors ARRAY<STRUCT<code: STRING>>")
     back = spark.read.text(path).withColumn("b", body)
     return back.groupBy("kind").agg(
@@ -955,12 +1065,30 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = _versions(spark, sf_dir)
     for batch in range(2):
         part = versions.filter(F.pmod("doc_id", F.lit(2)) == batch)
-        sinks.upsert_documents(part, path, str(batch))
+        sinks.upsert_documents(part, path, RUN_TS, batch)
     # A batch that is delivered twice changes nothing.
-    sinks.upsert_documents(versions.filter(F.pmod("doc_id", F.lit(2)) == 1), path, "1")
+    sinks.upsert_documents(versions.filter(F.pmod("doc_id", F.lit(2)) == 1), path, RUN_TS, 1)
     return sinks.read_documents(spark, path).select("id", "doc_id", "created_at", "full_document.*")
 
 
+@query("""
+SELECT o_custkey || '_' || o_orderpriority AS id, count(*) AS versions,
+       arg_max(o_orderkey, (CASE o_orderstatus WHEN 'O' THEN 2 WHEN 'F' THEN 1 ELSE 0 END, o_orderkey)) AS doc_id
+FROM orders GROUP BY 1
+""")
+def upsert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of equal creation time, the last from a second run into the same path: the
+    later batch wins whatever the document's id, and no run replaces another."""
+    path = files.scratch_dir(spark, "documents")
+    versions = _versions(spark, sf_dir).withColumn("created_at", F.lit(RUN_TS))
+    status = F.col("full_document.status")
+    batches = [("first", 0, ~status.isin("O", "F")), ("first", 1, status == "F"), ("second", 2, status == "O")]
+    for run, batch, mine in batches:
+        sinks.upsert_documents(versions.filter(mine), path, run, batch)
+    counts = spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("versions"))
+    return sinks.read_documents(spark, path).join(counts, "id").select("id", "versions", "doc_id")
+
+
 _NUMBERED = "'請求番号: ' || o_orderkey || ' ' || o_orderpriority"
 
 
@@ -988,6 +1116,7 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _latest_event(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     runs = render.table(spark, sf_dir, "events").withColumnRenamed("event_type", "code")
+    # One row: the time of the newest event.
     return runs, str(runs.agg(F.max("ts")).first()[0])
 
 
@@ -1022,6 +1151,38 @@ def recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams ------------------------------------------------------------------------------------
 
 
+_ARRIVAL = "doc_id BIGINT, vendor STRING, document_no STRING, arrival TIMESTAMP"
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrival = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 300 as int))")
+    return render.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("vendor"),
+        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("document_no"), arrival.alias("arrival"))
+
+
+@query("""
+SELECT o_orderpriority AS priority, count(*) AS documents,
+       count(*) FILTER (WHERE o_custkey % 6 = 4) AS with_vendor
+FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1
+""")
+def stream_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text, one document per file, through the stream; read files end in the archive."""
+    base = files.scratch_dir(spark, "text-files")
+    o = render.table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+    vendor = F.when(F.col("o_custkey") % 6 == 4, "有限会社　山田工務店\n").otherwise("")
+    body = F.concat(F.lit("請求書\n"), vendor, F.lit("請求番号: "), "o_orderpriority")
+    # A partition value for each document gives a file for each document.
+    o.select("o_orderkey", body.alias("value")).repartition(4, "o_orderkey").write.partitionBy("o_orderkey").text(f"{base}/inbox")
+    for _ in range(2):  # the second run finds nothing new
+        ingest.start_ingest(spark, f"{base}/inbox", f"{base}/out", f"{base}/checkpoint", RUN_TS,
+                            files="raw_text", archive=f"{base}/archive").awaitTermination()
+    done = spark.read.parquet(f"{base}/out/results")
+    priority = F.regexp_extract("raw_text", "請求番号: (.*)", 1).alias("priority")
+    return done.groupBy(priority).agg(
+        F.count("*").alias("documents"), F.count("vendor").alias("with_vendor"))
+
+
 @query(FACTS + """
 SELECT doc_type || '_' || replace(vendor, ' ', '_') || '_' || number AS id, doc_id,
        number AS document_no, vendor, t_total::DOUBLE AS grand_total, 2 AS line_item_count
@@ -1036,19 +1197,29 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "doc_id", "document_no", "vendor", "totals.grand_total", "line_item_count")
 
 
+@query("""
+SELECT o_custkey::VARCHAR AS vendor, o_orderpriority || '/' || o_orderstatus AS document_no,
+       arg_min(o_orderkey, (o_orderkey % 300, o_orderkey)) AS doc_id
+FROM orders GROUP BY 1, 2
+""")
+def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest arrival of each key, with its document."""
+    base = files.scratch_dir(spark, "first")
+    _arrivals(spark, sf_dir).write.parquet(f"{base}/inbox")
+    docs = spark.readStream.schema(_ARRIVAL).parquet(f"{base}/inbox")
+    docs.writeStream.foreachBatch(dedup.save_first_arrivals(f"{base}/out")).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("vendor", "document_no", "doc_id")
+
+
 @query("""
 SELECT DISTINCT o_custkey::VARCHAR AS vendor, o_orderpriority || '/' || o_orderstatus AS document_no
 FROM orders
 """)
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = files.scratch_dir(spark, "dedup")
-    arrival = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(o_orderkey % 300 as int))")
-    render.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("vendor"),
-        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("document_no"),
-        arrival.alias("arrival")).write.parquet(f"{base}/inbox")
-    docs = spark.readStream.schema(
-        "doc_id BIGINT, vendor STRING, document_no STRING, arrival TIMESTAMP").parquet(f"{base}/inbox")
+    _arrivals(spark, sf_dir).write.parquet(f"{base}/inbox")
+    docs = spark.readStream.schema(_ARRIVAL).parquet(f"{base}/inbox")
     dedup.first_arrivals(docs).writeStream.format("parquet").option("path", f"{base}/out").option(
         "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("vendor", "document_no")

@@ -7,21 +7,35 @@ line, date and amount notation, and the faults that the checks have to find.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGITS, WIDE_DIGITS
+from denpyo.functions.text import DIGITS, WIDE_DIGITS
+from denpyo.sources.files import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread narrow rows over all cores before heavy work on each, if the scan has fewer
-    tasks than there are cores. A scan of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+_PREPARED: dict[tuple[str, str, str], str] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Rendered rows, stored once per application, in as many files as there are cores: the test
+    tables are single row groups, which only one task can read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PREPARED:
+        path = scratch_dir(spark, f"rendered-{name}")
+        build().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        _PREPARED[key] = path
+    return spark.read.parquet(_PREPARED[key])
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir, "orders", lambda: table(spark, sf_dir, "orders"))
 
 
 def _mod(c: str, n: int) -> Column:
@@ -52,11 +66,11 @@ def amount_text(n: Column, style: Column) -> Column:
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that the documents state, from `orders` alone."""
-    o = spread(table(spark, sf_dir, "orders").select(
+    o = orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
         F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("priority"),
         F.floor("o_totalprice").cast("bigint").alias("yen"),
-    ))
+    )
     po = _mod("k", 5) == 0
     facts = o.withColumns({
         "doc_id": F.concat(F.lit("D"), F.col("k").cast("string")),
@@ -120,7 +134,8 @@ def content() -> Column:
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw_text) per order."""
-    return order_facts(spark, sf_dir).select("doc_id", content().alias("raw_text"))
+    return prepared(spark, sf_dir, "texts", lambda: order_facts(spark, sf_dir).select(
+        "doc_id", content().alias("raw_text")))
 
 
 def _field(name: str, value: Column, confidence: Column) -> Column:
@@ -153,6 +168,10 @@ def _words(*names: str) -> list[Column]:
 
 def payload_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, payload) per order; a few payloads are cut off and are no JSON."""
+    return prepared(spark, sf_dir, "payloads", lambda: _payload_docs(spark, sf_dir))
+
+
+def _payload_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     style, date_style, split = F.col("style"), F.col("date_style"), F.col("split")
     number = F.concat(F.lit("  "), F.lower("number"), F.lit("　"))
     score = F.lit(0.98) - (_mod("k", 4) * 5) / 100.0
@@ -206,10 +225,14 @@ def payload_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, doc_type, payload) per order line: a table with a header that is Japanese,
     English or unknown by line number, rows that are no data, and a second small table."""
-    x = spread(table(spark, sf_dir, "lineitem").select(
+    return prepared(spark, sf_dir, "lines", lambda: _line_docs(spark, sf_dir))
+
+
+def _line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_shipdate",
-    )).withColumns({
+    ).withColumns({
         "qty": F.col("l_quantity").cast("bigint"),
         "cents": F.round(F.col("l_extendedprice") * 100).cast("bigint"),
     })
@@ -246,7 +269,7 @@ def line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw_text) per order naming a supplier, or none."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    o = orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority")
     name = F.format_string("Supplier#%09d", F.expr("o_custkey div 10"))
     body = F.when(_mod("o_orderkey", 8) == 0, F.lit("発行元の記載なし")).otherwise(
         F.concat(F.lit("発行元："), name, F.lit(" 御中")))
@@ -353,3 +376,44 @@ def cdm_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("unmapped_fields"),
         ).alias("metadata"),
     )
+
+
+def hard_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, payload) per order with values that a fixed schema reads wrongly: amounts of ten
+    million and more, nesting of four levels, repeated keys, fields that are no objects."""
+    o = order_facts(spark, sf_dir).select("doc_id", "k", "yen", "number")
+    nested = (
+        '{"type":"object","valueObject":{"bank":{"valueObject":{"branch":{"valueObject":{"account":'
+        '{"valueObject":{"holder":{"content":"H%d","confidence":0.5}}}}}}}}}')
+    items = '{"valueArray":["a%d",{"type":"string","valueString":"x"},7]}'
+    fields = F.format_string(
+        '{"TotalAmount":{"valueNumber":%d.0},"Small":{"valueNumber":0.5},"Whole":{"valueNumber":%d},'
+        '"Pay":' + nested + ',"Items":' + items + ',"Plain":"text %d","Pay2":{"valueObject":'
+        '{"a":{"content":"1"},"a":{"content":"2"}}},"Twice":{"content":"first"},"Twice":{"content":"K%d"}}',
+        F.col("yen") + 10_000_000, F.col("yen") + 20_000_000, "k", "k", "k", "k")
+    payload = F.concat(
+        F.lit('{"analyzeResult":{"documents":[{"fields":'), fields,
+        F.lit('}],"tables":[{"rowCount":2.0,"cells":[{"rowIndex":0.0,"columnIndex":0.0,"content":"h"},'
+              '{"rowIndex":1.0,"columnIndex":0.0,"content":"c"}]}],"content":"請求書 請求番号"}}'))
+    return o.select("doc_id", payload.alias("payload"))
+
+
+def repeated_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`payload_docs`, some of them twice: the second under the id with a letter behind."""
+    docs = payload_docs(spark, sf_dir)
+    again = docs.filter(F.substring("doc_id", 2, 18).cast("bigint") % 41 == 7)
+    return docs.union(again.select(F.concat("doc_id", F.lit("b")).alias("doc_id"), "payload"))
+
+
+def wide_line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, doc_type, vendor, payload) per order: lines with columns that only rules know."""
+    o = order_facts(spark, sf_dir).select("doc_id", "k")
+    rows = [
+        _words("品目", "品番", "税率", "数量"),
+        [F.lit("部材"), F.format_string("P-%d", F.col("k")),
+         F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "0.08").otherwise("軽減"), F.lit("2")],
+    ]
+    result = F.struct(F.array(_table(rows)).alias("tables"))
+    return o.select(
+        "doc_id", F.lit("INVOICE").alias("doc_type"), F.when(F.col("k") % 2 == 0, "A社").alias("vendor"),
+        F.to_json(F.struct(result.alias("analyzeResult"))).alias("payload"))

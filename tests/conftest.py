@@ -1,4 +1,6 @@
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
-def make_session(cpus: str = "8") -> SparkSession:
+def make_session(cpus: str = os.environ.get("TEST_CPUS", "8")) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("denpyo-tests")
         .config("spark.ui.enabled", "false")
@@ -15,6 +17,7 @@ def make_session(cpus: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="denpyo-tests-"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

@@ -69,7 +69,7 @@ def test_vendor_master_lengths(spark):
         [(2, 0, "A", "山田"), (1, 0, "B", "株式会社山田商店"), (3, 0, "C", "株式会社山田")],
         "vendor_ord int, pat_ord int, vendor string, pattern string")
     got = {r.doc_id: r.vendor for r in classify.match_vendor_master(docs, patterns).collect()}
-    assert got == {"t0": "A", "t1": "B", "t3": "A"}
+    assert got == {"t0": "A", "t1": "B", "t2": None, "t3": "A"}
 
 
 def payload(**parts):
@@ -224,9 +224,79 @@ def test_ingest_equals_batch(spark, tmp_path):
 
 
 def test_first_schema_error_only(spark):
-    from denpyo.plans import render
+    from fixtures import render
 
     docs = render.cdm_docs(spark, "/root/testdata/sf0.001")
     out = validate.with_validation(docs, first_only=True)
     worst = out.select(F.max(F.size(F.filter("errors", lambda e: e["code"].startswith("schema"))))).first()[0]
     assert worst == 1
+
+
+def test_hard_payload_values(spark):
+    """Single bad fields are left out, nesting has no limit, the last of repeated keys counts."""
+    deep = {"content": "x"}
+    for _ in range(30):
+        deep = {"valueObject": {"k": deep}}
+    fields = {"plain": "text", "number": 5, "deep": deep, "big": {"valueNumber": 12345678.0}, "tiny": {"valueNumber": 1e-7},
+              "list": {"valueArray": [{"type": "object", "valueObject": {"a": {"content": "1"}}}, "s", {"a": {"valueNumber": 2.5}}]}}
+    text = json.dumps({"analyzeResult": {"documents": [{"fields": fields}], "content": "t"}})
+    twice = '{"analyzeResult":{"documents":[{"fields":{"a":{"content":"1","content":"2"},"a":{"content":"3"},' \
+            '"b":{"valueObject":{"x":{"content":"1"},"x":{"content":"2"}}}}}]}}'
+    first, second = extracted(spark, text, twice)
+    got = {e.key: e.value for e in first.entries}
+    assert first.extracted and set(got) == {"deep", "big", "tiny", "list"}
+    assert got["big"] == "12345678.0" and got["list"] == '[{},"s",{"a":2.5}]'
+    assert got["deep"].count('"k"') == 30 and float(got["tiny"]) == 1e-7
+    assert {e.key: e.value for e in second.entries} == {"a": "3", "b": '{"x":"2"}'}
+
+
+def test_selection_reaches_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", payload(content="x")) for i in range(4)], files.RECORD_SCHEMA)
+    docs.write.parquet(str(tmp_path / "docs"))
+    out = normalize_payloads(spark.read.parquet(str(tmp_path / "docs")), RUN_TS, where="doc_id = 'd2'")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,d2)" in plan.split("PushedFilters", 1)[1][:200]
+    assert [r.doc_id for r in out.collect()] == ["d2"]
+
+
+def test_broken_lines_keep_their_text(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"doc_id":"a","payload":"{}"}\n{"doc_id":"b", oops\n')
+    rows = {r.doc_id: r for r in files.read_records(spark, str(tmp_path / "in")).collect()}
+    broken = next(r for i, r in rows.items() if i != "a")
+    assert len(rows) == 2 and broken.payload == '{"doc_id":"b", oops' and "a.json#" in broken.doc_id
+
+
+def test_runs_do_not_replace_each_other(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "z-old", RUN_TS)], "id string, doc_id string, created_at string")
+    newer = spark.createDataFrame([("k", "a-new", RUN_TS)], rows.schema)
+    for run, batch, part in (("r1", 0, rows), ("r1", 1, newer), ("r2", 0, rows.limit(0))):
+        sinks.upsert_documents(part, str(tmp_path / "t"), run, batch)
+    assert [r.doc_id for r in sinks.read_documents(spark, str(tmp_path / "t")).collect()] == ["a-new"]
+
+
+def test_null_text_has_no_confidence(spark):
+    df = spark.createDataFrame([("a", None)], "doc_id string, raw_text string")
+    assert classify.with_classification(df).first().confidence == 0.0
+
+
+def test_safe_expressions():
+    assert lines.safe_expression("a / b") == "try_divide(a, b)"
+    assert lines.safe_expression("cast(x as int) % 2") == "try_mod(try_cast(x as int), 2)"
+    assert lines.safe_expression("a / (b / c)") == "try_divide(a, (try_divide(b, c)))"
+    assert lines.safe_expression("raise_error('x')") is None and lines.safe_expression("a ** / b") is None
+
+
+def test_line_sums_of_large_amounts(spark):
+    df = spark.createDataFrame([("a", 1e17), ("a", 0.5), ("b", 1e30), ("b", None)], "k string, amount double")
+    got = {r.k: (float(r.line_total) if r.line_total is not None else None, r.line_count, r.unread_count)
+           for r in lines.line_sums(df, "k", "amount").collect()}
+    assert got == {"a": (1e17 + 0.5, 2, 0), "b": (None, 2, 1)}
+
+
+def test_vendor_phones(spark):
+    patterns = spark.createDataFrame([(0, 0, "P", "06-9876-5432", "phone_patterns"), (1, 0, "Q", "Invoice One", "company_names")],
+                                     "vendor_ord int, pat_ord int, vendor string, pattern string, kind string")
+    docs = texts(spark, "tel 06 9876 5432", "tel 0698765432", "tel 06-9876-5433", "Invoice One", None)
+    got = {r.doc_id: r.vendor for r in classify.match_vendor_master(docs, patterns).collect()}
+    assert list(got.values()).count("P") == 2 and list(got.values()).count("Q") == 1 and len(got) == 5

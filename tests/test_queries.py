@@ -4,9 +4,10 @@ import pytest
 from check_queries import compare, connect
 
 import __spark_entry__ as entry
+from fixtures import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = {n: q for n, q in entry.queries().items() if n in catalog.QUERIES}, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
