@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,26 @@ from ..sources.files import scratch_dir
 #: Odd 64-bit constants of well-known hash mixers.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-#: Hashes of words kept between batches; beyond it they are computed anew.
-WORDS_KEPT = 1 << 19
+#: Text that is hashed at once, in bytes.
+CHUNK = 1 << 20
+
+
+def kept_by_worker(name: str, key, build):
+    """What `build` gave for this key in this Python worker, one thing for each name. It outlives the
+    task, as a module's state would; tasks may run in any worker and any order, so it only ever
+    saves time."""
+    import sys
+    import types
+
+    space = sys.modules.setdefault("denpyo_worker", types.ModuleType("denpyo_worker")).__dict__
+    if space.get(name, (None,))[0] != key:
+        space.pop(name, None)
+        space[name] = (key, build())
+    return space[name][1]
+
+
+#: Beyond Latin letters and common punctuation, versions of Unicode may class a character differently.
+FOREIGN = re.compile("[^\u0000-\u024f\u2010-\u203a\u20ac]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +53,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 IDS_SENT = 500_000
 
 
+def sent(rows: DataFrame, stored_already: bool = False) -> DataFrame:
+    """Narrow rows, to be broadcast if a count shows that they are few enough."""
+    rows = rows if stored_already else stored(rows, "ids")
+    return F.broadcast(rows) if rows.count() <= IDS_SENT else rows
+
+
 def _sent(ids: DataFrame) -> DataFrame:
-    """Stored ids, to be broadcast if a count shows that they are few enough."""
-    ids = stored(ids.filter("doc_id IS NOT NULL").distinct(), "ids")
-    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+    return sent(ids.filter("doc_id IS NOT NULL").distinct())
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,37 +87,112 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), computed once per word while it is kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _powers(count: int, base: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """64-bit hashes of the words of whole columns of text.
+
+    `fold` maps each byte of UTF-8 to the byte it counts as; 0x20 separates words. A hash is a
+    polynomial of the word's bytes, each replaced by a random number, taken modulo 2^64 from
+    running sums over all bytes: the same word has the same hash wherever it stands.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, fold: bytes, second: bool = False):
+        """`second`: words get another, independent hash."""
+        self.fold = np.frombuffer(fold, np.uint8)
+        values = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.value = np.where(self.fold == 0x20, np.uint64(0), values[self.fold])
+        self.other = np.where(self.fold == 0x20, np.uint64(0), values[::-1][self.fold]) if second else None
+        self._grow(CHUNK)
+
+    def _grow(self, size: int) -> None:
+        self.power = _powers(size, self.BASE)
+        self.inverse = _powers(size, pow(self.BASE, -1, 1 << 64))
+
+    def chunks(self, texts: pa.Array):
+        """(first row, Chunk) for runs of rows of about CHUNK bytes; null texts have no words."""
+        width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else [0]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1)
+            yield row, Chunk(self, data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row])
+            row = stop
+
+
+class Chunk:
+    """Words of some rows: `hashes` of all of them, `bounds` of each row among them."""
+
+    def __init__(self, words: Words, raw: np.ndarray, ends: np.ndarray):
+        if len(raw) > len(words.power):
+            words._grow(len(raw))
+        value = words.value[raw]
+        inside = value != 0
+        self.raw, self.ends, self.fold = raw, ends, words.fold
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[ends] = True  # a word ends with its row
+        opens, closes = inside.copy(), inside.copy()
+        if len(raw) > 1:
+            opens[1:] &= ~inside[:-1] | edge[1:-1]
+            closes[:-1] &= ~inside[1:] | edge[1:-1]
+        self.starts, self.stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.hashes = self._hashed(words, value)
+        self.second = None if words.other is None else self._hashed(words, words.other[raw])
+        self.bounds = np.searchsorted(self.starts, ends)
+
+    def _hashed(self, words: Words, value: np.ndarray) -> np.ndarray:
+        value *= words.power[:len(value)]
+        sums = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        return mixed((sums[self.stops] - sums[self.starts]) * words.inverse[self.starts])
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def word(self, i: int) -> bytes:
+        return self.fold[self.raw[self.starts[i]:self.stops[i]]].tobytes()
+
+    def shingles(self, size: int):
+        """The window hashes of each row in order; a row of fewer words is one window."""
+        every = windows(self.hashes, size) if len(self.hashes) >= size else None
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            yield every[a:b - size + 1] if b - a >= size else windows(self.hashes[a:b], b - a) if b > a else _NONE
+
+
+_NONE = np.empty(0, np.uint64)
+#: Words between ASCII white space, A-Z lower-cased.
+SPACED = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """One hash for each run of `size` word hashes, in order."""
     count = len(hashes) - size + 1
-    salted = (hashes ^ (hashes >> np.uint64(29)))
     out = np.full(count, size, np.uint64)
     for i in range(size):
-        out = out * MIX[0] + salted[i:count + i] * MIX[i % 5]
+        out *= MIX[0]
+        out += hashes[i:count + i]
     return mixed(out)
 
 
-def shingle_set(text: str | None, words_of: WordHashes, size: int) -> np.ndarray:
-    """Distinct shingle hashes in ascending order; a text of fewer words is one shingle."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(words_of.of(words), min(size, len(words))))
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes in ascending order."""
+    out = np.sort(hashes)
+    return out[np.r_[True, out[1:] != out[:-1]]] if len(out) > 1 else out
+
+
+def shingle_sets(texts: pa.Array, words: Words, size: int):
+    """The distinct shingle hashes of each text, in ascending order."""
+    for _, chunk in words.chunks(texts):
+        for hashes in chunk.shingles(size):
+            yield distinct(hashes)
 
 
 def strings(column: pa.Array) -> Iterator[str | None]:

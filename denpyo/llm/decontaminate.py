@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, stored, strings, windows
+from .common import Words, stored, strings, windows
 
 WINDOW = 13
 PART_WINDOWS = 1 << 21
@@ -36,24 +36,21 @@ _WORD_BYTES = bytes(
     (b + 32 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORD_BYTES).split() if text else []
-
-
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, length, hash, words) of all windows of the items (item_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        words = Words(_WORD_BYTES)
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                words = words_of(text)
-                length = min(size, len(words))
-                if item is None or not words:
-                    continue
-                for i, h in enumerate(windows(hashes.of(words), length).view(np.int64).tolist()):
-                    rows.append((item, length, h, b" ".join(words[i:i + length])))
+            rows, items = [], batch.column(0).to_pylist()
+            for first, chunk in words.chunks(batch.column(1)):
+                for r, hashes in enumerate(chunk.shingles(size)):
+                    a, b = int(chunk.bounds[r]), int(chunk.bounds[r + 1])
+                    length = min(size, b - a)
+                    if items[first + r] is None or not length:
+                        continue
+                    for i, h in enumerate(hashes.view(np.int64).tolist()):
+                        rows.append((items[first + r], length, h, b" ".join(map(chunk.word, range(a + i, a + i + length)))))
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary()))],
@@ -76,18 +73,22 @@ class Scanner:
             hashes.setdefault(length, set()).add(h)
         self.sorted = {n: np.sort(np.fromiter(h, np.int64, len(h))) for n, h in hashes.items()}
 
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, bytes]]:
-        """(first word, last word, window) of every occurrence."""
-        out = []
+    def hits(self, chunk) -> list[list[tuple[int, int, bytes]]]:
+        """For each row of a chunk (first word, last word, window) of every occurrence."""
+        out: list[list[tuple[int, int, bytes]]] = [[] for _ in range(len(chunk))]
         for length, known in self.sorted.items():
-            if len(words) < length:
+            if len(chunk.hashes) < length:
                 continue
-            mine = windows(hashes, length).view(np.int64)
+            mine = windows(chunk.hashes, length).view(np.int64)
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             for i in np.flatnonzero(known[at] == mine).tolist():
-                window = b" ".join(words[i:i + length])
+                row = int(np.searchsorted(chunk.bounds, i, side="right")) - 1
+                if i + length > chunk.bounds[row + 1]:
+                    continue  # goes beyond its text
+                window = b" ".join(map(chunk.word, range(i, i + length)))
                 if window in self.items:
-                    out.append((i, i + length - 1, window))
+                    first = i - int(chunk.bounds[row])
+                    out[row].append((first, first + length - 1, window))
         return out
 
 
@@ -112,14 +113,12 @@ def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tup
 
 
 def _scan(batches: Iterator[pa.RecordBatch], part, text_at: int):
-    """(batch, [(n_words, [(first, last, window)], scanner)]) for each batch."""
-    scanner, hashes = Scanner(part.value), WordHashes()
+    """(batch, [(n_words, [(first, last, window)])], scanner) for each batch."""
+    scanner, words = Scanner(part.value), Words(_WORD_BYTES)
     for batch in batches:
         found = []
-        for text in strings(batch.column(text_at)):
-            words = words_of(text)
-            hits = scanner.hits(words, hashes.of(words)) if words else []
-            found.append((len(words), hits))
+        for _, chunk in words.chunks(batch.column(text_at)):
+            found.extend(zip(np.diff(chunk.bounds).tolist(), scanner.hits(chunk)))
         yield batch, found, scanner
 
 

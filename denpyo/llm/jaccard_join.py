@@ -11,13 +11,14 @@ How it is distributed:
 * Rare first needs counts of all shingles. They are counted in a table of 2^22 hashed
   counters, whose size does not depend on the input; any function of a shingle is a valid
   order, so collisions cost pruning and never a link.
-* A task emits a group's postings once, so copies collapse before the shuffle. A posting list
-  has at most one row for each group, and is read as a sorted stream.
+* Documents are described once (size, signature, prefix); only one of each group is posted, so
+  copies collapse before the shuffle. A posting list has one row for each group, and is read as
+  a sorted stream.
 * Many near copies of one text would give a quadratic number of pairs. As the result is the
   components, pairs are verified in rounds: first each set against one partner (linear), then
   every pair that is still in different components. No pair that could join two components
   is left out.
-* Sets travel only for documents that a filter has left a partner.
+* Sets are built and travel only for the documents whose pairs are verified in a round.
 
 Results by case: null or blank text has an empty set, is linked with nothing and is its own
 component; rows without an id are returned with null component and take no part; rows that
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingle_set, signed, stored, strings
+from .common import SPACED, Words, sent, shingle_sets, signed, stored, windows, without_ids
 
 #: Counters of the table that orders shingles by frequency, and rows it is summed in.
 COUNTER_BITS, COUNTER_ROWS = 22, 1024
@@ -44,8 +45,8 @@ COUNTER_BITS, COUNTER_ROWS = 22, 1024
 HUBS = 16
 #: A list up to this length is filtered by all its pairs before it is stored.
 SHORT_LIST = 2048
-#: Groups a task remembers as emitted.
-GROUPS_KEPT = 1 << 20
+#: Pairs a task remembers as offered.
+PAIRS_KEPT = 1 << 16
 
 
 def _ratio(threshold: float) -> tuple[int, int]:
@@ -68,12 +69,13 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
     per_row = (1 << COUNTER_BITS) // COUNTER_ROWS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, total = WordHashes(), np.zeros(1 << COUNTER_BITS, np.uint32)
+        words, total = Words(SPACED), np.zeros(1 << COUNTER_BITS, np.uint32)
         shift = np.uint64(64 - COUNTER_BITS)
         for batch in batches:
-            for text in strings(batch.column(0)):
-                at = (shingle_set(text, words_of, size) >> shift).astype(np.int64)
-                np.add.at(total, at, np.uint32(1))
+            for _, chunk in words.chunks(batch.column(0)):
+                # Windows over the end of a text count too; they only blur the order.
+                if len(chunk.hashes) >= size:
+                    np.add.at(total, (windows(chunk.hashes, size) >> shift).astype(np.int64), np.uint32(1))
         rows = [r for r in range(COUNTER_ROWS) if total[r * per_row:(r + 1) * per_row].any()]
         packed = [zlib.compress(total[r * per_row:(r + 1) * per_row].tobytes(), 1) for r in rows]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(packed, pa.binary())],
@@ -115,52 +117,37 @@ def _group_key(prefix: np.ndarray, n: int) -> int:
 
 
 def _documents(docs: DataFrame, levels, size: int, threshold: float) -> DataFrame:
-    """(doc_id, n, s1, s2, g): size, 128-bit signature of the set, key of the prefix group."""
+    """(doc_id, n, s1, s2, g, prefix): size, 128-bit signature of the set, key of the prefix group."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, order = WordHashes(), levels.value
+        words, order = Words(SPACED), levels.value
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for text in strings(batch.column(1)):
-                shingles = shingle_set(text, words_of, size)
+            out, prefixes = [], []
+            for shingles in shingle_sets(batch.column(1), words, size):
                 sign = xxhash.xxh3_128_intdigest(shingles.tobytes())
-                key = _group_key(_prefix(shingles, order, threshold), len(shingles)) if len(shingles) else 0
+                prefix = _prefix(shingles, order, threshold) if len(shingles) else shingles
+                key = _group_key(prefix, len(shingles)) if len(shingles) else 0
                 out.append((len(shingles), (sign >> 64) - (1 << 63), (sign & (1 << 64) - 1) - (1 << 63), key))
+                prefixes.append(signed(prefix))
             cols = list(zip(*out)) if out else [()] * 4
+            ends = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
+            flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(c, pa.int64()) for c in cols], ["doc_id", "n", "s1", "s2", "g"])
+                [batch.column(0)] + [pa.array(c, pa.int64()) for c in cols] + [pa.ListArray.from_arrays(pa.array(ends), flat)],
+                ["doc_id", "n", "s1", "s2", "g", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id LONG, n LONG, s1 LONG, s2 LONG, g LONG")
+    return docs.select("doc_id", "text").mapInArrow(
+        describe, "doc_id LONG, n LONG, s1 LONG, s2 LONG, g LONG, prefix ARRAY<LONG>")
 
 
-def _postings(docs: DataFrame, levels, size: int, threshold: float) -> DataFrame:
-    """(token, g, n, pos) for each prefix shingle of each group."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, order, seen = WordHashes(), levels.value, set()
-        for batch in batches:
-            tokens, keys, sizes, places = [], [], [], []
-            for text in strings(batch.column(0)):
-                shingles = shingle_set(text, words_of, size)
-                if not len(shingles):
-                    continue
-                prefix = _prefix(shingles, order, threshold)
-                key = _group_key(prefix, len(shingles))
-                if key in seen:
-                    continue
-                if len(seen) < GROUPS_KEPT:
-                    seen.add(key)
-                tokens.append(prefix)
-                keys.append(np.full(len(prefix), key, np.int64))
-                sizes.append(np.full(len(prefix), len(shingles), np.int32))
-                places.append(np.arange(len(prefix), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(keys)),
-                     pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                    ["token", "g", "n", "pos"])
-
-    return docs.select("text").mapInArrow(emit, "token LONG, g LONG, n INT, pos INT")
+def _postings(described: DataFrame) -> DataFrame:
+    """(token, g, n, pos) for each prefix shingle of each group, from one document of the group."""
+    rows = described.filter("doc_id IS NOT NULL AND n > 0")
+    first = rows.groupBy("g").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).filter("docs > 1")
+    others = rows.select("doc_id", "g").join(first.select("g", "first"), "g").filter("doc_id <> first").select("doc_id")
+    return without_ids(rows, others).select(
+        "g", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "g", "n", "pos")
 
 
 def _compatible(n, p, m, q, threshold: float):
@@ -171,23 +158,35 @@ def _compatible(n, p, m, q, threshold: float):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The lists of a stream sorted by token, one after the other."""
-    held: list[dict[str, np.ndarray]] = []
+    """The lists of two members or more of a stream sorted by token. Most have just two: those of a
+    batch come together, as columns of shape (lists, 2), all others one by one."""
+    pieces: list[dict[str, np.ndarray]] = []  # of the last token, which may go on
+
+    def done(cols: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        if len(two):
+            yield {k: v[two[:, None] + np.arange(2)] for k, v in cols.items()}
+        for i in np.flatnonzero(sizes > 2):
+            yield {k: v[cuts[i]:cuts[i + 1]] for k, v in cols.items()}
+
     for batch in batches:
-        cols = {name: batch.column(i).to_numpy(zero_copy_only=False).copy()
-                for i, name in enumerate(batch.schema.names)}
+        if not batch.num_rows:
+            continue
+        cols = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
         token = cols["token"]
-        if not len(token):
+        if pieces and pieces[0]["token"][0] == token[0] == token[-1]:
+            pieces.append(cols)
             continue
-        cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(token)]):
-            piece = {k: v[a:b] for k, v in cols.items()}
-            if held and held[0]["token"][0] != piece["token"][0]:
-                yield held[0] if len(held) == 1 else {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-                held = []
-            held.append(piece)
-    if held:
-        yield held[0] if len(held) == 1 else {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        if pieces:
+            cols = {k: np.concatenate([p[k] for p in pieces] + [v]) for k, v in cols.items()}
+            token = cols["token"]
+        cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
+        yield from done(cols, cuts)
+        pieces = [{k: v[cuts[-1]:].copy() for k, v in cols.items()}]
+    if pieces:
+        cols = {k: np.concatenate([p[k] for p in pieces]) for k in pieces[0]}
+        yield from done(cols, np.array([0, len(cols["token"])]))
 
 
 def _batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +212,16 @@ def _group_lists(postings: DataFrame, threshold: float) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for one in _lists(batches):
-                _, first = np.unique(one["g"], return_index=True)
-                m = len(first)
-                if m < 2:
-                    continue
-                g, n, p = one["g"][first], one["n"][first].astype(np.int64), one["pos"][first].astype(np.int64)
-                kept = np.ones(m, bool)
-                if m <= SHORT_LIST:
+                g, n, p = one["g"], one["n"].astype(np.int64), one["pos"].astype(np.int64)
+                if g.ndim == 2:
+                    kept = _compatible(n[:, 0], p[:, 0], n[:, 1], p[:, 1], threshold) & (g[:, 0] != g[:, 1])
+                elif len(g) <= SHORT_LIST:
                     fit = _compatible(n[:, None], p[:, None], n[None, :], p[None, :], threshold)
-                    np.fill_diagonal(fit, False)
-                    kept = fit.any(axis=1)
+                    kept = (fit & (g[:, None] != g[None, :])).any(axis=1)
+                else:
+                    kept = np.ones(len(g), bool)
                 if kept.any():
-                    k = int(kept.sum())
-                    yield (np.full(k, one["token"][0]), g[kept], n[kept].astype(np.int32), p[kept].astype(np.int32))
+                    yield tuple(one[c][kept].ravel() for c in ("token", "g", "n", "pos"))
         yield from _batches(rows(), ["token", "g", "n", "pos"])
 
     return _by_token(postings).mapInArrow(keep, "token LONG, g LONG, n INT, pos INT")
@@ -244,7 +240,7 @@ def _offers(lists: DataFrame, threshold: float, every: bool) -> DataFrame:
             new = []
             for i, pair in enumerate(zip(low.tolist(), high.tolist())):
                 if pair not in last:
-                    if len(last) >= GROUPS_KEPT:
+                    if len(last) >= PAIRS_KEPT:
                         last.clear()
                     last.add(pair)
                     new.append(i)
@@ -253,6 +249,12 @@ def _offers(lists: DataFrame, threshold: float, every: bool) -> DataFrame:
         def rows():
             for one in _lists(batches):
                 comp = one["comp"]
+                if comp.ndim == 2:
+                    n, p, ids = one["n"].astype(np.int64), one["pos"].astype(np.int64), one["id"]
+                    fit = _compatible(n[:, 0], p[:, 0], n[:, 1], p[:, 1], threshold) & (comp[:, 0] != comp[:, 1])
+                    if fit.any():
+                        yield fresh(ids[fit, 0], ids[fit, 1]) if every else (ids[fit].min(axis=1), ids[fit].max(axis=1))
+                    continue
                 if (comp == comp[0]).all():
                     continue
                 sizes = np.unique(comp, return_inverse=True, return_counts=True)
@@ -286,35 +288,52 @@ def _offers(lists: DataFrame, threshold: float, every: bool) -> DataFrame:
     return _by_token(lists).mapInArrow(offer, "a LONG, b LONG")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the named documents."""
+def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows with their last column, a text, replaced by `shingles`, its set."""
+    names = rows.columns[:-1]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = WordHashes()
+        words = Words(SPACED)
         for batch in batches:
-            sets = [signed(shingle_set(t, words_of, size)) for t in strings(batch.column(1))]
+            sets = [signed(s) for s in shingle_sets(batch.column(len(names)), words, size)]
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "shingles"])
+                batch.columns[:-1] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names + ["shingles"])
+
+    return rows.mapInArrow(build, ", ".join(f"{n} LONG" for n in names) + ", shingles ARRAY<LONG>")
 
-    named = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return (
-        named.select(F.col("doc_id").alias("id"), "text").mapInArrow(build, "id LONG, shingles ARRAY<LONG>")
-        .dropDuplicates(["id"])
-    )
 
+def plausible(pairs: DataFrame, described: DataFrame, threshold: float) -> DataFrame:
+    """The stored pairs (a, b) that their prefixes leave possible.
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    Of two sets, take the one whose prefix ends first in the order: what its prefix shares with the
+    other set lies in both prefixes, so the intersection is at most that and the rest of the set.
+    """
     a, b = _ratio(threshold)
-    both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total")).filter(
-        F.col("common") * b >= a * (F.col("total") - F.col("common"))).select("a", "b")
+    own = described.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "prefix")
+    seconds = own.join(sent(pairs, True).withColumnRenamed("b", "doc_id"), "doc_id").withColumnRenamed("doc_id", "b")
+    firsts = own.join(sent(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").toDF("a", "m", "other")
+    most = F.size(F.array_intersect("prefix", "other")) + F.greatest(
+        F.col("n") - F.size("prefix"), F.col("m") - F.size("other"))
+    return seconds.join(firsts, "a").filter(most * (a + b) >= a * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
+def verify(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The stored pairs (a, b) whose whole sets reach the threshold.
+
+    Sets are built where the texts lie and meet by the pair's first document: one trip for each
+    pair and one for each first document.
+    """
+    a, b = _ratio(threshold)
+    text = docs.select("doc_id", "text")
+    seconds = text.join(sent(pairs, True).withColumnRenamed("b", "doc_id"), "doc_id")
+    firsts = text.join(sent(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    both = _with_sets(seconds.select("a", F.col("doc_id").alias("b"), "text"), size).join(
+        _with_sets(firsts.select(F.col("doc_id").alias("a"), "text"), size).withColumnRenamed("shingles", "other"), "a")
+    common = F.size(F.array_intersect("shingles", "other"))
+    return both.select("a", "b", common.alias("common"), (F.size("shingles") + F.size("other")).alias("total")).filter(
+        F.col("common") * b >= a * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,7 +373,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
     )
     classes = stored(classes, "jaccard-classes")
 
-    found = stored(_group_lists(_postings(named, levels, size, threshold), threshold), "jaccard-lists")
+    found = stored(_group_lists(_postings(described), threshold), "jaccard-lists")
     members = classes.select("id", "g", F.col("n").cast("int").alias("n"))
     expanded = found.join(members.select("id", "g"), "g").select("token", "id", "n", "pos")
     # The distinct sets of one group share their whole prefix.
@@ -363,7 +382,6 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
         .select(F.col("g").alias("token"), "id", "n", F.lit(0).alias("pos"))
     )
     lists = stored(expanded.union(inside), "jaccard-members")
-    sets = stored(_sets(named, lists.select("id").distinct(), size), "jaccard-sets")
 
     labels = spark.createDataFrame([], "id LONG, comp LONG")
     tested = spark.createDataFrame([], "a LONG, b LONG")
@@ -379,7 +397,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
             chosen = counted.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
         chosen = stored(chosen, "jaccard-pairs")
         tested = tested.union(chosen)
-        edges = stored(edges.union(verify(chosen, sets, threshold)), "jaccard-links")
+        left = stored(plausible(chosen, described, threshold), "jaccard-plausible")
+        edges = stored(edges.union(verify(left, named, size, threshold)), "jaccard-links")
         labels = components(edges)
 
     return (
