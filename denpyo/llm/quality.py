@@ -32,7 +32,7 @@ SAMPLE = 20_000
 #: Score from which a document is predicted good.
 CUT = 0.3
 FEATURES = [
-    "symbols", "marks", "pipes", "shouts", "digits", "upper", "upper_words", "repeats", "pairs", "variety",
+    "symbols", "marks", "pipes", "shouts", "upper", "upper_words", "repeats", "pairs", "variety",
     "lines", "long_words", "short", "letters",
 ]
 #: Bytes counted as symbols, marks of exclamation, and separators of lists.
@@ -53,7 +53,7 @@ def features(text: str | None) -> list[float]:
     pairs = len(set(zip(words, words[1:]))) / max(1, len(words) - 1)
     lines = [line for line in raw.split(b"\n") if line]
     return [
-        share(SYMBOLS), share(STOPS), share(PIPES), share(SHOUTS), share(b"0123456789"),
+        share(SYMBOLS), share(STOPS), share(PIPES), share(SHOUTS),
         float(upper) / max(1, letters), sum(map(bytes.isupper, words)) / count, repeats, 1 - pairs,
         1 - kinds / count, 1 - len(set(lines)) / max(1, len(lines)), min(1.0, sum(len(w) > 20 for w in words) / count),
         1 / (1 + len(words) / 10), float(letters) / max(1, len(raw)),
@@ -104,7 +104,7 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None,
-        decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(weights with the constant last, means, scales, prior) of a scorer on expanded features."""
     p, u = _expanded(positive), _expanded(unlabelled)
     mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3
