@@ -183,6 +183,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
     def rank(group: pa.Table) -> pa.Table:
         known, order, asked = _sorted(group)
         key, deep = asked.column("key").to_numpy(), asked.column("depth").to_numpy()
+        if not len(known) or not len(asked):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["cid", "found", "score"])
         cid, own = known.column("cid").to_numpy(), asked.column("cid").to_numpy()
         read = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(t), -1)
         x, q = read(known), read(asked)
