@@ -145,11 +145,12 @@ def _host_priors(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 def identify(rows: DataFrame, model: np.ndarray, languages: list[str] = LANGUAGES, markup: bool = False) -> DataFrame:
     """`rows` (text, declared, url, and any others) with lang, posterior, text_lang and accepted
-    in place of these three.
+    in place of these three and of columns that have the same names.
 
     Rows whose `url` is null may name their source in a column `host`.
     """
-    others = [c for c in rows.columns if c not in ("text", "declared", "url", "host")]
+    replaced = ("text", "declared", "url", "host", "lang", "posterior", "text_lang", "accepted", "evidence")
+    others = [c for c in rows.columns if c not in replaced]
     named = F.col("host") if "host" in rows.columns else F.lit(None).cast("string")
     host = F.coalesce(F.nullif(host_of(F.col("url")), F.lit("")), named, F.lit(""))
     folder = F.lower(F.regexp_extract(path_of(F.col("url")), r"^/([A-Za-z]{2})(?:/|$)", 1))
