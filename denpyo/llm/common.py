@@ -19,6 +19,11 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 CHUNK = 1 << 20
 
 
+def lean() -> None:
+    """Let Arrow give freed memory back at once: Python workers live on beside each other."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def kept_by_worker(name: str, key, build):
     """What `build` gave for this key in this Python worker, one thing for each name. It outlives the
     task, as a module's state would; tasks may run in any worker and any order, so it only ever
@@ -41,9 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow batches hold so many bytes at most, whatever the length of the texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The rows, in a session whose Arrow batches are bounded."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows, written to the shared folder and read back: what follows starts from files
     that survive lost executors."""
+    bounded(df)
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -168,10 +184,92 @@ class Chunk:
 
 
 _NONE = np.empty(0, np.uint64)
-#: Words between ASCII white space, A-Z lower-cased.
+#: Words between blanks, and words between ASCII white space with A-Z lower-cased.
+BLANKS = bytes(range(256))
 SPACED = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+class Kept:
+    """Numbers (a few for each token) by the token's two hashes, in arrays: a large sorted part and a
+    small recent one."""
+
+    RECENT = 1 << 17
+
+    def __init__(self, dtype: np.dtype):
+        self.numbers = np.empty(1 << 18, dtype)
+        self.used = 0
+        empty = np.empty((0, 4), np.uint64)  # hash, second hash, place and count of the numbers
+        self.parts = [empty, empty]
+
+    def add(self, keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(codes) > len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
+        self.numbers[self.used:self.used + len(codes)] = codes
+        places = self.used + np.cumsum(sizes) - sizes
+        self.used += len(codes)
+        rows = np.column_stack([keys, places.astype(np.uint64), sizes.astype(np.uint64)])
+        self._merge(1, rows[np.argsort(rows[:, 0], kind="stable")])
+        if len(self.parts[1]) > self.RECENT:
+            self._merge(0, self.parts[1])
+            self.parts[1] = rows[:0]
+
+    def _merge(self, part: int, rows: np.ndarray) -> None:
+        """Put sorted rows among the sorted ones of a part."""
+        old = self.parts[part]
+        self.parts[part] = np.insert(old, np.searchsorted(np.ascontiguousarray(old[:, 0]), rows[:, 0]), rows, axis=0)
+
+    def __len__(self) -> int:
+        return len(self.parts[0]) + len(self.parts[1])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, count) of the numbers of each token; count -1 for unknown ones."""
+        place, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for part in self.parts:
+            if len(part):
+                at = np.minimum(np.searchsorted(np.ascontiguousarray(part[:, 0]), keys[:, 0]), len(part) - 1)
+                same = (part[at, 0] == keys[:, 0]) & (part[at, 1] == keys[:, 1])
+                place[same], size[same] = part[at[same], 2].astype(np.int64), part[at[same], 3].astype(np.int64)
+        return place, size
+
+    def gather(self, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens in a row, where each token's end)."""
+        stops = np.cumsum(size)
+        return self.numbers[np.repeat(place - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)], stops
+
+
+def uneven_rows(chunk: Chunk, marks: list[bytes]) -> np.ndarray:
+    """Rows of a chunk whose text is not simply tokens with single blanks between them: blanks at an
+    end or in a row, one of the marks, or characters that FOREIGN finds."""
+    rows, raw, ends = len(chunk), chunk.raw, chunk.ends
+    out, blank = np.zeros(rows, bool), raw == 0x20
+    row_of = lambda at: np.searchsorted(ends, at, side="right") - 1
+    if len(raw) > 1:
+        out[row_of(np.flatnonzero(blank[1:] & blank[:-1]))] = True
+    filled = np.flatnonzero(np.diff(ends) > 0)
+    out[filled[blank[ends[filled]] | blank[ends[filled + 1] - 1]]] = True
+    data = raw.tobytes()
+    for mark in marks:
+        at = data.find(mark)
+        while at >= 0:
+            out[row_of(at)] = True
+            at = data.find(mark, at + 1)
+    # Lead bytes from 0xC9 on: characters from U+0240 on.
+    for row in np.unique(row_of(np.flatnonzero(raw >= 0xC9))).tolist():
+        if not out[row] and FOREIGN.search(data[ends[row]:ends[row + 1]].decode()):
+            out[row] = True
+    return out
+
+
+def token_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, head): both hashes of each token; `head` marks the first of each text, which has no
+    blank before it and so a key of its own."""
+    keys = np.column_stack([chunk.hashes, chunk.second])
+    head = np.zeros(len(keys), bool)
+    head[chunk.bounds[:-1][chunk.bounds[:-1] < chunk.bounds[1:]]] = True
+    keys[head] = ~keys[head]
+    return keys, head
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """One hash for each run of `size` word hashes, in order."""
     count = len(hashes) - size + 1

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, stored, strings, windows
+from .common import Words, bounded, stored, strings, windows
 
 WINDOW = 13
 PART_WINDOWS = 1 << 21
@@ -94,6 +94,7 @@ class Scanner:
 
 def _parts(items: DataFrame, size: int) -> list:
     """Broadcasts of the windows, each of at most some PART_WINDOWS of them."""
+    bounded(items)
     cut = stored(item_windows(items, size), "benchmark-windows")
     count = cut.count()
     parts = -(-count // PART_WINDOWS) or 1

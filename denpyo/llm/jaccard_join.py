@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, sent, shingle_sets, signed, stored, windows, without_ids
+from .common import SPACED, Words, bounded, sent, shingle_sets, signed, stored, windows, without_ids
 
 #: Counters of the table that orders shingles by frequency, and rows it is summed in.
 COUNTER_BITS, COUNTER_ROWS = 22, 1024
@@ -95,7 +95,7 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
 
     # A row holds 4096 counters as one byte each, and there are 1024 rows at most.
     rows = (
-        docs.select("text").mapInArrow(count, "row INT, counts BINARY")
+        bounded(docs).select("text").mapInArrow(count, "row INT, counts BINARY")
         .repartition("row").mapInArrow(add, "row INT, total LONG, logs BINARY").collect()
     )
     logs = np.zeros(1 << COUNTER_BITS, np.uint8)
@@ -388,7 +388,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
     edges = tested
     for turn in range(rounds + 1):
         every = turn == rounds
-        labelled = lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        labelled = lists.join(sent(labels, True), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         offers = _offers(labelled.select("token", "id", "n", "pos", "comp"), threshold, every)
         if every:
             chosen = offers.distinct().join(tested, ["a", "b"], "left_anti")
@@ -403,7 +403,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
 
     return (
         described.join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"], "left")
-        .join(labels, "id", "left")
+        .join(sent(labels, True), "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"),
                 F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id")).alias("component_id"))
     )

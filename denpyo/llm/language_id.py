@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, hash_sample, stored, strings
+from .common import MIX, bounded, hash_sample, stored, strings
 from .url_filters import domain_of, host_of, path_of, suffix_of
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, languages: list[str] = LANGUAGES) -> np.ndarray:
                 [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(of[at].astype(np.int64))],
                 ["lang", "bucket", "n"])
 
-    counts = texts.mapInArrow(count, "lang STRING, bucket INT, n LONG").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = bounded(texts).mapInArrow(count, "lang STRING, bucket INT, n LONG").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(languages), 1 << BUCKETS_LOG), 0.5)
     for lang, bucket, n in counts.collect():  # languages x buckets at most
         table[languages.index(lang), bucket] += n
@@ -109,7 +109,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray, markup: bool = False) -> D
             yield pa.RecordBatch.from_arrays(kept + [pa.array(cells, pa.list_(pa.float64()))], names + ["evidence"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(judge, f"{schema}, evidence ARRAY<DOUBLE>")
+    return bounded(rows).mapInArrow(judge, f"{schema}, evidence ARRAY<DOUBLE>")
 
 
 def _says(code: Column, right: float, languages: list[str]) -> Column:

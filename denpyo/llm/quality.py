@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, strings, with_ids
+from .common import bounded, hash_sample, strings, with_ids
 
 SAMPLE = 20_000
 #: Score from which a document is predicted good.
@@ -71,7 +71,7 @@ def _features_of(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _matrix(batch.column(0)).T], FEATURES)
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+    rows = bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(
         count, ", ".join(f"{f} DOUBLE" for f in FEATURES))
     return np.array([tuple(r) for r in rows.collect()], np.float64).reshape(-1, len(FEATURES))
 
@@ -172,7 +172,7 @@ def score(docs: DataFrame, scorer: Scorer, cut: float = CUT) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                       F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(judge, "doc_id LONG, held_out BOOLEAN, score DOUBLE, predicted INT")
+    return bounded(own).mapInArrow(judge, "doc_id LONG, held_out BOOLEAN, score DOUBLE, predicted INT")
 
 
 def keep_good(docs: DataFrame, scorer: Scorer, cut: float = CUT) -> DataFrame:
@@ -183,4 +183,4 @@ def keep_good(docs: DataFrame, scorer: Scorer, cut: float = CUT) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at)) >= cut))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return bounded(docs).mapInArrow(judge, docs.schema)

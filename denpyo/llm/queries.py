@@ -140,8 +140,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(
-        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 @query()

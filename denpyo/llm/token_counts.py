@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, strings
+from .common import bounded, stored, strings
 
 RANGE = 1024
 
@@ -39,7 +39,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             lengths = [len(encoding.encode_ordinary(t)) if t else 0 for t in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens LONG")
+    return bounded(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens LONG")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ its own range. A file is written under a temporary name and then renamed, so a t
 repeated replaces its own file. Files go to any store that `pyarrow.fs` opens; they are read
 back by Spark's own reader.
 
-Encoding uses the tokenizers library. A text is split by the pre-tokenizer's pattern, words are
-kept with their ids while a task runs, and only new ones are encoded. Texts with other scripts
-than Latin, or with a special token, are encoded whole, as their splitting depends on the
-library's own tables.
+Encoding uses the tokenizers library. With a byte-level pre-tokenizer a text is split before every
+single blank, so what stands between two blanks has the same ids in all texts. Tasks hash these
+tokens (128 bits) and keep their ids in flat arrays, some 30 bytes each, for as long as a Python
+worker lives; only new ones are encoded, many at a time. Texts with two blanks in a row, with
+special tokens or with other scripts than Latin are encoded whole.
 
 Results by case: null and empty texts have the end id alone; documents with equal ids follow each
 other in any order; null ids come first; an empty table gives one file without sequences.
@@ -35,20 +36,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch_dir
-from .common import stored, strings
+from .common import BLANKS, Kept, Words, bounded, kept_by_worker, lean, stored, token_keys, uneven_rows
 
 SEQUENCE = 2048
-#: Sequences of a record batch, bytes of text that one file holds, words kept by a task.
-BATCH, FILE_BYTES, KEPT = 64, 16 << 20, 400_000
-#: Letters, digits and marks on which all Unicode versions agree.
-_FOREIGN = re.compile("[^\u0000-ɏ‐-›€]")
-
+#: Sequences of a record batch, bytes of text that one file holds, tokens kept by a Python worker.
+BATCH, FILE_BYTES, KEPT = 64, 16 << 20, 1_500_000
 
 class Encoder:
-    """Ids of texts as little-endian bytes, by the words of the pre-tokenizer."""
+    """Ids of texts, by the tokens between blanks."""
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,43 +58,50 @@ class Encoder:
         self.sizes = np.zeros(top + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
-        self.find = regex.compile(pattern).findall
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words. Words of a blank and letters split the same way when they follow
-        each other, so many are encoded at once and told apart by their bytes."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        simple = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        for w in words:
-            if w[0] != " " or not w[1:].isalpha():
-                self.known[w] = self.whole(w)
-        runs = [simple[i:i + 1000] for i in range(0, len(simple), 1000)]
-        codes = self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)
-        for run, code in zip(runs, codes):
-            ids = np.array(code.ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in run])) + 1
-            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            start = 0
-            for w, end in zip(run, (ends * width).tolist()):
-                self.known[w] = packed[start:end]
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _FOREIGN.search(t) or any(s in t for s in self.special) else self.find(t) for t in texts]
-        new = {w for words in split if words for w in words if w not in self.known}
-        if new:
-            kept = len(self.known)
-            self.learn(list(new))
-            if len(self.known) < kept:  # forgotten words of these texts are needed again
-                self.learn([w for words in split if words for w in set(words) if w not in self.known])
-        get = self.known.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        split = spec["pre_tokenizer"] or {}
+        self.by_blanks = split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"] \
+            and spec["normalizer"] is None
+        self.words = Words(BLANKS, second=True)
+        self.kept = Kept(self.dtype)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def learn(self, keys: np.ndarray, tokens: list[bytes], behind_blank: np.ndarray) -> None:
+        """Encode new tokens. Those behind a blank are split the same way when they follow each other,
+        so many are encoded as one text and told apart by their bytes; others stand alone."""
+        order = np.argsort(~behind_blank, kind="stable")
+        keys, count = keys[order], int(behind_blank.sum())
+        tokens = [tokens[i] for i in order.tolist()]
+        runs = [tokens[i:min(count, i + 1000)] for i in range(0, count, 1000)]
+        texts = [(b" " + b" ".join(r)).decode() for r in runs] + [t.decode() for t in tokens[count:]]
+        codes = [np.array(c.ids, np.int64) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        stops = np.cumsum([len(t) + (i < count) for i, t in enumerate(tokens)])
+        ends = np.searchsorted(np.cumsum(self.sizes[flat]), stops) + 1
+        self.kept.add(keys, flat.astype(self.dtype), np.diff(np.r_[0, ends]))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        if len(self.kept) > KEPT:
+            self.kept = Kept(self.dtype)
+        for first, chunk in self.words.chunks(texts):
+            alone = uneven_rows(chunk, self.special) if self.by_blanks else np.diff(chunk.ends) > 0
+            keys, head = token_keys(chunk)
+            skipped = np.repeat(alone, np.diff(chunk.bounds))
+            place, size = self.kept.find(keys)
+            missing = np.flatnonzero((size < 0) & ~skipped)
+            if len(missing):
+                _, once = np.unique(keys[missing, 0], return_index=True)
+                once = missing[once]
+                self.learn(keys[once], [chunk.word(i) for i in once.tolist()], ~head[once])
+                place[missing], size[missing] = self.kept.find(keys[missing])
+            size[skipped] = 0
+            flat, stops = self.kept.gather(place, size)
+            ends = np.r_[0, stops][chunk.bounds]
+            for row in range(len(chunk)):
+                yield self.whole(texts[first + row].as_py()) if alone[row] else flat[ends[row]:ends[row + 1]]
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -121,8 +125,7 @@ def _batch(schema: pa.Schema, ids: np.ndarray, starts: np.ndarray, docs: list) -
         lists + [pa.ListArray.from_arrays(pa.array(ends), pa.array(docs, pa.int64()))], schema=schema)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int = 0,
-          length: int = SEQUENCE) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = SEQUENCE) -> DataFrame:
     """Write documents (doc_id, text) to `folder`; one row (part, file, n_docs, n_ids) per file."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -132,12 +135,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
 
+        lean()
         part = TaskContext.get().partitionId()
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root)
         name = f"part-{part:06d}.arrow"
         trial = f"{root}/_{name}.{uuid.uuid4().hex}"
-        encoder = Encoder(tokenizer, pattern)
+        encoder = kept_by_worker("encoder", tokenizer, lambda: Encoder(tokenizer))
         schema = _schema(encoder.dtype, length)
         end = np.array([end_id], encoder.dtype).tobytes()
         full = BATCH * length
@@ -153,32 +157,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
                     pending = pending[full * width:]
                     starts, held = [s - len(ids) for s in starts[inside:]], held[inside:]
 
-            def add(ids: list, texts: list[str]) -> None:
-                nonlocal n_docs, n_ids
-                for doc, code in zip(ids, encoder.encode(texts)):
+            for batch in batches:
+                for doc, code in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                     starts.append(len(pending) // encoder.dtype.itemsize)
                     held.append(doc)
-                    pending.extend(code)
+                    pending.extend(code.tobytes())
                     pending.extend(end)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(code) // encoder.dtype.itemsize + 1
+                    n_docs, n_ids = n_docs + 1, n_ids + len(code) + 1
                     flush(False)
-
-            ids, texts, chars = [], [], 0
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                    ids.append(doc)
-                    texts.append(text)
-                    chars += len(text)
-                    if chars > 1 << 20:
-                        add(ids, texts)
-                        ids, texts, chars = [], [], 0
-            add(ids, texts)
             flush(True)
         store.move(trial, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name],
                                           "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    ordered = own.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    ordered = bounded(own).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return stored(ordered.mapInArrow(pack, "part INT, file STRING, n_docs LONG, n_ids LONG"), "token-manifest")
 
 
@@ -226,6 +218,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def index(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all files: start counts the ids before."""
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id LONG, start LONG, n_tokens LONG, ids_crc32 LONG")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     offsets = manifest.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return read(spark, folder).join(offsets, "part").select(
@@ -252,11 +246,11 @@ class Sequences:
         return ids, batch.column("mask").flatten().slice(row * self.length, self.length)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the documents to a new shared folder and return the index read from its files."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "token-files")
     if "://" not in folder:
         folder = ("file://" if folder.startswith("/") else "") + folder.replace("file:/", "file:///", 1)
-    manifest = write(docs, folder, tokenizer, pattern)
+    manifest = write(docs, folder, tokenizer)
     return index(spark, folder, manifest)
