@@ -19,23 +19,41 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 CHUNK = 1 << 20
 
 
+#: Seconds after which a worker forgets what no task has used.
+FORGET = 15
+
+
+def _space() -> dict:
+    import sys
+    import types
+
+    return sys.modules.setdefault("denpyo_worker", types.ModuleType("denpyo_worker")).__dict__.setdefault("kept", {})
+
+
 def lean() -> None:
-    """Let Arrow give freed memory back at once: Python workers live on beside each other."""
+    """At the start of a task: Arrow gives freed memory back at once, and what other operators have kept
+    in this worker goes. Python workers live on beside each other and share an executor's memory."""
+    import time
+
     pa.set_memory_pool(pa.system_memory_pool())
+    space = _space()
+    for name in [n for n, (_, _, used) in space.items() if time.monotonic() - used > FORGET]:
+        del space[name]
 
 
 def kept_by_worker(name: str, key, build):
     """What `build` gave for this key in this Python worker, one thing for each name. It outlives the
     task, as a module's state would; tasks may run in any worker and any order, so it only ever
     saves time."""
-    import sys
-    import types
+    import time
 
-    space = sys.modules.setdefault("denpyo_worker", types.ModuleType("denpyo_worker")).__dict__
+    space = _space()
     if space.get(name, (None,))[0] != key:
         space.pop(name, None)
-        space[name] = (key, build())
-    return space[name][1]
+        space[name] = (key, build(), 0.0)
+    key, value, _ = space[name]
+    space[name] = (key, value, time.monotonic())
+    return value
 
 
 #: Beyond Latin letters and common punctuation, versions of Unicode may class a character differently.
@@ -120,26 +138,26 @@ class Words:
     BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, fold: bytes, second: bool = False):
-        """`second`: words get another, independent hash."""
+        """`second`: words get another check, of their length and first eight bytes."""
         self.fold = np.frombuffer(fold, np.uint8)
         values = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
         self.value = np.where(self.fold == 0x20, np.uint64(0), values[self.fold])
-        self.other = np.where(self.fold == 0x20, np.uint64(0), values[::-1][self.fold]) if second else None
+        self.checked = second
         self._grow(CHUNK)
 
     def _grow(self, size: int) -> None:
         self.power = _powers(size, self.BASE)
         self.inverse = _powers(size, pow(self.BASE, -1, 1 << 64))
 
-    def chunks(self, texts: pa.Array):
-        """(first row, Chunk) for runs of rows of about CHUNK bytes; null texts have no words."""
+    def chunks(self, texts: pa.Array, size: int = CHUNK):
+        """(first row, Chunk) for runs of rows of about `size` bytes; null texts have no words."""
         width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         _, ends, data = texts.buffers()
         ends = np.frombuffer(ends, width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else [0]
         data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
         row = 0
         while row < len(texts):
-            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1)
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + size, side="right")) - 1)
             yield row, Chunk(self, data[ends[row]:ends[stop]], ends[row:stop + 1] - ends[row])
             row = stop
 
@@ -161,7 +179,7 @@ class Chunk:
             closes[:-1] &= ~inside[1:] | edge[1:-1]
         self.starts, self.stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.hashes = self._hashed(words, value)
-        self.second = None if words.other is None else self._hashed(words, words.other[raw])
+        self.second = self._check() if words.checked else None
         self.bounds = np.searchsorted(self.starts, ends)
 
     def _hashed(self, words: Words, value: np.ndarray) -> np.ndarray:
@@ -170,6 +188,16 @@ class Chunk:
         np.cumsum(value, out=sums[1:])
         return mixed((sums[self.stops] - sums[self.starts]) * words.inverse[self.starts])
 
+    def _check(self) -> np.ndarray:
+        """Length and first eight bytes (as they stand in the text) of each word, in one number: words of
+        one hash differ in it unless they also agree in both."""
+        padded = np.r_[self.raw, np.zeros(8, np.uint8)]
+        eight = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))[self.starts]
+        size = (self.stops - self.starts).astype(np.uint64)
+        kept = np.minimum(size, np.uint64(8)) * np.uint64(8)
+        mask = np.where(kept == 64, ~np.uint64(0), (np.uint64(1) << (kept % np.uint64(64))) - np.uint64(1))
+        return (eight & mask) * MIX[0] + size * MIX[1]
+
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
@@ -190,7 +218,7 @@ SPACED = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A
 
 
 class Kept:
-    """Numbers (a few for each token) by the token's two hashes, in arrays: a large sorted part and a
+    """Numbers (a few for each token) by the token's hash and check, in arrays: a large sorted part and a
     small recent one."""
 
     RECENT = 1 << 17
@@ -198,7 +226,7 @@ class Kept:
     def __init__(self, dtype: np.dtype):
         self.numbers = np.empty(1 << 18, dtype)
         self.used = 0
-        empty = np.empty((0, 4), np.uint64)  # hash, second hash, place and count of the numbers
+        empty = np.empty((0, 4), np.uint64)  # hash, check, place and count of the numbers
         self.parts = [empty, empty]
 
     def add(self, keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
@@ -224,11 +252,16 @@ class Kept:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, count) of the numbers of each token; count -1 for unknown ones."""
         place, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
         for part in self.parts:
-            if len(part):
-                at = np.minimum(np.searchsorted(np.ascontiguousarray(part[:, 0]), keys[:, 0]), len(part) - 1)
-                same = (part[at, 0] == keys[:, 0]) & (part[at, 1] == keys[:, 1])
-                place[same], size[same] = part[at[same], 2].astype(np.int64), part[at[same], 3].astype(np.int64)
+            if not len(part) or not len(left):
+                continue
+            mine = keys[left]
+            at = np.minimum(np.searchsorted(np.ascontiguousarray(part[:, 0]), mine[:, 0]), len(part) - 1)
+            rows = part[at]
+            same = (rows[:, 0] == mine[:, 0]) & (rows[:, 1] == mine[:, 1])
+            place[left[same]], size[left[same]] = rows[same, 2].astype(np.int64), rows[same, 3].astype(np.int64)
+            left = left[~same]
         return place, size
 
     def gather(self, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +294,7 @@ def uneven_rows(chunk: Chunk, marks: list[bytes]) -> np.ndarray:
 
 
 def token_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, head): both hashes of each token; `head` marks the first of each text, which has no
+    """(keys, head): hash and check of each token; `head` marks the first of each text, which has no
     blank before it and so a key of its own."""
     keys = np.column_stack([chunk.hashes, chunk.second])
     head = np.zeros(len(keys), bool)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, stored, strings, windows
+from .common import Words, bounded, lean, stored, strings, windows
 
 WINDOW = 13
 PART_WINDOWS = 1 << 21
@@ -40,6 +40,7 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, length, hash, words) of all windows of the items (item_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words = Words(_WORD_BYTES)
         for batch in batches:
             rows, items = [], batch.column(0).to_pylist()
@@ -132,6 +133,7 @@ def find_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFra
     out = None
     for part in _parts(items, size):
         def spans(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            lean()
             for batch, found, scanner in _scan(batches, part, 1):
                 cells = [[{"first": a, "last": b, "item_id": item} for a, b, w in hits for item in scanner.items[w]]
                          for _, hits in found]
@@ -163,6 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
     if len(parts) == 1:
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             for batch, found, scanner in _scan(batches, parts[0], 1):
                 yield rows(batch.column(0), [
                     _verdict(n, [(a, b) for a, b, _ in hits], {i for *_, w in hits for i in scanner.items[w]})
@@ -171,6 +174,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         return own.mapInArrow(judge, RESULT)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             yield rows(batch.column(0), [
                 _verdict(n, [(s["first"], s["last"]) for s in spans], {s["item_id"] for s in spans})
@@ -198,6 +202,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
     for part in parts:
         def clean(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            lean()
             for batch, found, scanner in _scan(batches, part, at):
                 if remove == "documents":
                     keep = [not _verdict(n, [(a, b) for a, b, _ in hits], set())[-1] for n, hits in found]

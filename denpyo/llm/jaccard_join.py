@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, bounded, sent, shingle_sets, signed, stored, windows, without_ids
+from .common import SPACED, Words, bounded, lean, sent, shingle_sets, signed, stored, windows, without_ids
 
 #: Counters of the table that orders shingles by frequency, and rows it is summed in.
 COUNTER_BITS, COUNTER_ROWS = 22, 1024
@@ -69,6 +69,7 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
     per_row = (1 << COUNTER_BITS) // COUNTER_ROWS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words, total = Words(SPACED), np.zeros(1 << COUNTER_BITS, np.uint32)
         shift = np.uint64(64 - COUNTER_BITS)
         for batch in batches:
@@ -82,6 +83,7 @@ def _counts(docs: DataFrame, size: int) -> np.ndarray:
                                          ["row", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,6 +122,7 @@ def _documents(docs: DataFrame, levels, size: int, threshold: float) -> DataFram
     """(doc_id, n, s1, s2, g, prefix): size, 128-bit signature of the set, key of the prefix group."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words, order = Words(SPACED), levels.value
         for batch in batches:
             out, prefixes = [], []
@@ -210,6 +213,7 @@ def _group_lists(postings: DataFrame, threshold: float) -> DataFrame:
     """Lists of two groups or more, without members that no other member can match."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         def rows():
             for one in _lists(batches):
                 g, n, p = one["g"], one["n"].astype(np.int64), one["pos"].astype(np.int64)
@@ -232,6 +236,7 @@ def _offers(lists: DataFrame, threshold: float, every: bool) -> DataFrame:
     the filters allow. `every`: all of them, else one for each member of a list."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         last: set[int] = set()
 
         def fresh(a: np.ndarray, b: np.ndarray):
@@ -293,6 +298,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     names = rows.columns[:-1]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words = Words(SPACED)
         for batch in batches:
             sets = [signed(s) for s in shingle_sets(batch.column(len(names)), words, size)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, bounded, hash_sample, stored, strings
+from .common import MIX, bounded, hash_sample, lean, stored, strings
 from .url_filters import domain_of, host_of, path_of, suffix_of
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -70,6 +70,7 @@ def fit(docs: DataFrame, languages: list[str] = LANGUAGES) -> np.ndarray:
     texts = docs.drop("lang").join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
@@ -95,6 +96,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray, markup: bool = False) -> D
     at = rows.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table = np.ascontiguousarray(shared.value.T)
         for batch in batches:
             cells = []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 TREES, HASH_BITS, CANDIDATES = 24, 48, 40_000
 #: Depths below the cut that are counted.
@@ -67,6 +67,7 @@ def _entries(classes: DataFrame, largest: float, trees: int, cut: int) -> DataFr
     """(tree, prefix, key, cid, asks, vector) for every class and tree."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         planes = None
         weights = (np.uint64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.uint64))
         for batch in batches:

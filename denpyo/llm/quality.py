@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hash_sample, strings, with_ids
+from .common import bounded, hash_sample, lean, strings, with_ids
 
 SAMPLE = 20_000
 #: Score from which a document is predicted good.
@@ -68,6 +68,7 @@ def _features_of(docs: DataFrame) -> np.ndarray:
     """Features of a bounded number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _matrix(batch.column(0)).T], FEATURES)
 
@@ -164,6 +165,7 @@ def score(docs: DataFrame, scorer: Scorer, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for documents (doc_id, text)."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             scores = scorer(batch.column(2))
             yield pa.RecordBatch.from_arrays(
@@ -180,6 +182,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, cut: float = CUT) -> DataFrame:
     at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at)) >= cut))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, stored, strings
+from .common import bounded, lean, stored, strings
 
 RANGE = 1024
 
@@ -30,6 +30,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(n_tokens) of each text under a rank file, special tokens read as ordinary text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         import tiktoken
 
         with open(vocabulary, "rb") as lines:

@@ -13,7 +13,7 @@ back by Spark's own reader.
 
 Encoding uses the tokenizers library. With a byte-level pre-tokenizer a text is split before every
 single blank, so what stands between two blanks has the same ids in all texts. Tasks hash these
-tokens (128 bits) and keep their ids in flat arrays, some 30 bytes each, for as long as a Python
+tokens (64 bits, beside length and first bytes) and keep their ids in flat arrays, some 30 bytes each, for as long as a Python
 worker lives; only new ones are encoded, many at a time. Texts with two blanks in a row, with
 special tokens or with other scripts than Latin are encoded whole.
 
@@ -40,7 +40,7 @@ from .common import BLANKS, Kept, Words, bounded, kept_by_worker, lean, stored,
 
 SEQUENCE = 2048
 #: Sequences of a record batch, bytes of text that one file holds, tokens kept by a Python worker.
-BATCH, FILE_BYTES, KEPT = 64, 16 << 20, 1_500_000
+BATCH, FILE_BYTES, KEPT = 64, 16 << 20, 1_000_000
 
 class Encoder:
     """Ids of texts, by the tokens between blanks."""
@@ -133,6 +133,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     files = max(1, -(-size // FILE_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         import pyarrow.fs
 
         lean()
@@ -199,6 +200,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     The checksum is that of the ids as little-endian unsigned 32-bit integers.
     """
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = int(re.search(r"part-(\d+)\.arrow$", path)[1])
