@@ -16,11 +16,11 @@ from ..sources.files import scratch_dir
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Text that is hashed at once, in bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 #: Seconds after which a worker forgets what no task has used.
-FORGET = 15
+FORGET = 5
 
 
 def _space() -> dict:
@@ -33,12 +33,18 @@ def _space() -> dict:
 def lean() -> None:
     """At the start of a task: Arrow gives freed memory back at once, and what other operators have kept
     in this worker goes. Python workers live on beside each other and share an executor's memory."""
+    import ctypes
+    import gc
     import time
 
     pa.set_memory_pool(pa.system_memory_pool())
     space = _space()
     for name in [n for n, (_, _, used) in space.items() if time.monotonic() - used > FORGET]:
         del space[name]
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def kept_by_worker(name: str, key, build):
@@ -52,7 +58,8 @@ def kept_by_worker(name: str, key, build):
         space.pop(name, None)
         space[name] = (key, build(), 0.0)
     key, value, _ = space[name]
-    space[name] = (key, value, time.monotonic())
+    # A task may run for long after this.
+    space[name] = (key, value, time.monotonic() + 30)
     return value
 
 
@@ -65,7 +72,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Arrow batches hold so many bytes at most, whatever the length of the texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded(rows: DataFrame) -> DataFrame:
