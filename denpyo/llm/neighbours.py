@@ -6,13 +6,18 @@ the strings that share its longest prefix; then all trees ascend together, one b
 until the vectors under the common depth are `candidates` in number (counted over the trees).
 These are ranked by their exact inner product.
 
+How many candidates: for a sample of `SAMPLE` queries one pass over all vectors finds the true
+nearest, the bits they share with the query in each tree, and the counts at each depth. They tell
+the recall of any number of candidates; the least from `candidates` on with a recall of `RECALL`
+is taken. A depth holds up to twice the candidates; where that is as much work as all vectors,
+every query is compared with every vector and the result is exact.
+
 How it is distributed: a tree's sorted array is cut at a short prefix, so that a piece has a
-few times the entries that a query takes from one tree; the deepest ascent ends there. Pieces
-of more than `PIECE` entries or queries are cut again, and every query of a prefix meets
-every entry cut. First the pieces count entries by depth, the counts of a query are added up
-over the trees, then the pieces rank what lies under the query's depth. Work per query is
-bounded by `candidates`, whatever the number of vectors; recall falls slowly as it grows, so
-it is a parameter to set by measured recall.
+few times the entries that a query takes from one tree; the deepest ascent ends there. Pieces of more than `PIECE` entries or
+queries are cut again, and every query of a prefix meets every entry cut. First the pieces count
+entries by depth, the counts of a query are added up over the trees, then the pieces rank what
+lies under the query's depth. Work per query follows
+the candidates: hardly any growth for clustered vectors, a share of all vectors for isotropic ones.
 
 Inner products are turned into angles by one more coordinate, which fills vectors up to the
 largest norm. Equal vectors are one entry with the smallest ids that a result can hold, so a vector
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import lean, stored
 
 TREES, HASH_BITS, CANDIDATES = 24, 48, 40_000
+#: Queries whose recall is measured, and the least that it may be there (0.9 is due for all).
+SAMPLE, RECALL = 128, 0.95
 #: Depths below the cut that are counted.
 DEPTHS = 20
 PIECE = 1 << 15
@@ -63,25 +70,30 @@ def clean(vectors: DataFrame) -> DataFrame:
         "k1", F.xxhash64("v")).withColumn("k2", F.xxhash64("v", F.lit(1)))
 
 
+def _hashes(x: np.ndarray, largest: float, planes: np.ndarray) -> Iterator[np.ndarray]:
+    """The hash strings of vectors in each tree, as numbers."""
+    weights = (np.uint64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.uint64))
+    rest = np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=1)))
+    full = np.hstack([x, rest[:, None]])
+    for tree in planes:
+        yield ((full @ tree.T) > 0).astype(np.uint64) @ weights
+
+
 def _entries(classes: DataFrame, largest: float, trees: int, cut: int) -> DataFrame:
     """(tree, prefix, key, cid, asks, vector) for every class and tree."""
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         planes = None
-        weights = (np.uint64(1) << np.arange(HASH_BITS - 1, -1, -1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column(2).flatten().to_numpy()
             x = flat.reshape(batch.num_rows, -1)
-            rest = np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=1)))
-            full = np.hstack([x, rest[:, None]])
             if planes is None:
-                planes = _planes(full.shape[1], trees)
+                planes = _planes(x.shape[1] + 1, trees)
             vector = pa.array([row.tobytes() for row in x], pa.binary())
-            for tree in range(trees):
-                key = ((full @ planes[tree].T) > 0).astype(np.uint64) @ weights
+            for tree, key in enumerate(_hashes(x, largest, planes)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), tree, np.int32)),
                      pa.array((key >> np.uint64(HASH_BITS - cut)).astype(np.int64)), pa.array(key.astype(np.int64)),
@@ -137,10 +149,111 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return r, c
 
 
+def _enough(classes: DataFrame, size: int, largest: float, k: int, trees: int, candidates: int) -> int:
+    """The least number of candidates, from the given one on, whose recall on a sample of the queries
+    is RECALL; `size` if there is none below half of it."""
+    some = classes.filter("asks").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("cid", "v").collect()
+    if not some:
+        return candidates
+    own, q = np.array([r.cid for r in some]), np.array([r.v for r in some])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        planes = _planes(q.shape[1] + 1, trees)
+        asked = [key.astype(np.int64) for key in _hashes(q, largest, planes)]
+        counts = np.zeros((len(q), HASH_BITS + 1), np.int64)
+        best: list[np.ndarray] = [np.empty((0, 3))] * len(q)  # (-score, cid, bits shared)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            scores = q @ x.T
+            scores[own[:, None] == cid[None, :]] = -np.inf
+            r, c = _best(scores, cid, k)
+            shared = np.zeros(len(r), np.int64)
+            for mine, key in zip(asked, _hashes(x, largest, planes)):
+                key = key.astype(np.int64)
+                shared = np.maximum(shared, HASH_BITS - np.frexp((mine[r] ^ key[c]).astype(np.float64))[1])
+                key.sort()
+                for d in range(HASH_BITS + 1):
+                    low, high = _range(key, mine, d)
+                    counts[:, d] += high - low
+            for i in range(len(q)):
+                at = r == i
+                rows = np.column_stack([-scores[i, c[at]], cid[c[at]], shared[at]])
+                rows = np.vstack([best[i], rows[np.isfinite(rows[:, 0])]])
+                best[i] = rows[np.lexsort((rows[:, 1], rows[:, 0]))[:k]]
+        if counts.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(q)), pa.int32()), pa.array(counts.tolist(), pa.list_(pa.int64())),
+                 pa.array([b[:, 0].tolist() for b in best], pa.list_(pa.float64())),
+                 pa.array([b[:, 2].astype(int).tolist() for b in best], pa.list_(pa.int64()))],
+                ["q", "counts", "far", "bits"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        far = [x for row in group.column("far").to_pylist() for x in row]
+        bits = [x for row in group.column("bits").to_pylist() for x in row]
+        order = np.argsort(far, kind="stable")[:k]
+        counts = np.sum(group.column("counts").to_pylist(), axis=0)
+        return pa.table([pa.array([counts.tolist()], pa.list_(pa.int64())),
+                         pa.array([[bits[i] for i in order]], pa.list_(pa.int64()))], names=["counts", "bits"])
+
+    rows = classes.select("cid", "v").mapInArrow(
+        measure, "q INT, counts ARRAY<LONG>, far ARRAY<DOUBLE>, bits ARRAY<LONG>").groupBy("q").applyInArrow(
+        merge, "counts ARRAY<LONG>, bits ARRAY<LONG>").collect()
+    counts = np.array([r.counts for r in rows])
+    while 2 * candidates < size:
+        depth = np.maximum((counts >= candidates).sum(axis=1) - 1, 0)  # counts fall with the depth
+        found = [b >= d for r, d in zip(rows, depth) for b in r.bits]
+        if np.mean(found or [True]) >= RECALL:
+            return candidates
+        candidates += -(-candidates // 4)
+    return size
+
+
+def _all_pairs(entries: DataFrame, cells: int) -> DataFrame:
+    """What the pieces rank if every query meets every vector: entries dealt to cells, queries to all of them."""
+    rows = entries.withColumn("depth", F.lit(0))
+    dealt = rows.withColumn("prefix", F.pmod(F.xxhash64("cid"), F.lit(cells)).cast("long")).withColumn("entry", F.lit(True))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    asked = rows.filter("asks").withColumn("prefix", every).withColumn("entry", F.lit(False))
+    return dealt.unionByName(asked).drop("asks")
+
+
+def _forest(classes: DataFrame, size: int, largest: float, trees: int, candidates: int, keys: list[str]) -> DataFrame:
+    """What the pieces rank: the entries, and each query in the prefixes that its depth covers."""
+    # One level above the depth at which the trees hold the candidates of an average query.
+    cut = max(0, int(math.log2(max(1.0, trees * size / candidates))) - 1)
+    entries = _entries(classes, largest, trees, cut)
+    top = min(HASH_BITS, cut + DEPTHS)
+    depths = list(range(cut, top + 1))
+    asked, narrow = entries.filter("asks").drop("asks"), entries.drop("asks", "vector")
+
+    def count(group: pa.Table) -> pa.Table:
+        _, known, asked = _sorted(group)
+        key = asked.column("key").to_numpy()
+        spans = [np.subtract(*_range(known, key, d)[::-1]) for d in depths]
+        return pa.table([asked.column("cid"), *[pa.array(s.astype(np.int64)) for s in spans]],
+                        names=["cid", *[f"d{d}" for d in depths]])
+
+    both = narrow.withColumn("entry", F.lit(True)).union(asked.drop("vector").withColumn("entry", F.lit(False)))
+    counted = _pieces(both).groupBy(*keys).applyInArrow(
+        count, "cid LONG, " + ", ".join(f"d{d} LONG" for d in depths))
+    totals = counted.groupBy("cid").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in depths])
+    depth = F.lit(cut)
+    for d in depths:  # counts fall with the depth
+        depth = F.when(F.col(f"d{d}") >= candidates, F.lit(d)).otherwise(depth)
+    depth_of = stored(totals.select("cid", depth.alias("depth")), "vector-depths")
+    placed = asked.join(depth_of, "cid")
+    known = entries.drop("asks").withColumn("depth", F.lit(0)).withColumn("entry", F.lit(True))
+    return known.unionByName(placed.withColumn("entry", F.lit(False)))
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
            candidates: int = CANDIDATES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) found for
-    each whose id is divisible by `every`, without itself."""
+    each whose id is divisible by `every`, without itself. `candidates`: the least number."""
     rows = stored(clean(vectors).distinct(), "vectors")
     # The smallest ids of equal vectors: more can not be in one result.
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
@@ -157,29 +270,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
         .withColumn("asks", F.coalesce("asks", F.lit(False))), "vector-classes")
     size, largest = classes.agg(
         F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    # One level above the depth at which the trees hold the candidates of an average query.
-    cut = max(0, int(math.log2(max(1.0, trees * size / candidates))) - 1)
-    entries = _entries(classes, float(largest or 0.0), trees, cut)
-    top = min(HASH_BITS, cut + DEPTHS)
-    depths = list(range(cut, top + 1))
-
-    both = entries.withColumn("entry", F.lit(True)).union(entries.filter("asks").withColumn("entry", F.lit(False)))
+    largest = float(largest or 0.0)
     keys = ["tree", "prefix", "piece.own", "piece.other"]
-
-    def count(group: pa.Table) -> pa.Table:
-        _, known, asked = _sorted(group)
-        key = asked.column("key").to_numpy()
-        spans = [np.subtract(*_range(known, key, d)[::-1]) for d in depths]
-        return pa.table([asked.column("cid"), *[pa.array(s.astype(np.int64)) for s in spans]],
-                        names=["cid", *[f"d{d}" for d in depths]])
-
-    counted = _pieces(both.drop("asks", "vector")).groupBy(*keys).applyInArrow(
-        count, "cid LONG, " + ", ".join(f"d{d} LONG" for d in depths))
-    totals = counted.groupBy("cid").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in depths])
-    depth = F.lit(cut)
-    for d in depths:  # counts fall with the depth
-        depth = F.when(F.col(f"d{d}") >= candidates, F.lit(d)).otherwise(depth)
-    depth_of = stored(totals.select("cid", depth.alias("depth")), "vector-depths")
+    candidates = max(candidates, trees * (k + 1))  # else they could be fewer than k vectors
+    if 2 * candidates < size:
+        candidates = _enough(classes, size, largest, k, trees, candidates)
+    if 2 * candidates >= size:
+        ready = _all_pairs(_entries(classes, largest, 1, 0), max(trees, -(-size // PIECE)))
+    else:
+        ready = _forest(classes, size, largest, trees, candidates, keys)
 
     def rank(group: pa.Table) -> pa.Table:
         known, order, asked = _sorted(group)
@@ -204,8 +303,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         return pa.table([pa.array(c) for c in cols], names=["cid", "found", "score"])
 
-    ready = both.drop("asks").join(depth_of, "cid", "left")
-    ready = ready.withColumn("depth", F.coalesce("depth", F.lit(0)))
     ranked = _pieces(ready).groupBy(*keys).applyInArrow(rank, "cid LONG, found LONG, score DOUBLE")
     by_class = Window.partitionBy("cid").orderBy(F.desc("score"), "found")
     nearest = ranked.groupBy("cid", "found").agg(F.max("score").alias("score")).withColumn(

@@ -494,6 +494,39 @@ def test_neighbours_are_found_through_the_forest(spark, monkeypatch):
     assert len(got) == 100 and hits / 2000 > 0.9
 
 
+def recall_of(frame, x, every, candidates):
+    """(rows of each query, share of the 20 nearest that are found)."""
+    got: dict[int, set[int]] = {}
+    for r in neighbours.search(frame, every=every, candidates=candidates).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, len(x), every):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & got.get(i, set()))
+    return {i: len(v) for i, v in got.items()}, hits / 20 / len(range(0, len(x), every))
+
+
+@pytest.mark.parametrize("size", [3000, 6000, 12000])
+def test_neighbours_of_isotropic_vectors(spark, size):
+    """The candidates follow from measured recall, whatever the number of vectors."""
+    x = np.random.default_rng(size).standard_normal((size, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    rows, recall = recall_of(frame, x, size // 100, 600)
+    assert set(rows.values()) == {20} and recall > 0.9
+
+
+def test_neighbours_of_clusters_take_few_candidates(spark, monkeypatch):
+    """The sample shows that the least number of candidates does, so the forest is searched."""
+    rng, taken = np.random.default_rng(9), []
+    x = np.repeat(rng.standard_normal((100, 16)), 60, axis=0) + 0.1 * rng.standard_normal((6000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    own = neighbours._enough
+    monkeypatch.setattr(neighbours, "_enough", lambda *a: taken.append(own(*a)) or taken[-1])
+    rows, recall = recall_of(frame, x, 60, 1000)
+    assert set(rows.values()) == {20} and recall > 0.9 and taken[0] < 3000
+
+
 # Pipeline -------------------------------------------------------------------------------------
 
 
