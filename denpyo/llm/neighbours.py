@@ -13,10 +13,11 @@ is taken. A depth holds up to twice the candidates; where that is as much work a
 every query is compared with every vector and the result is exact.
 
 How it is distributed: a tree's sorted array is cut at a short prefix, so that a piece has a
-few times the entries that a query takes from one tree; the deepest ascent ends there. Pieces of more than `PIECE` entries or
+few times the entries that a query takes from one tree. Pieces of more than `PIECE` entries or
 queries are cut again, and every query of a prefix meets every entry cut. First the pieces count
 entries by depth, the counts of a query are added up over the trees, then the pieces rank what
-lies under the query's depth. Work per query follows
+lies under the query's depth. Queries that have too few entries at the cut ascend beyond it by the
+sizes of the prefixes, and are ranked in every prefix that they then cover. Work per query follows
 the candidates: hardly any growth for clustered vectors, a share of all vectors for isotropic ones.
 
 Inner products are turned into angles by one more coordinate, which fills vectors up to the
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, sent, stored
 
 TREES, HASH_BITS, CANDIDATES = 24, 48, 40_000
 #: Queries whose recall is measured, and the least that it may be there (0.9 is due for all).
@@ -241,11 +242,28 @@ def _forest(classes: DataFrame, size: int, largest: float, trees: int, candidate
     counted = _pieces(both).groupBy(*keys).applyInArrow(
         count, "cid LONG, " + ", ".join(f"d{d} LONG" for d in depths))
     totals = counted.groupBy("cid").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in depths])
-    depth = F.lit(cut)
+    depth = F.lit(cut) if not cut else F.lit(None).cast("int")
     for d in depths:  # counts fall with the depth
         depth = F.when(F.col(f"d{d}") >= candidates, F.lit(d)).otherwise(depth)
     depth_of = stored(totals.select("cid", depth.alias("depth")), "vector-depths")
-    placed = asked.join(depth_of, "cid")
+    placed = asked.join(depth_of.filter("depth IS NOT NULL"), "cid")
+    short = depth_of.filter("depth IS NULL").select("cid")
+    if not short.isEmpty():
+        # Every prefix at the cut with those above it.
+        cells = stored(narrow.groupBy("tree", "prefix").agg(F.count("*").alias("n")), "vector-cells")
+        above = F.expr(f"shiftright(prefix, {cut} - depth)")
+        climb = F.explode(F.sequence(F.lit(0), F.lit(cut - 1)))
+        under = cells.withColumn("depth", climb).withColumn("above", above)
+        sizes = sent(under.groupBy("tree", "depth", "above").agg(F.sum("n").alias("n")))
+        mine = asked.join(sent(short), "cid")
+        steps = mine.select("cid", "tree", "prefix").withColumn("depth", climb).withColumn("above", above)
+        deepest = (
+            steps.join(sizes, ["tree", "depth", "above"]).groupBy("cid", "depth").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= candidates).groupBy("cid").agg(F.max("depth").alias("depth")))
+        # At depth 0 every tree holds every vector.
+        climbed = mine.join(stored(deepest, "vector-climbs"), "cid").filter("depth > 0 OR tree = 0").withColumn("above", above)
+        spread = climbed.drop("prefix").join(under.drop("n"), ["tree", "depth", "above"]).drop("above")
+        placed = placed.unionByName(spread)
     known = entries.drop("asks").withColumn("depth", F.lit(0)).withColumn("entry", F.lit(True))
     return known.unionByName(placed.withColumn("entry", F.lit(False)))
 

@@ -527,6 +527,20 @@ def test_neighbours_of_clusters_take_few_candidates(spark, monkeypatch):
     assert set(rows.values()) == {20} and recall > 0.9 and taken[0] < 3000
 
 
+def test_neighbours_of_outliers(spark, monkeypatch):
+    """Queries in sparsely filled prefixes ascend beyond the cut: one tight cluster, outliers ask."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(16) * 3 + 0.02 * rng.standard_normal((8000, 16))
+    x[::200] = 3 * rng.standard_normal((40, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    monkeypatch.setattr(neighbours, "_enough", lambda *a: a[-1], raising=False)  # only the ascent
+    rows, _ = recall_of(frame, x, 200, 1500)
+    assert len(rows) == 40 and set(rows.values()) == {20}
+    monkeypatch.undo()
+    rows, recall = recall_of(frame, x, 200, 1500)
+    assert set(rows.values()) == {20} and recall > 0.9
+
+
 # Pipeline -------------------------------------------------------------------------------------
 
 
