@@ -5,8 +5,9 @@ of its documents, looks window hashes up in the set and verifies a hit on the wo
 themselves. No shuffle, and a document is read once however long it is.
 
 The set is broadcast in parts of at most `PART_WINDOWS` windows, so its size is bounded whatever
-the benchmark's; a benchmark of more parts is scanned for part by part and the hits are joined
-by document.
+the benchmark's; with more parts the documents are stored once with a key for each row, scanned part
+by part, and the hits of all parts are joined by that key before anything is judged or cut. So the
+results do not depend on the number of parts, whatever the ids.
 
 A word is a run of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. An item
 with fewer words than a window, but at least one, is one window of its own length.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, lean, stored, strings, windows
+from .common import Words, bounded, lean, sent, stored, strings, windows
 
 WINDOW = 13
 PART_WINDOWS = 1 << 21
@@ -124,65 +125,89 @@ def _scan(batches: Iterator[pa.RecordBatch], part, text_at: int):
         yield batch, found, scanner
 
 
-def find_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans) with a span for every occurrence of an item's window.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents, stored with a key for each row as their last column."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "benchmark-documents")
 
-    One row for each document and part of the benchmark.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _spans(keyed: DataFrame, parts: list) -> DataFrame:
+    """(row_key, doc_id, n_words, spans) of each row of documents whose last column is a key, with the hits of
+    all parts."""
+    own = keyed.select(F.col(keyed.columns[-1]).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
     out = None
-    for part in _parts(items, size):
-        def spans(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        def spans(batches: Iterator[pa.RecordBatch], part=part, first=out is None) -> Iterator[pa.RecordBatch]:
             lean()
-            for batch, found, scanner in _scan(batches, part, 1):
+            for batch, found, scanner in _scan(batches, part, 2):
                 cells = [[{"first": a, "last": b, "item_id": item} for a, b, w in hits for item in scanner.items[w]]
                          for _, hits in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([n for n, _ in found], pa.int64()),
+                rows = pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()),
                      pa.array(cells, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()),
                                                          ("item_id", pa.string())])))],
-                    ["doc_id", "n_words", "spans"])
+                    ["row_key", "doc_id", "n_words", "spans"])
+                # The first part has every row, the others those with hits.
+                yield rows if first else rows.filter(pa.array([bool(c) for c in cells], pa.bool_()))
 
-        one = own.mapInArrow(spans, f"doc_id LONG, n_words LONG, spans {SPANS}")
+        one = own.mapInArrow(spans, f"row_key LONG, doc_id LONG, n_words LONG, spans {SPANS}")
         out = one if out is None else out.union(one)
-    return out
+    if len(parts) == 1:
+        return out
+    return out.groupBy("row_key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def find_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, spans) with a span for every occurrence of an item's window, one row for each of docs."""
+    parts = list(_parts(items, size))
+    keyed = _keyed(docs.select("doc_id", "text")) if len(parts) > 1 else docs.withColumn("row_key", F.lit(0).cast("long"))
+    return _spans(keyed, parts).select("doc_id", "n_words", "spans")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: words, hit words, items found and the verdict (see RESULT).
 
-    Contaminated: a twentieth of the words or more are hit. With a benchmark of several parts,
-    documents must have unique ids.
+    Contaminated: a twentieth of the words or more are hit.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = list(_parts(items, size))
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    if len(parts) > 1:
+        return _judged(_keyed(docs.select("doc_id", "text")), parts).drop("row_key")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch, found, scanner in _scan(batches, parts[0], 1):
+            yield _results(batch.columns[:1], [
+                _verdict(n, [(a, b) for a, b, _ in hits], {i for *_, w in hits for i in scanner.items[w]})
+                for n, hits in found])
 
-    def rows(ids: pa.Array, results: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*results)) if results else [()] * 5
-        return pa.RecordBatch.from_arrays([ids] + [pa.array(c, t) for c, t in zip(cols, types)], names)
+    return own.mapInArrow(judge, RESULT)
+
+
+def _results(ids: list[pa.Array], results: list[tuple]) -> pa.RecordBatch:
+    """The ids' columns and the verdicts, as RESULT has them."""
+    cols = list(zip(*results)) if results else [()] * 5
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    names = ["row_key"][:len(ids) - 1] + ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    return pa.RecordBatch.from_arrays(ids + [pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    if len(parts) == 1:
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lean()
-            for batch, found, scanner in _scan(batches, parts[0], 1):
-                yield rows(batch.column(0), [
-                    _verdict(n, [(a, b) for a, b, _ in hits], {i for *_, w in hits for i in scanner.items[w]})
-                    for n, hits in found])
 
-        return own.mapInArrow(judge, RESULT)
+def _judged(keyed: DataFrame, parts: list) -> DataFrame:
+    """row_key and RESULT for each row, from the hits of all parts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            yield rows(batch.column(0), [
+            yield _results(batch.columns[:2], [
                 _verdict(n, [(s["first"], s["last"]) for s in spans], {s["item_id"] for s in spans})
-                for n, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())])
+                for n, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
 
-    joined = find_spans(docs, items, size).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return joined.mapInArrow(merge, RESULT)
+    return _spans(keyed, parts).mapInArrow(merge, "row_key LONG, " + RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", size: int = WINDOW) -> DataFrame:
@@ -194,28 +219,48 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
     at = docs.columns.index("text")
-    out = docs
     parts = list(_parts(items, size))
-    if len(parts) > 1 and remove == "documents":
-        # The share of hit words is known only with all parts.
-        bad = contamination(docs, items, size).filter("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    for part in parts:
-        def clean(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            lean()
-            for batch, found, scanner in _scan(batches, part, at):
-                if remove == "documents":
-                    keep = [not _verdict(n, [(a, b) for a, b, _ in hits], set())[-1] for n, hits in found]
-                    yield batch.filter(pa.array(keep, pa.bool_()))
-                else:
-                    texts = [_without(t, [(a, b) for a, b, _ in hits]) if hits else t
-                             for t, (_, hits) in zip(strings(batch.column(at)), found)]
-                    cols = list(batch.columns)
-                    cols[at] = pa.array(texts, pa.string())
-                    yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    if len(parts) > 1:
+        return _decontaminated(docs, parts, remove)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch, found, scanner in _scan(batches, parts[0], at):
+            if remove == "documents":
+                keep = [not _verdict(n, [(a, b) for a, b, _ in hits], set())[-1] for n, hits in found]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+            else:
+                yield _cut(batch, at, [[(a, b) for a, b, _ in hits] for _, hits in found])
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _decontaminated(docs: DataFrame, parts: list, remove: str) -> DataFrame:
+    """The documents without what the parts together have."""
+    keyed = _keyed(docs)
+    names, key = docs.columns, keyed.columns[-1]
+    at, columns = names.index("text"), [f"`{c}`" for c in names]
+    if remove == "documents":
+        bad = _judged(keyed, parts).filter("contaminated").select(F.col("row_key").alias(key))
+        return keyed.join(sent(bad), key, "left_anti").select(*columns)
+    places = F.array_distinct(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    hit = stored(_spans(keyed, parts).filter(F.size("spans") > 0).select(F.col("row_key").alias(key), places.alias("cuts")), "benchmark-cuts")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            spans = [[(s["first"], s["last"]) for s in cuts] for cuts in batch.column(batch.num_columns - 1).to_pylist()]
+            yield _cut(batch.select(names), at, spans)
+
+    whole = keyed.join(sent(hit.select(key)), key, "left_anti").select(*columns)
+    return whole.unionByName(keyed.join(hit, key).select(*columns, "cuts").mapInArrow(clean, docs.schema))
+
+
+def _cut(batch: pa.RecordBatch, at: int, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The batch with the spans cut out of the text in column `at`."""
+    cols = list(batch.columns)
+    cols[at] = pa.array([_without(t, own) if own else t for t, own in zip(strings(batch.column(at)), spans)], pa.string())
+    return pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

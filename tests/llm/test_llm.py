@@ -211,6 +211,27 @@ def test_removed_documents_and_spans(spark, docs):
     assert cut[3] == "" and cut[4] == " two three" and cut[11] == " e" and cut[13] == TEXTS[13] and cut[0] is None
 
 
+def test_benchmark_of_several_parts(spark, docs, monkeypatch):
+    """Null and repeated ids with unlike texts, and one passage whose windows lie in several parts."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = spark.createDataFrame([*ITEMS, (15, passage)], "item_id LONG, text STRING")
+    extra = [(None, "one"), (None, "all of this is clean"), (3, "clean text of an id that a bad one has"),
+             (50, f"before {passage} after"), (51, f"{passage}, {passage}"), (52, "p0 p1 p2 and no more")]
+    rows = docs.unionByName(spark.createDataFrame(
+        [(i, t, "en", None, None, None, None, None) for i, t in extra], DOCS))
+    runs = []
+    for most in (1 << 21, 4):
+        monkeypatch.setattr(decontaminate, "PART_WINDOWS", most)
+        runs.append([sorted((tuple(r) for r in f.collect()), key=repr) for f in (
+            decontaminate.contamination(rows, items), decontaminate.decontaminate(rows, items),
+            decontaminate.decontaminate(rows, items, "spans"))])
+    want = brute_contamination([(r[0], r[1]) for r in rows_of_documents()] + extra, [*ITEMS, (15, passage)])
+    assert runs[0][0] == want
+    assert runs[1] == runs[0]
+    assert sum(r[0] is None for r in runs[1][1]) == 2 and [r[1] for r in runs[1][2] if r[0] == 50] == ["before  after"]
+    assert decontaminate.find_spans(rows, items).count() == len(want)
+
+
 # Byte-level BPE -------------------------------------------------------------------------------
 
 
