@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, bounded, lean, sent, shingle_sets, signed, stored, windows, without_ids
+from .common import SPACED, Words, bounded, lean, sent, shingle_sets, signed, stored, windows
 
 #: Counters of the table that orders shingles by frequency, and rows it is summed in.
 COUNTER_BITS, COUNTER_ROWS = 22, 1024
@@ -146,9 +146,12 @@ def _documents(docs: DataFrame, levels, size: int, threshold: float) -> DataFram
 def _postings(described: DataFrame) -> DataFrame:
     """(token, g, n, pos) for each prefix shingle of each group, from one document of the group."""
     rows = described.filter("doc_id IS NOT NULL AND n > 0")
-    first = rows.groupBy("g").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).filter("docs > 1")
-    others = rows.select("doc_id", "g").join(first.select("g", "first"), "g").filter("doc_id <> first").select("doc_id")
-    return without_ids(rows, others).select(
+    # By id and set: an id with different texts can be first in one group and not in another.
+    one = F.struct("doc_id", "s1", "s2")
+    first = rows.groupBy("g").agg(F.min(one).alias("first"), F.count("*").alias("docs")).filter("docs > 1")
+    others = rows.select("doc_id", "s1", "s2", "g").join(first.select("g", "first"), "g").filter(one != F.col("first"))
+    others = sent(others.select("doc_id", "s1", "s2").distinct())
+    return rows.join(others, ["doc_id", "s1", "s2"], "left_anti").select(
         "g", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select(
         "token", "g", "n", "pos")
 

@@ -145,6 +145,15 @@ def test_jaccard_near_copies(spark):
     assert found_components(frame) == brute_components(texts)
 
 
+def test_jaccard_one_id_on_two_texts(spark):
+    """An id that is second in one group and first in another leaves the links of the other group's members."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (6, two), (9, two.replace("b59", "other")), (10, two.replace("b0 ", "other "))]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.similar_documents(frame).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (6, 5), (9, 5), (10, 5)}
+
+
 def test_jaccard_on_documents(spark):
     frame = common.table(spark, SF, "documents")
     texts = {r.doc_id: r.text for r in frame.collect()}
