@@ -90,14 +90,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-IDS_SENT = 500_000
+#: Rows that are broadcast at most, and bytes of their texts; more are joined by a shuffle.
+IDS_SENT, BYTES_SENT = 500_000, 16 << 20
 
 
 def sent(rows: DataFrame, stored_already: bool = False) -> DataFrame:
-    """Narrow rows, to be broadcast if a count shows that they are few enough."""
+    """Narrow rows, to be broadcast if a count shows that they are few and small enough."""
     rows = rows if stored_already else stored(rows, "ids")
-    return F.broadcast(rows) if rows.count() <= IDS_SENT else rows
+    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)).cast("long") for n, kind in rows.dtypes if kind in ("string", "binary")]
+    count, size = rows.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("long")))).first()
+    return F.broadcast(rows) if count <= IDS_SENT and (size or 0) <= BYTES_SENT else rows
 
 
 def _sent(ids: DataFrame) -> DataFrame:
@@ -128,33 +130,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(count: int, base: int) -> np.ndarray:
-    out = np.full(count, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: The two largest primes below 2^31.
+PRIMES = (2_147_483_647, 2_147_483_629)
+#: Bytes whose products with powers (256 x 2^31 at most) add up within 64 bits.
+SUMMED = 1 << 24
+
+
+def _powers(count: int, base: int, prime: int) -> np.ndarray:
+    """1, base, base^2, ... modulo the prime."""
+    out = np.ones(count, np.uint64)
+    done = 1
+    while done < count:
+        more = min(done, count - done)
+        out[done:done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return out
 
 
 class Words:
     """64-bit hashes of the words of whole columns of text.
 
-    `fold` maps each byte of UTF-8 to the byte it counts as; 0x20 separates words. A hash is a
-    polynomial of the word's bytes, each replaced by a random number, taken modulo 2^64 from
-    running sums over all bytes: the same word has the same hash wherever it stands.
+    `fold` maps each byte of UTF-8 to the byte it counts as; 0x20 separates words. A hash joins
+    two polynomials of the word's bytes, modulo two primes and at a random base each, taken
+    from running sums over all bytes: the same word has the same hash wherever it stands, and two words
+    agree in both polynomials with a probability of some 2^-60.
     """
 
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self, fold: bytes, second: bool = False):
-        """`second`: words get another check, of their length and first eight bytes."""
+    def __init__(self, fold: bytes, second: bool = False, seed: int | None = 20_240_501):
+        """`second`: words get another check, of their length and first eight bytes. Hashes of one `seed`
+        agree between tasks; None draws bases that nobody knows in advance."""
         self.fold = np.frombuffer(fold, np.uint8)
-        values = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.value = np.where(self.fold == 0x20, np.uint64(0), values[self.fold])
+        self.value = self.fold.astype(np.uint64) + np.uint64(1)
+        rng = np.random.default_rng(seed)
+        self.bases = [int(rng.integers(1 << 20, p - 1)) for p in PRIMES]
         self.checked = second
         self._grow(CHUNK)
 
     def _grow(self, size: int) -> None:
-        self.power = _powers(size, self.BASE)
-        self.inverse = _powers(size, pow(self.BASE, -1, 1 << 64))
+        self.size = size
+        self.tables = [(np.uint64(p), _powers(size, b, p), _powers(size, pow(b, -1, p), p).astype(np.uint32))
+                       for p, b in zip(PRIMES, self.bases)]
 
     def chunks(self, texts: pa.Array, size: int = CHUNK):
         """(first row, Chunk) for runs of rows of about `size` bytes; null texts have no words."""
@@ -173,10 +188,9 @@ class Chunk:
     """Words of some rows: `hashes` of all of them, `bounds` of each row among them."""
 
     def __init__(self, words: Words, raw: np.ndarray, ends: np.ndarray):
-        if len(raw) > len(words.power):
+        if len(raw) > words.size:
             words._grow(len(raw))
-        value = words.value[raw]
-        inside = value != 0
+        inside = words.fold[raw] != 0x20
         self.raw, self.ends, self.fold = raw, ends, words.fold
         edge = np.zeros(len(raw) + 1, bool)
         edge[ends] = True  # a word ends with its row
@@ -185,15 +199,22 @@ class Chunk:
             opens[1:] &= ~inside[:-1] | edge[1:-1]
             closes[:-1] &= ~inside[1:] | edge[1:-1]
         self.starts, self.stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        self.hashes = self._hashed(words, value)
+        self.hashes = self._hashed(words, words.value[raw])
         self.second = self._check() if words.checked else None
         self.bounds = np.searchsorted(self.starts, ends)
 
     def _hashed(self, words: Words, value: np.ndarray) -> np.ndarray:
-        value *= words.power[:len(value)]
-        sums = np.zeros(len(value) + 1, np.uint64)
-        np.cumsum(value, out=sums[1:])
-        return mixed((sums[self.stops] - sums[self.starts]) * words.inverse[self.starts])
+        out = np.zeros(len(self.starts), np.uint64)
+        for prime, power, inverse in words.tables:
+            terms, sums = value * power[:len(value)], np.zeros(len(value) + 1, np.uint64)
+            for at in range(0, len(terms), SUMMED):
+                np.cumsum(terms[at:at + SUMMED], out=sums[at + 1:at + SUMMED + 1])
+                if at:
+                    sums[at + 1:at + SUMMED + 1] += sums[at] % prime
+            word = sums[self.stops] % prime + prime - sums[self.starts] % prime if len(terms) > SUMMED \
+                else sums[self.stops] - sums[self.starts]
+            out = out << np.uint64(31) | word % prime * inverse[self.starts] % prime
+        return mixed(out)
 
     def _check(self) -> np.ndarray:
         """Length and first eight bytes (as they stand in the text) of each word, in one number: words of
@@ -224,6 +245,41 @@ BLANKS = bytes(range(256))
 SPACED = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+class _Part:
+    """Rows (hash, check, place and count of the numbers), sorted by hash. The leading bits of a hash lead to
+    its neighbourhood, which has one row on average."""
+
+    def __init__(self):
+        self.rows = [np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32)]
+
+    def __len__(self) -> int:
+        return len(self.rows[0])
+
+    def merge(self, rows: list[np.ndarray]) -> None:
+        at = np.searchsorted(self.rows[0], rows[0])
+        self.rows = [np.insert(old, at, new) for old, new in zip(self.rows, rows)]
+        bits = max(1, len(self).bit_length())
+        self.shift = np.uint64(64 - bits)
+        sizes = np.bincount((self.rows[0] >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The row of each pair, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self):
+            return out
+        near = (hashes >> self.shift).astype(np.int64)
+        at, stop = self.first[near], self.first[near + 1]
+        left = np.flatnonzero(at < stop)
+        at, stop, hashes, checks = at[left], stop[left], hashes[left], checks[left]
+        while len(left):
+            same = (self.rows[0][at] == hashes) & (self.rows[1][at] == checks)
+            out[left[same]] = at[same]
+            more = ~same & (at + 1 < stop)
+            left, at, stop, hashes, checks = left[more], at[more] + 1, stop[more], hashes[more], checks[more]
+        return out
+
+
 class Kept:
     """Numbers (a few for each token) by the token's hash and check, in arrays: a large sorted part and a
     small recent one."""
@@ -233,8 +289,7 @@ class Kept:
     def __init__(self, dtype: np.dtype):
         self.numbers = np.empty(1 << 18, dtype)
         self.used = 0
-        empty = np.empty((0, 4), np.uint64)  # hash, check, place and count of the numbers
-        self.parts = [empty, empty]
+        self.parts = [_Part(), _Part()]
 
     def add(self, keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(codes) > len(self.numbers):
@@ -242,16 +297,11 @@ class Kept:
         self.numbers[self.used:self.used + len(codes)] = codes
         places = self.used + np.cumsum(sizes) - sizes
         self.used += len(codes)
-        rows = np.column_stack([keys, places.astype(np.uint64), sizes.astype(np.uint64)])
-        self._merge(1, rows[np.argsort(rows[:, 0], kind="stable")])
+        order = np.argsort(keys[:, 0], kind="stable")
+        self.parts[1].merge([keys[order, 0], keys[order, 1], places[order], sizes[order].astype(np.int32)])
         if len(self.parts[1]) > self.RECENT:
-            self._merge(0, self.parts[1])
-            self.parts[1] = rows[:0]
-
-    def _merge(self, part: int, rows: np.ndarray) -> None:
-        """Put sorted rows among the sorted ones of a part."""
-        old = self.parts[part]
-        self.parts[part] = np.insert(old, np.searchsorted(np.ascontiguousarray(old[:, 0]), rows[:, 0]), rows, axis=0)
+            self.parts[0].merge(self.parts[1].rows)
+            self.parts[1] = _Part()
 
     def __len__(self) -> int:
         return len(self.parts[0]) + len(self.parts[1])
@@ -261,13 +311,9 @@ class Kept:
         place, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         for part in self.parts:
-            if not len(part) or not len(left):
-                continue
-            mine = keys[left]
-            at = np.minimum(np.searchsorted(np.ascontiguousarray(part[:, 0]), mine[:, 0]), len(part) - 1)
-            rows = part[at]
-            same = (rows[:, 0] == mine[:, 0]) & (rows[:, 1] == mine[:, 1])
-            place[left[same]], size[left[same]] = rows[same, 2].astype(np.int64), rows[same, 3].astype(np.int64)
+            rows = part.find(keys[left, 0], keys[left, 1])
+            same = rows >= 0
+            place[left[same]], size[left[same]] = part.rows[2][rows[same]], part.rows[3][rows[same]]
             left = left[~same]
         return place, size
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, decontaminate, jaccard_join, language_id, neighbours, quality, sharding, token_counts, token_files,
-    url_filters,
+    byte_bpe, collocations, decontaminate, jaccard_join, language_id, neighbours, pii, quality, sharding, token_counts,
+    token_files, url_filters, whitening,
 )
 from .common import table
 
@@ -184,3 +184,106 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path(BPE_RANKS))
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS ws, count(*)::BIGINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) t(k) WHERE len(w) >= k) GROUP BY ALL),
+often AS (SELECT *, array_to_string(ws, ' ') AS phrase FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.ws, c.phrase, c.f AS a, j, a.f AS l, b.f AS r, (2000000::HUGEINT * c.f) // (a.f + b.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM often WHERE k > 1) c
+  JOIN often a ON a.lang = c.lang AND a.ws = c.ws[1:j] JOIN often b ON b.lang = c.lang AND b.ws = c.ws[j + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+free AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM often o WHERE o.lang = s.lang AND o.k > s.k AND 100::HUGEINT * o.f >= 80::HUGEINT * s.a
+      AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _luhn_sql(digits: str) -> str:
+    digit = f"substr(reverse({digits}), i::INT, 1)::INT"
+    return (f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: "
+            f"CASE WHEN i % 2 = 1 THEN {digit} ELSE 2 * {digit} - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0")
+
+
+def _account_sql() -> str:
+    """The length of a bank account number at the start of the match, if it is one."""
+    cases = " ".join(f"WHEN '{c}' THEN regexp_extract(m, '^([A-Z0-9] ?){{{n - 1}}}[A-Z0-9]')" for c, n in pii.ACCOUNT_LENGTHS.items())
+    span = f"CASE substr(m, 1, 2) {cases} ELSE '' END"
+    number = f"replace({span}, ' ', '')"
+    turned = f"(substr({number}, 5) || substr({number}, 1, 4))"
+    value = "CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END"
+    rest = (f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: {value})), "
+            "lambda r, v: (r * CASE WHEN v >= 10 THEN 100 ELSE 10 END + v) % 97)")
+    after = f"substr(m, length({span}) + 1, 1)"
+    return (f"CASE WHEN {span} <> '' AND NOT regexp_matches(b, '[A-Za-z0-9]$') AND "
+            f"CASE WHEN {after} = '' THEN NOT regexp_matches(a, '^[A-Za-z0-9]') ELSE {after} = ' ' END "
+            f"THEN CASE WHEN {rest} = 1 THEN length({span}) END END")
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+#: The expression of each kind as it is named, and the length of the span in a match m between texts b and a.
+_PII_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "length(m)"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "CASE WHEN list_bool_and(list_transform(string_split(m, '.'), lambda p: "
+           "length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255)) THEN length(m) END"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 AND {_luhn_sql(_DIGITS)} THEN length(m) END"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"CASE WHEN length({_DIGITS}) BETWEEN 10 AND 15 THEN length(m) END"),
+    "iban": (r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", _account_sql()),
+    "ssn": (r"[0-9][0-9-]{9,}", "CASE WHEN regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND "
+            "NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') THEN length(m) END"),
+    "tel": (r"0[0-9 ()./-]{7,}[0-9]", f"CASE WHEN length({_DIGITS}) BETWEEN 9 AND 12 AND NOT regexp_matches(b, '[A-Za-z0-9+./-]$') "
+            "AND NOT regexp_matches(a, '^[A-Za-z0-9]') THEN length(m) END"),
+}
+
+
+def _pii_oracle() -> str:
+    parts, names = [], []
+    for number, kind in enumerate(pii.KINDS):
+        pattern, length = _PII_SQL[kind.name]
+        words = lambda w: f"CASE WHEN regexp_matches(near, '(^|[^a-z])({w})') THEN {pii.WORD_WEIGHT} ELSE 0.0 END"
+        parts.append(f"""
+k{number} AS (SELECT r, unnest(range(1, len(m) + 1)) AS i, m, g FROM (
+  SELECT r, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM t WHERE regexp_matches(text, '{pattern}'))),
+p{number} AS (SELECT r, m[i] AS m, g[i] AS b, g[i + 1] AS a, list_sum(list_transform(g[1:i], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS first FROM k{number}),
+s{number} AS (SELECT r, first::BIGINT AS first, {number} AS number, '{kind.name}' AS kind, {kind.base} AS base, {length} AS size,
+  round(greatest(0.0, least(1.0, {kind.prior} + {words(kind.good)} - {words(kind.bad)})), 2)::DOUBLE AS score
+  FROM (SELECT *, lower(right(b, {pii.CONTEXT}) || ' ' || left(a, {pii.CONTEXT})) AS near FROM p{number}))""")
+        names.append(f"SELECT * FROM s{number}")
+    listed = "kind || ':' || first || ':' || (first + size), ',' ORDER BY first, number"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),{",".join(parts)},
+spans AS (SELECT * FROM ({" UNION ALL ".join(names)}) WHERE size IS NOT NULL AND (base OR score >= {pii.KEPT_SCORE})),
+listed AS (SELECT r, {counts}, string_agg({listed}) FILTER (base) AS base, string_agg({listed}) AS spans,
+  string_agg(score::VARCHAR, ',' ORDER BY first, number) AS scores FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN listed USING (r)
+"""
+
+
+@query(_pii_oracle())
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -62,7 +62,7 @@ class Encoder:
         split = spec["pre_tokenizer"] or {}
         self.by_blanks = split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"] \
             and spec["normalizer"] is None
-        self.words = Words(BLANKS, second=True)
+        self.words = Words(BLANKS, second=True, seed=None)
         self.kept = Kept(self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
@@ -92,11 +92,12 @@ class Encoder:
             skipped = np.repeat(alone, np.diff(chunk.bounds))
             place, size = self.kept.find(keys)
             missing = np.flatnonzero((size < 0) & ~skipped)
-            if len(missing):
+            while len(missing):  # again for tokens of one hash that differ in their check
                 _, once = np.unique(keys[missing, 0], return_index=True)
                 once = missing[once]
                 self.learn(keys[once], [chunk.word(i) for i in once.tolist()], ~head[once])
                 place[missing], size[missing] = self.kept.find(keys[missing])
+                missing = missing[size[missing] < 0]
             size[skipped] = 0
             flat, stops = self.kept.gather(place, size)
             ends = np.r_[0, stops][chunk.bounds]
