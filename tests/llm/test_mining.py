@@ -68,9 +68,10 @@ def phrase_rows():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_collocations(spark, monkeypatch, small):
-    """In one and in many shards, with states that are broadcast and joined."""
+    """In one and in many shards, with ranges that are cut by their suffixes."""
     if small:
         monkeypatch.setattr(collocations, "SHARD", 500)
+        monkeypatch.setattr(collocations, "MOST", 40)
         monkeypatch.setattr(common, "IDS_SENT", 0)
     rows = phrase_rows()
     frame = spark.createDataFrame([(7, t, lang, 1, "p", 2, 0.5) for lang, t in rows],
