@@ -1,5 +1,4 @@
-"""Document type, vendor and confidence from text. Every step works within one row, except
-matching against a vendor master, which is an equi join on anchor grams."""
+"""Document type, vendor and confidence from text. Every step works within one row."""
 
 from __future__ import annotations
 
@@ -7,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import fence, fold_alnum, squeeze_spaces, substrings, utrim
-from ..sources.files import materialize
+from ..functions.text import fence, fold_alnum, squeeze_spaces, utrim
+from .vendor_table import with_table_vendor
 
 
 def normalize_for_matching(c: Column) -> Column:
@@ -116,10 +115,15 @@ def confidence(doc_type: Column, vendor_name: Column, text: Column) -> Column:
     return F.least(F.coalesce(score, F.lit(0.0)), F.lit(1.0))
 
 
-def with_classification(df: DataFrame, text: str = "raw_text",
-                        vendors: dict | None = None) -> DataFrame:
-    """Add doc_type, vendor and confidence."""
+def with_classification(df: DataFrame, text: str = "raw_text", vendors: dict | None = None,
+                        vendor_table: DataFrame | None = None) -> DataFrame:
+    """Add doc_type, vendor and confidence. Vendors are found by folded patterns or by a table of any
+    size (see `match_vendor_master`), else by company suffixes."""
     t = F.col(text)
+    named = vendor(t, vendors)
+    if vendor_table is not None:
+        df = with_table_vendor(df, vendor_table, text, "_listed")
+        named = F.coalesce(F.col("_listed"), first_company(t, rules.VENDOR_FALLBACK))
     return (
         df.withColumns({"_lower": F.lower(t), "_norm": normalize_for_matching(t)})
         .withColumns({
@@ -128,65 +132,22 @@ def with_classification(df: DataFrame, text: str = "raw_text",
         })
         .withColumns({
             "doc_type": fence(type_by_score({k: F.col(f"_score_{k}") for k in rules.TYPE_KEYWORDS})),
-            "vendor": fence(vendor(t, vendors)),
+            "vendor": fence(named),
         })
         .withColumn("confidence", confidence(F.col("doc_type"), F.col("vendor"), t))
-        .drop("_lower", "_norm", *[f"_score_{k}" for k in rules.TYPE_KEYWORDS])
+        .drop("_lower", "_norm", "_listed", *[f"_score_{k}" for k in rules.TYPE_KEYWORDS])
     )
 
 
 # Vendor master of any size ----------------------------------------------------------------
 
-#: Longest gram that a pattern is found by, and anchors that are broadcast at most.
-MAX_GRAM, SENT_ANCHORS = 8, 500_000
-
 
 def match_vendor_master(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id",
                         text: str = "raw_text") -> DataFrame:
-    """First pattern of a vendor table that occurs in each text: (doc_id, vendor), null if none.
+    """First pattern of a vendor table that occurs in each text: (doc_id, vendor), null if none, one row for
+    each row of docs.
 
     `patterns` has (vendor_ord, pat_ord, vendor, pattern) and optionally `kind`; in
-    "phone_patterns" a dash also stands for a blank or nothing. A pattern can only occur in a
-    text that contains any given gram of it (blanks and dashes left out on both sides), so both
-    sides meet on one gram per pattern, the one fewest patterns share, and a test of the pattern
-    decides. The anchors are counted: few are broadcast, so no gram is shuffled; more are joined
-    by their gram.
+    "phone_patterns" a dash also stands for a blank or nothing. See `vendor_table`.
     """
-    compact = lambda c: F.regexp_replace(c, r"(?U)[\-\s]+", "")
-    kind = F.col("kind") if "kind" in patterns.columns else F.lit("company_names")
-    p = patterns.withColumn("kind", kind).withColumn("_form", compact(F.col("pattern"))).filter(
-        F.length("pattern") > 0).withColumn("_len", F.least(F.length("_form"), F.lit(MAX_GRAM)))
-    # At most MAX_GRAM + 1 different lengths exist, whatever the size of the table.
-    lengths = sorted(r[0] for r in p.select("_len").distinct().collect())
-    nothing = docs.select(doc_id, F.lit(None).cast("string").alias("vendor"))
-    if not lengths:
-        return nothing
-
-    def by_length(column: str) -> Column:
-        parts = [substrings(F.col(column), n) if n else F.array(F.lit("")) for n in lengths]
-        return F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
-
-    own = F.coalesce(*[
-        F.when(F.col("_len") == n, substrings(F.col("_form"), n) if n else F.array(F.lit(""))) for n in lengths])
-    gram_rows = p.select(
-        "vendor_ord", "pat_ord", "vendor", "pattern", "kind", F.explode(F.array_distinct(own)).alias("_gram"))
-    shared = gram_rows.groupBy("_gram").agg(F.count("*").alias("_n"))
-    anchors = materialize(
-        gram_rows.join(shared, "_gram")
-        .groupBy("vendor_ord", "pat_ord", "vendor", "pattern", "kind")
-        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")), "vendor-anchors")
-    if anchors.count() <= SENT_ANCHORS:
-        anchors = F.broadcast(anchors)
-    doc_grams = docs.select(doc_id, F.col(text).alias("_text"), compact(F.col(text)).alias("_compact")).withColumn(
-        "_gram", F.explode(by_length("_compact")))
-    # Only the document key travels; the text comes back for the few candidates.
-    candidates = doc_grams.select(doc_id, "_gram").join(anchors, "_gram").drop("_gram")
-    loose = F.concat(F.lit("(?U)"), F.replace("pattern", F.lit("-"), F.lit(r"[\-\s]?")))
-    occurs = F.when(
-        (F.col("kind") == "phone_patterns") & F.col("pattern").contains("-"), F.regexp_like("_text", loose),
-    ).otherwise(F.col("_text").contains(F.col("pattern")))
-    found = (
-        candidates.join(docs.select(doc_id, F.col(text).alias("_text")), doc_id).filter(occurs)
-        .groupBy(doc_id).agg(F.min_by("vendor", F.struct("vendor_ord", "pat_ord")).alias("vendor"))
-    )
-    return docs.select(doc_id).join(found, doc_id, "left")
+    return with_table_vendor(docs.select(doc_id, text), patterns, text).select(doc_id, "vendor")

@@ -223,3 +223,17 @@ def line_sums(lines: DataFrame, key: str, amount: str) -> DataFrame:
         F.count("*").alias("line_count"),
         F.count_if(F.col(amount).isNotNull() & value.isNull()).alias("unread_count"),
     )
+
+
+def store_by_document(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Headers or lines as a table in buckets of their document, sorted by it. Sums and joins by document on
+    tables of as many buckets read them where they lie, without a shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def stated_and_summed(headers: DataFrame, lines: DataFrame, key: str, line_key: str, amount: str) -> DataFrame:
+    """`headers` with line_total, line_count and unread_count of their lines."""
+    sums = line_sums(lines, line_key, amount)
+    return headers.join(sums, headers[key] == sums[line_key], "left").select(
+        *headers.columns, "line_total", "line_count", "unread_count")

@@ -31,6 +31,11 @@ def remove_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
@@ -88,6 +93,8 @@ def _stream(spark: SparkSession, max_files: int, archive: str | None):
         spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true")
     )
     if archive:
+        # Files of a batch are moved when the next one begins, by the thread that plans it.
+        spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "0")
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader
 
@@ -101,11 +108,17 @@ def stream_records(spark: SparkSession, inbox: str, max_files: int = 1000,
 
 
 def stream_files(spark: SparkSession, inbox: str, content: str = "payload", pattern: str = "*",
-                 max_files: int = 1000, archive: str | None = None) -> DataFrame:
+                 max_files: int = 1000, archive: str | None = None, separator: str | None = None) -> DataFrame:
     """New files as a stream, one document per file: (doc_id = path, `content`, source_file).
 
-    `content` is "payload" for analysis JSON and "raw_text" for plain text.
+    `content` is "payload" for analysis JSON and "raw_text" for plain text. With a `separator` a file
+    holds many documents, whose ids are the path and the hash of the text.
     """
     reader = _stream(spark, max_files, archive).option("pathGlobFilter", pattern)
-    path = F.col("_metadata.file_path")
-    return reader.text(inbox, wholetext=True).select(path.alias("doc_id"), F.col("value").alias(content), path.alias("source_file"))
+    path, value = F.col("_metadata.file_path"), F.col("value")
+    if separator is None:
+        docs, doc_id = reader.text(inbox, wholetext=True), path
+    else:
+        docs = reader.text(inbox, lineSep=separator)
+        doc_id = F.concat(path, F.lit("#"), F.lower(F.hex(F.xxhash64(value))))
+    return docs.select(doc_id.alias("doc_id"), value.alias(content), path.alias("source_file"))

@@ -1,13 +1,14 @@
-"""Results: stored rows, artifacts, audit, and a keep-latest document table."""
+"""Results: stored rows, artifacts, audit with run totals, and keep-latest document tables."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from .files import exists, materialize
 
 
 def document_id(run_ts: str, doc_id: str = "doc_id") -> Column:
@@ -101,7 +102,36 @@ def write_audit(df: DataFrame, path: str, run_ts: str, run: str, batch: int) ->
     audit_rows(df, run_ts).write.mode("overwrite").parquet(f"{path}/{part_of(run, batch)}")
 
 
-# Keep-latest table ------------------------------------------------------------------------
+TOTALS = "run STRING, batch LONG, processed_at STRING, documents LONG, successes LONG, valid LONG, errors LONG"
+
+
+def write_results(df: DataFrame, path: str, totals: str, run_ts: str, run: str, batch: int) -> dict[str, int]:
+    """Write one batch of results, and its totals as one row (TOTALS). The totals are observed by the
+    job that writes; nothing is read again."""
+    seen = Observation(f"{run}-{batch}")
+    count = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    observed = df.observe(
+        seen, F.count("*").alias("documents"), count(F.col("doc").isNotNull()).alias("successes"),
+        count(F.col("is_valid")).alias("valid"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"))
+    observed.write.mode("overwrite").parquet(f"{path}/{part_of(run, batch)}")
+    # An empty batch may run no task, which then has nothing to tell.
+    found = {n: int(seen.get.get(n) or 0) for n in ("documents", "successes", "valid", "errors")}
+    row = df.sparkSession.createDataFrame([(run, batch, run_ts, *found.values())], TOTALS)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{totals}/{part_of(run, batch)}")
+    return found
+
+
+def run_totals(spark: SparkSession, totals: str) -> DataFrame:
+    """(run, documents, successes, valid, errors) of every run, from the rows of its batches."""
+    rows = spark.read.schema(TOTALS).option("recursiveFileLookup", "true").parquet(totals)
+    return rows.groupBy("run").agg(*[F.sum(n).alias(n) for n in ("documents", "successes", "valid", "errors")])
+
+
+# Keep-latest tables -----------------------------------------------------------------------
+#
+# `merge_documents` keeps only the current version of each document, in hash buckets of its id; reading
+# needs no join, and one document is found in one bucket. `upsert_documents` keeps all versions; a batch
+# costs its own size only, and readers choose the latest.
 
 
 ORDER = ("created_at", "batch_no", "doc_id")
@@ -126,6 +156,50 @@ def latest(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_
     return out if row else out.dropDuplicates([key])
 
 
+#: Buckets of a new document table.
+BUCKETS = 64
+
+
+def bucket_of(key: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(key), buckets).cast("int")
+
+
+def merge_documents(rows: DataFrame, path: str, run: str, batch: int, buckets: int = BUCKETS) -> None:
+    """Merge one batch of document versions into the table of current ones.
+
+    The table is partitioned by the hash bucket of the id (`buckets` counts for a new table). Only the buckets
+    of the batch's ids are read and written again, by a dynamic partition overwrite. The last version by
+    creation time, then by batch number and input id stays, so a batch that is merged again changes
+    nothing. Spark replaces a folder by deleting and renaming: if the driver is lost just then, the
+    batch has to be merged again, with what `upsert_documents` has kept of the bucket.
+    """
+    spark = rows.sparkSession
+    known = spark.read.parquet(path) if exists(spark, path) else None
+    if known is not None:
+        buckets = known.select("buckets").first()[0]
+    count = F.lit(buckets).cast("int")
+    new = materialize(rows.withColumns({
+        "batch_no": F.lit(batch).cast("long"), "buckets": count, "bucket": bucket_of(F.col("id"), count)}), "batch")
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets at most
+    if not touched:
+        return
+    if known is not None:
+        new = known.filter(F.col("bucket").isin(touched)).unionByName(new)
+    merged = materialize(latest(new, order=ORDER), "merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "buckets", "bucket").parquet(path)
+
+
+def current_documents(spark: SparkSession, path: str, ids: list[str] | None = None) -> DataFrame:
+    """The current version of every document, or of those with the given ids, whose buckets alone are
+    read."""
+    rows = spark.read.parquet(path)
+    if ids is not None:
+        wanted = [bucket_of(F.lit(i), F.col("buckets")) for i in ids]
+        rows = rows.filter(F.col("bucket").isin(*wanted) & F.col("id").isin(ids))
+    return rows.drop("buckets", "bucket", "batch_no")
+
+
 def upsert_documents(rows: DataFrame, path: str, run: str, batch: int) -> None:
     """Add one batch of document versions. A batch costs its own size, whatever the size of the
     table, and writing it again replaces it; readers see the latest versions."""

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..functions.text import truthy
+from ..session import SETTINGS
+from ..sources.files import exists
+from ..sources.sinks import part_of
 
 
 def first_arrivals(docs: DataFrame, vendor: str = "vendor", document_no: str = "document_no",
@@ -14,7 +23,7 @@ def first_arrivals(docs: DataFrame, vendor: str = "vendor", document_no: str = "
     The first pass works per key and salt and lets at most `salts` rows of a key through, so
     a key that many documents share never reaches one task in full. The state spans the
     horizon and is kept in RocksDB (`session.SETTINGS`). Which row of a micro-batch arrives first
-    is not defined by Spark: use `save_first_arrivals` for the earliest of each batch. Rows later
+    is not defined by Spark: use `passing` for the earliest of each batch. Rows later
     than the watermark are left to the batch check.
     """
     keyed = docs.withWatermark(arrival, horizon).withColumn(
@@ -26,34 +35,101 @@ def first_arrivals(docs: DataFrame, vendor: str = "vendor", document_no: str = "
     )
 
 
-def earliest(docs: DataFrame, vendor: str = "vendor", document_no: str = "document_no",
-             arrival: str = "arrival", doc_id: str = "doc_id") -> DataFrame:
-    """The row of each key with the earliest arrival, ties to the smaller document id.
+# First arrivals with state ----------------------------------------------------------------
+
+ROCKS_DB = "spark.sql.streaming.stateStore.providerClass"
+_PASSED = "doc_id {id}, vendor STRING, document_no STRING, arrival TIMESTAMP"
+
+
+class FirstArrivals(StatefulProcessor):
+    """State of a key: the days on which an arrival has passed. A timer of event time drops the days that no
+    later arrival can be near to, and with the last of them the key."""
+
+    def __init__(self, horizon_days: int):
+        self.horizon = horizon_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getListState("days", "day LONG")
+
+    def _known(self) -> list[int]:
+        return [int(row[0]) for row in self.days.get()] if self.days.exists() else []
+
+    def _keep(self, days: list[int]) -> None:
+        if days:
+            self.days.put([(d,) for d in days])
+            # Within a day after the horizon of the earliest.
+            self.handle.registerTimer((min(days) + self.horizon + 1) * 86_400_000)
+        else:
+            self.days.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._keep(sorted({*self._known(), *_days(initialState["arrival"]).tolist()}))
 
-    An aggregate with partial results, so a key of very many rows is reduced where it lies.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:  # one row for each day is kept, however many arrive
+            frame = frame.assign(day=_days(frame["arrival"]))
+            first = (frame if first is None else pd.concat([first, frame])).sort_values(["arrival", "doc_id"]).drop_duplicates("day")
+        known, passed = self._known(), []
+        for at, day in enumerate(first["day"].tolist() if first is not None else []):
+            if all(abs(day - k) > self.horizon for k in known):
+                known.append(day)
+                passed.append(at)
+        if passed:
+            self._keep(sorted(known))
+            yield first.iloc[passed].drop(columns="day")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000 - self.horizon
+        self._keep([d for d in self._known() if d >= gone])
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _days(arrival: pd.Series) -> pd.Series:
+    return arrival.astype("datetime64[s]").astype("int64") // 86_400
+
+
+def passing(docs: DataFrame, stored: DataFrame | None = None, vendor: str = "vendor", document_no: str = "document_no",
+            arrival: str = "arrival", doc_id: str = "doc_id", horizon_days: int = 365, late: str = "30 days") -> DataFrame:
+    """(doc_id, vendor, document_no, arrival) of the rows of a stream that are no duplicates.
+
+    The earliest arrival of a key in a micro-batch passes, unless one has passed within the horizon; a key
+    passes again beyond it. What has passed is kept as days in keyed state (RocksDB), so no
+    history is read. `stored` holds what passed before the checkpoint began. Rows without a key or an id pass. Rows
+    later than the watermark (`late` behind the latest arrival) are left to the batch check.
     """
-    rest = F.struct(*[c for c in docs.columns if c not in (vendor, document_no)])
-    return docs.groupBy(vendor, document_no).agg(
-        F.min_by(rest, F.struct(arrival, doc_id)).alias("_r")).select(vendor, document_no, "_r.*")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(vendor).cast("string").alias("vendor"),
+                      F.col(document_no).cast("string").alias("document_no"), F.col(arrival).alias("arrival"))
+    own = own.withWatermark("arrival", late)
+    keyed = truthy(F.col("vendor")) & truthy(F.col("document_no")) & F.col("doc_id").isNotNull()
+    keys = ["vendor", "document_no"]
+    before = None if stored is None else stored.filter(keyed).select(*keys, "arrival").groupBy(*keys)
+    passed = own.filter(keyed).groupBy(*keys).transformWithStateInPandas(
+        FirstArrivals(horizon_days), _PASSED.format(id=dict(docs.dtypes)[doc_id]), "Append", "EventTime", before)
+    return passed.union(own.filter(~F.coalesce(keyed, F.lit(False))).select("doc_id", *keys, "arrival"))
 
 
-def save_first_arrivals(path: str, vendor: str = "vendor", document_no: str = "document_no",
-                        arrival: str = "arrival", doc_id: str = "doc_id", horizon_days: int = 365):
-    """foreachBatch function that adds the first arrivals of a batch to a table.
+def start_first_arrivals(docs: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Add the first arrivals of a stream to a table, until there is nothing new.
 
-    Within a batch the earliest arrival of a key passes; a key passes again when the stored one is
-    more than the horizon older. Writing a batch again replaces it.
+    What the table holds seeds the state of a new checkpoint, and writes are keyed by the query, whose id lives in its
+    checkpoint, and the batch: a restart goes on, a repeated batch replaces itself, and a new
+    checkpoint deletes nothing.
     """
+    spark, stored = docs.sparkSession, None
+    # Keyed state of several parts is kept in RocksDB only.
+    spark.conf.set(ROCKS_DB, SETTINGS[ROCKS_DB])
+    if exists(spark, path) and not exists(spark, f"{checkpoint}/offsets"):
+        kind = dict(docs.dtypes)[options.get("doc_id", "doc_id")]
+        stored = spark.read.schema(_PASSED.format(id=kind)).option("recursiveFileLookup", "true").parquet(path)
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = earliest(batch, vendor, document_no, arrival, doc_id)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            known = spark.read.parquet(path).filter(F.col("batch") != batch_id).select(
-                F.col(vendor).alias("_v"), F.col(document_no).alias("_n"), F.col(arrival).alias("_a"))
-            near = F.abs(F.datediff(F.col(arrival), F.col("_a"))) <= horizon_days
-            first = first.join(known, (F.col(vendor) == F.col("_v")) & (F.col(document_no) == F.col("_n")) & near,
-                               "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return save
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(f"{path}/{part_of(run, batch_id)}")
+
+    return passing(docs, stored, **options).writeStream.outputMode("append").foreachBatch(save).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()

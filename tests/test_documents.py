@@ -5,7 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from denpyo import rules
-from denpyo.operators import classify, duplicates, extract, lines, mapping, resolve, text_fields, validate
+from denpyo.operators import (
+    classify, duplicates, extract, lines, mapping, resolve, skew, text_fields, validate, vendor_table,
+)
 from denpyo.plans.normalize import normalize_payloads, normalize_texts
 from denpyo.sources import files, sinks
 
@@ -158,7 +160,7 @@ def test_minimal_document(spark):
     assert "vendor_name" in r.unmapped_fields
 
 
-def test_duplicates_with_a_hot_key(spark):
+def test_duplicates_with_a_hot_key(spark, monkeypatch):
     """A third of the documents share vendor and number, most of them on one day."""
     hot = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.lit("V").alias("vendor"), F.lit("N").alias("document_no"),
@@ -168,8 +170,9 @@ def test_duplicates_with_a_hot_key(spark):
         F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("vendor"),
         F.lit("N").alias("document_no"), F.lit("2024-01-01").alias("issue_date"))
     docs = hot.union(rest)
-    for salts in (1, 4):
-        flagged = duplicates.flag_duplicates(docs, salts=salts)
+    for rows in (skew.HOT_ROWS, 100):
+        monkeypatch.setattr(skew, "HOT_ROWS", rows)
+        flagged = duplicates.flag_duplicates(docs)
         got = {r.doc_id: r.prior_doc for r in flagged.filter("is_duplicate").collect()}
         assert len(got) == 2899 + 50 + 49
         assert got[1] == 0 and got[2900] == 2899 and got[2901] == 2900 and got[2951] == 2950
@@ -180,14 +183,15 @@ def test_duplicates_with_a_hot_key(spark):
     assert "Aggregate" in plan[window:]
 
 
-def test_resolution(spark):
+def test_resolution(spark, monkeypatch):
     docs = spark.createDataFrame(
         [("1", ("A", None)), ("2", ("B", "K")), ("3", (None, "K"))],
         "doc_id string, doc struct<vendor:string,customer_name:string>")
     master = spark.createDataFrame(
         [("A", "2", None), ("A", "1", "Aa"), ("K", "9", None)], "name string, id string, normalized_name string")
-    for salts in (1, 3):
-        out = resolve.resolve_customers(resolve.resolve_vendors(docs, master, salts=salts), master)
+    for rows in (skew.MASTER_ROWS, 0):
+        monkeypatch.setattr(skew, "MASTER_ROWS", rows)
+        out = resolve.resolve_customers(resolve.resolve_vendors(docs, master), master)
         got = {r.doc_id: (r.doc.vendor_id, r.doc.vendor_normalized, r.doc.customer_id, r.doc.customer_normalized)
                for r in out.collect()}
         assert got == {"1": ("1", "Aa", None, None), "2": (None, None, "9", "K"), "3": (None, None, "9", "K")}
@@ -212,13 +216,16 @@ def test_ingest_equals_batch(spark, tmp_path):
     batch = normalize_payloads(docs, RUN_TS)
     valid = sinks.stored_rows(batch.filter("is_valid"), RUN_TS)
     want = {(r.id, r.doc_id) for r in sinks.latest(valid).collect()}
-    got = {(r.id, r.doc_id) for r in sinks.read_documents(spark, f"{out}/documents").collect()}
-    assert got == want and len(got) == 3
+    for read in (sinks.read_documents(spark, f"{out}/versions"), sinks.current_documents(spark, f"{out}/documents")):
+        got = {(r.id, r.doc_id) for r in read.collect()}
+        assert got == want and len(got) == 3
+    totals = sinks.run_totals(spark, f"{out}/totals").drop("run").first().asDict()
+    assert totals == {"documents": 6, "successes": 5, "valid": 5, "errors": batch.agg(F.sum(F.size("errors"))).first()[0]}
     audit = {r.doc_id: r.success for r in spark.read.parquet(f"{out}/audit").collect()}
     assert audit == {**{f"d{i}": True for i in range(5)}, "bad": False}
     assert {r.kind for r in spark.read.text(f"{out}/artifacts").select("kind").collect()} == {
         "raw", "cdm", "validation"}
-    sinks.compact_documents(spark, f"{out}/documents", str(tmp_path / "compact"))
+    sinks.compact_documents(spark, f"{out}/versions", str(tmp_path / "compact"))
     again = sinks.read_documents(spark, str(tmp_path / "compact")).select("id", "doc_id").collect()
     assert {tuple(r) for r in again} == want
 
@@ -300,3 +307,158 @@ def test_vendor_phones(spark):
     docs = texts(spark, "tel 06 9876 5432", "tel 0698765432", "tel 06-9876-5433", "Invoice One", None)
     got = {r.doc_id: r.vendor for r in classify.match_vendor_master(docs, patterns).collect()}
     assert list(got.values()).count("P") == 2 and list(got.values()).count("Q") == 1 and len(got) == 5
+
+
+def test_vendor_table_rows(spark, monkeypatch):
+    """Null and repeated ids, long texts, shared beginnings, several parts and passes, against plain search."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = ["ab", "abc", "b-c", "Supplier#", "山田", "商店", "03-1234", "x y", "-", "🙂z"]
+    patterns = [(i // 3, i % 3, f"v{i}", "".join(rng.choice(words) for _ in range(rng.randint(1, 4))),
+                 rng.choice(["company_names", "phone_patterns"])) for i in range(120)]
+    patterns += [(50, 0, "first", "ab", "domains"), (None, None, "last", "ab", "domains"), (7, 7, "e", "", None), (7, 8, "r", "0[36]-12+", "phone_patterns")]
+    bodies = ["".join(rng.choice([*words, " ", "\n", "q", "06-122"]) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    bodies += [None, "", "ab" * 3000, "q" * 2000 + "Supplier#山田" + "q" * 700, bodies[0], bodies[1]]
+    rows = [(None if i % 9 == 0 else f"d{i % 100}", b) for i, b in enumerate(bodies)]
+
+    def vendor(text):
+        for _, _, name, p, kind in sorted(patterns, key=lambda r: (r[0] is None, r[0] or 0, r[1] or 0, r[2])):
+            if text is None or not p:
+                continue
+            loose = kind == "phone_patterns" and "-" in p
+            if re.search(p.replace("-", r"[\-\s]?"), text) if loose else p in text:
+                return name
+        return None
+
+    table = spark.createDataFrame(patterns, "vendor_ord int, pat_ord int, vendor string, pattern string, kind string")
+    docs = spark.createDataFrame(rows, "doc_id string, raw_text string").repartition(3)
+    want = sorted(((i or "", vendor(b) or "") for i, b in rows))
+    for size in (vendor_table.PART_BYTES, 600):
+        monkeypatch.setattr(vendor_table, "PART_BYTES", size)
+        got = classify.match_vendor_master(docs, table)
+        assert sorted((r.doc_id or "", r.vendor or "") for r in got.collect()) == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    none = classify.match_vendor_master(docs, table.limit(0)).collect()
+    assert len(none) == len(rows) and {r.vendor for r in none} == {None}
+    assert classify.match_vendor_master(docs.limit(0), table).collect() == []
+
+
+def test_a_million_vendors(spark):
+    names = spark.range(1_000_000).select(
+        F.col("id").alias("vendor_ord"), F.lit(0).alias("pat_ord"), F.concat(F.lit("v"), "id").alias("vendor"),
+        F.concat(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12), F.lit(" Ltd")).alias("pattern"))
+    asked = [3, 500_000, 999_999]
+    chosen = {r.vendor: r.pattern for r in names.filter(F.col("vendor_ord").isin(asked)).collect()}
+    docs = texts(spark, *[f"to {p} of" for p in chosen.values()], *["no vendor here " * 20] * 500)
+    found = {r.doc_id: r.vendor for r in classify.match_vendor_master(docs, names).collect()}
+    assert len(found) == 503 and {v for v in found.values() if v} == set(chosen)
+
+
+def test_hot_names_are_spread(spark, monkeypatch):
+    """Half of the rows share one name: no task of the join gets them all."""
+    monkeypatch.setattr(skew, "MASTER_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
+    docs = spark.range(40_000).select(F.col("id").cast("string").alias("doc_id"), F.struct(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("vendor")).alias("doc"))
+    master = spark.createDataFrame([("hot", "1", None), ("n7", "2", None)], "name string, id string, normalized_name string")
+    assert skew.hot_pieces(docs.select("doc.vendor"), "vendor") == {"hot": 20}
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        out = resolve.resolve_vendors(docs, master)
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(
+            F.count_if(F.col("doc.vendor_id") == "1").alias("hot")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(t.hot for t in tasks) == 20_000 and max(t.hot for t in tasks) <= 7_000
+    assert out.filter("doc.vendor_id = '2'").count() == 1
+
+
+def test_merged_documents(spark, tmp_path):
+    """Touched buckets alone are written again; one id is read from one bucket."""
+    path = str(tmp_path / "current")
+    rows = spark.range(500).select(F.concat(F.lit("k"), "id").alias("id"), F.lit("d0").alias("doc_id"), F.lit(RUN_TS).alias("created_at"))
+    sinks.merge_documents(rows, path, "r", 0, buckets=16)
+    files_of = lambda: {f for f in spark.read.parquet(path).inputFiles()}
+    before = files_of()
+    newer = spark.createDataFrame([("k7", "d1", RUN_TS), ("new", "d1", RUN_TS), ("k8", "d1", "2000-01-01T00:00:00")], rows.schema)
+    for _ in range(2):
+        sinks.merge_documents(newer, path, "r", 1, buckets=999)
+    after = files_of()
+    assert 13 <= len(before & after) < 16
+    got = {r.id: r.doc_id for r in sinks.current_documents(spark, path).collect()}
+    assert len(got) == 501 and got["k7"] == got["new"] == "d1" and got["k8"] == "d0"
+    one = sinks.current_documents(spark, path, ["k7"])
+    assert [r.doc_id for r in one.collect()] == ["d1"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "Join" not in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:120]
+
+
+def test_first_arrivals_over_the_horizon(spark, tmp_path):
+    """A key passes again beyond the horizon, rows without a key always, and a new checkpoint forgets nothing."""
+    from denpyo.streaming import dedup
+
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "doc_id STRING, vendor STRING, document_no STRING, arrival TIMESTAMP"
+
+    def deliver(checkpoint, *rows):
+        frame = spark.createDataFrame(list(rows), "doc_id STRING, vendor STRING, document_no STRING, arrival STRING")
+        frame.withColumn("arrival", F.col("arrival").cast("timestamp")).coalesce(1).write.mode("append").parquet(inbox)
+        docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        dedup.start_first_arrivals(docs, out, str(tmp_path / checkpoint), horizon_days=10).awaitTermination()
+        return sorted(r.doc_id for r in spark.read.parquet(out).collect())
+
+    assert deliver("a", ("1", "v", "n", "2024-01-02"), ("2", "v", "n", "2024-01-01"), ("3", None, "n", "2024-01-01"), ("4", "v", "", "2024-01-01")) == ["2", "3", "4"]
+    assert deliver("a", ("5", "v", "n", "2024-01-11"), ("6", "v", "n", "2024-01-12"), ("7", "w", "n", "2024-01-05")) == ["2", "3", "4", "6", "7"]
+    again = deliver("b", ("8", "v", "n", "2024-01-20"), ("9", "w", "n", "2024-01-30"))
+    assert again == ["2", "3", "3", "4", "4", "6", "7", "9"]
+
+
+def test_duplicates_of_stored_keys_are_pruned(spark, tmp_path):
+    docs = spark.range(200).select(
+        F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("v"), F.col("id") % 50).alias("vendor"), F.lit("n").alias("document_no"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 10).cast("int")).cast("string").alias("issue_date"))
+    path = str(tmp_path / "keys")
+    duplicates.key_rows(docs).write.partitionBy("vendor_bucket", "issue_month").parquet(path)
+    stored = spark.read.schema("doc_id STRING, vendor STRING, document_no STRING, issue_date STRING, vendor_bucket INT, issue_month STRING").parquet(path)
+    new = spark.createDataFrame([("x", "v3", "n", "2024-09-01"), ("y", None, "n", "2024-09-01")], "doc_id string, vendor string, document_no string, issue_date string")
+    near = duplicates.near_keys(stored, new)
+    assert "PartitionFilters: [" in near._jdf.queryExecution().executedPlan().toString()
+    assert 0 < near.count() < 30
+    got = {r.doc_id: r.prior_doc for r in duplicates.flag_duplicates(new, earlier=near).collect()}
+    assert got == {r.doc_id: r.prior_doc for r in duplicates.flag_duplicates(new, earlier=docs).collect()}
+    assert got["x"] is not None and got["y"] is None
+    assert duplicates.near_keys(stored, new.filter("vendor IS NULL")).count() == 0
+
+
+def test_tables_in_buckets_are_joined_without_a_shuffle(spark):
+    from fixtures import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["line_totals_in_buckets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_rule_hits_joined_and_broadcast(spark, monkeypatch):
+    """Both ways to look rules up give the same rows."""
+    from fixtures import catalog
+
+    rows = []
+    for most in (mapping.SENT_HITS, 0):
+        monkeypatch.setattr(mapping, "SENT_HITS", most)
+        rows.append(sorted(map(tuple, catalog.QUERIES["rule_lookup"](spark, "/root/testdata/sf0.001").collect())))
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_variant_can_not_hold_nested_values(spark):
+    """Why nested values go through a function: a VARIANT orders the keys of an object anew and refuses repeated
+    ones, of which the last counts here."""
+    df = spark.createDataFrame([('{"b":{"x":1},"a":2}', '{"a":1,"a":2}')], "ordered string, twice string")
+    r = df.select(F.to_json(F.try_parse_json("ordered")).alias("ordered"), F.try_parse_json("twice").isNull().alias("refused")).first()
+    assert r.ordered == '{"a":2,"b":{"x":1}}' and r.refused
