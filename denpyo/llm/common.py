@@ -106,6 +106,19 @@ def _sent(ids: DataFrame) -> DataFrame:
     return sent(ids.filter("doc_id IS NOT NULL").distinct())
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, stored with a key of their own, and the name of the key's column."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
+
+
+def without_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of `keyed`, without those of the given keys and without the key."""
+    return rows.join(sent(gone), key, "left_anti").select(*[f"`{c}`" for c in rows.columns if c != key])
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is not among ids (doc_id), with their columns; null ids stay."""
     return docs.join(_sent(ids), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

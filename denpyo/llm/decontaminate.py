@@ -4,10 +4,12 @@ Method: broadcast hash set. The items' word windows are hashed; every task slide
 of its documents, looks window hashes up in the set and verifies a hit on the words
 themselves. No shuffle, and a document is read once however long it is.
 
-The set is broadcast in parts of at most `PART_WINDOWS` windows, so its size is bounded whatever
-the benchmark's; with more parts the documents are stored once with a key for each row, scanned part
-by part, and the hits of all parts are joined by that key before anything is judged or cut. So the
-results do not depend on the number of parts, whatever the ids.
+The set is broadcast in parts of at most `PART_WINDOWS` windows and `PART_BYTES` of text, sorted by hash in one Arrow
+buffer, which a worker reads in place. So its size is bounded whatever the benchmark's; with more parts
+the documents are stored once with a key for each row, scanned part by part, and the hits of all parts are joined by
+that key before anything is judged or cut. Hits are spans of words; the items that share a window are named once
+for each row, not for each occurrence. So the results do not depend on the number of parts, whatever
+the ids.
 
 A word is a run of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. An item
 with fewer words than a window, but at least one, is one window of its own length.
@@ -23,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, lean, sent, stored, strings, windows
+from .common import Words, bounded, kept_by_worker, lean, sent, stored, strings, windows
+from .common import keyed as keyed_rows
 
 WINDOW = 13
-PART_WINDOWS = 1 << 21
-SPANS = "ARRAY<STRUCT<first: INT, last: INT, item_id: STRING>>"
+PART_WINDOWS, PART_BYTES = 1 << 19, 32 << 20
+SPANS = "spans ARRAY<STRUCT<first: INT, last: INT>>, items ARRAY<STRING>"
 RESULT = "doc_id LONG, n_words LONG, n_hit LONG, n_items LONG, items_sha256 STRING, contaminated BOOLEAN"
 #: Bytes that words consist of, upper case already lowered; all others separate words.
 _WORD_BYTES = bytes(
@@ -65,45 +70,61 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 class Scanner:
-    """The windows of one part, ready to look words up in."""
-
-    def __init__(self, rows: list[tuple[str, int, int, bytes]]):
-        self.items: dict[bytes, list[str]] = {}
-        hashes: dict[int, set[int]] = {}
-        for item, length, h, words in rows:
-            self.items.setdefault(words, []).append(item)
-            hashes.setdefault(length, set()).add(h)
-        self.sorted = {n: np.sort(np.fromiter(h, np.int64, len(h))) for n, h in hashes.items()}
-
-    def hits(self, chunk) -> list[list[tuple[int, int, bytes]]]:
+    """The windows of one part, ready to look words up in. `rows` (item_id, length, hash, words) are sorted by length,
+    hash and words."""
+
+    def __init__(self, rows: pa.Table):
+        self.items, self.words = (rows.column(n).combine_chunks() for n in ("item_id", "words"))
+        length, hashes = rows.column("length").to_numpy(), rows.column("hash").to_numpy()
+        new = np.ones(len(length), bool)
+        if len(new) > 1:
+            words = rows.column("words").combine_chunks()
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] |= (hashes[1:] != hashes[:-1]) | (length[1:] != length[:-1])
+        # A window is the rows of equal words: the places where each starts, and behind the last.
+        self.starts = np.r_[np.flatnonzero(new), len(new)]
+        first = self.starts[:-1]
+        self.known = {int(n): (hashes[first[length[first] == n]], int(np.flatnonzero(length[first] == n)[0])) for n in np.unique(length)}
+
+    def named(self, found: set[int]) -> set[str]:
+        """The items of some windows."""
+        return {i for w in found for i in self.items[int(self.starts[w]):int(self.starts[w + 1])].to_pylist()}
+
+    def hits(self, chunk) -> list[list[tuple[int, int, int]]]:
         """For each row of a chunk (first word, last word, window) of every occurrence."""
-        out: list[list[tuple[int, int, bytes]]] = [[] for _ in range(len(chunk))]
-        for length, known in self.sorted.items():
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(chunk))]
+        for length, (known, base) in self.known.items():
             if len(chunk.hashes) < length:
                 continue
             mine = windows(chunk.hashes, length).view(np.int64)
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            for i in np.flatnonzero(known[at] == mine).tolist():
+            at = np.searchsorted(known, mine)
+            for i in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == mine).tolist():
                 row = int(np.searchsorted(chunk.bounds, i, side="right")) - 1
                 if i + length > chunk.bounds[row + 1]:
                     continue  # goes beyond its text
-                window = b" ".join(map(chunk.word, range(i, i + length)))
-                if window in self.items:
-                    first = i - int(chunk.bounds[row])
-                    out[row].append((first, first + length - 1, window))
+                text, place = b" ".join(map(chunk.word, range(i, i + length))), int(at[i])
+                while place < len(known) and known[place] == mine[i]:  # more than one for equal hashes only
+                    if self.words[int(self.starts[base + place])].as_py() == text:
+                        first = i - int(chunk.bounds[row])
+                        out[row].append((first, first + length - 1, base + place))
+                    place += 1
         return out
 
 
 def _parts(items: DataFrame, size: int) -> list:
-    """Broadcasts of the windows, each of at most some PART_WINDOWS of them."""
+    """Broadcasts of the windows, each of at most some PART_WINDOWS of them and PART_BYTES."""
     bounded(items)
     cut = stored(item_windows(items, size), "benchmark-windows")
-    count = cut.count()
-    parts = -(-count // PART_WINDOWS) or 1
+    count, text = cut.agg(F.count("*"), F.sum(F.octet_length("words") + F.octet_length("item_id"))).first()
+    parts = max(1, -(-count // PART_WINDOWS), -(-(text or 0) // PART_BYTES))
     spark = items.sparkSession
     for part in range(parts):
         mine = cut if parts == 1 else cut.filter(F.pmod(F.hash("words"), F.lit(parts)) == part)
-        yield spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+        rows = mine.toArrow().sort_by([("length", "ascending"), ("hash", "ascending"), ("words", "ascending")])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        yield spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
 def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple:
@@ -117,7 +138,9 @@ def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tup
 
 def _scan(batches: Iterator[pa.RecordBatch], part, text_at: int):
     """(batch, [(n_words, [(first, last, window)])], scanner) for each batch."""
-    scanner, words = Scanner(part.value), Words(_WORD_BYTES)
+    data = part.value
+    scanner, words = kept_by_worker("scanner", xxhash.xxh3_128_intdigest(data), lambda: (
+        Scanner(pa.ipc.open_stream(data).read_all()), Words(_WORD_BYTES)))
     for batch in batches:
         found = []
         for _, chunk in words.chunks(batch.column(text_at)):
@@ -125,48 +148,41 @@ def _scan(batches: Iterator[pa.RecordBatch], part, text_at: int):
         yield batch, found, scanner
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents, stored with a key for each row as their last column."""
-    name = "row_key"
-    while name in docs.columns:
-        name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "benchmark-documents")
-
-
 def _spans(keyed: DataFrame, parts: list) -> DataFrame:
-    """(row_key, doc_id, n_words, spans) of each row of documents whose last column is a key, with the hits of
+    """(row_key, doc_id, n_words, spans, items) of each row of documents whose last column is a key, with the hits of
     all parts."""
     own = keyed.select(F.col(keyed.columns[-1]).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
+    place = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     out = None
     for part in parts:
         def spans(batches: Iterator[pa.RecordBatch], part=part, first=out is None) -> Iterator[pa.RecordBatch]:
             lean()
             for batch, found, scanner in _scan(batches, part, 2):
-                cells = [[{"first": a, "last": b, "item_id": item} for a, b, w in hits for item in scanner.items[w]]
-                         for _, hits in found]
+                cells = [[{"first": a, "last": b} for a, b in sorted({(a, b) for a, b, _ in hits})] for _, hits in found]
+                names = [sorted(scanner.named({w for *_, w in hits})) for _, hits in found]
                 rows = pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()),
-                     pa.array(cells, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()),
-                                                         ("item_id", pa.string())])))],
-                    ["row_key", "doc_id", "n_words", "spans"])
+                     pa.array(cells, place), pa.array(names, pa.list_(pa.string()))],
+                    ["row_key", "doc_id", "n_words", "spans", "items"])
                 # The first part has every row, the others those with hits.
                 yield rows if first else rows.filter(pa.array([bool(c) for c in cells], pa.bool_()))
 
-        one = own.mapInArrow(spans, f"row_key LONG, doc_id LONG, n_words LONG, spans {SPANS}")
+        one = own.mapInArrow(spans, f"row_key LONG, doc_id LONG, n_words LONG, {SPANS}")
         out = one if out is None else out.union(one)
     if len(parts) == 1:
         return out
     return out.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"))
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def find_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans) with a span for every occurrence of an item's window, one row for each of docs."""
+    """(doc_id, n_words, spans, items): the places of every window of an item, and the items found, one row for each
+    of docs."""
     parts = list(_parts(items, size))
-    keyed = _keyed(docs.select("doc_id", "text")) if len(parts) > 1 else docs.withColumn("row_key", F.lit(0).cast("long"))
-    return _spans(keyed, parts).select("doc_id", "n_words", "spans")
+    keyed = keyed_rows(docs.select("doc_id", "text"))[0] if len(parts) > 1 else docs.withColumn("row_key", F.lit(0).cast("long"))
+    return _spans(keyed, parts).select("doc_id", "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -176,14 +192,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """
     parts = list(_parts(items, size))
     if len(parts) > 1:
-        return _judged(_keyed(docs.select("doc_id", "text")), parts).drop("row_key")
+        return _judged(keyed_rows(docs.select("doc_id", "text"))[0], parts).drop("row_key")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch, found, scanner in _scan(batches, parts[0], 1):
             yield _results(batch.columns[:1], [
-                _verdict(n, [(a, b) for a, b, _ in hits], {i for *_, w in hits for i in scanner.items[w]})
+                _verdict(n, [(a, b) for a, b, _ in hits], scanner.named({w for *_, w in hits}))
                 for n, hits in found])
 
     return own.mapInArrow(judge, RESULT)
@@ -204,8 +220,8 @@ def _judged(keyed: DataFrame, parts: list) -> DataFrame:
         lean()
         for batch in batches:
             yield _results(batch.columns[:2], [
-                _verdict(n, [(s["first"], s["last"]) for s in spans], {s["item_id"] for s in spans})
-                for n, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+                _verdict(n, [(s["first"], s["last"]) for s in spans], set(names))
+                for n, spans, names in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))])
 
     return _spans(keyed, parts).mapInArrow(merge, "row_key LONG, " + RESULT)
 
@@ -237,14 +253,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
 
 def _decontaminated(docs: DataFrame, parts: list, remove: str) -> DataFrame:
     """The documents without what the parts together have."""
-    keyed = _keyed(docs)
-    names, key = docs.columns, keyed.columns[-1]
+    keyed, key = keyed_rows(docs)
+    names = docs.columns
     at, columns = names.index("text"), [f"`{c}`" for c in names]
     if remove == "documents":
         bad = _judged(keyed, parts).filter("contaminated").select(F.col("row_key").alias(key))
         return keyed.join(sent(bad), key, "left_anti").select(*columns)
-    places = F.array_distinct(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
-    hit = stored(_spans(keyed, parts).filter(F.size("spans") > 0).select(F.col("row_key").alias(key), places.alias("cuts")), "benchmark-cuts")
+    hit = stored(_spans(keyed, parts).filter(F.size("spans") > 0).select(
+        F.col("row_key").alias(key), F.array_distinct("spans").alias("cuts")), "benchmark-cuts")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()

@@ -9,8 +9,8 @@ These are ranked by their exact inner product.
 How many candidates: for a sample of `SAMPLE` queries one pass over all vectors finds the true
 nearest, the bits they share with the query in each tree, and the counts at each depth. They tell
 the recall of any number of candidates; the least from `candidates` on with a recall of `RECALL`
-is taken. A depth holds up to twice the candidates; where that is as much work as all vectors,
-every query is compared with every vector and the result is exact.
+is taken, up to all vectors in all trees. Results always come from the forest; only the sample's recall is
+measured by comparing with every vector.
 
 How it is distributed: a tree's sorted array is cut at a short prefix, so that a piece has a
 few times the entries that a query takes from one tree. Pieces of more than `PIECE` entries or
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, sent, stored
 
-TREES, HASH_BITS, CANDIDATES = 24, 48, 40_000
+TREES, HASH_BITS, CANDIDATES = 24, 48, 2_000
 #: Queries whose recall is measured, and the least that it may be there (0.9 is due for all).
 SAMPLE, RECALL = 128, 0.95
 #: Depths below the cut that are counted.
@@ -150,12 +150,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return r, c
 
 
-def _enough(classes: DataFrame, size: int, largest: float, k: int, trees: int, candidates: int) -> int:
-    """The least number of candidates, from the given one on, whose recall on a sample of the queries
-    is RECALL; `size` if there is none below half of it."""
+def _enough(classes: DataFrame, size: int, largest: float, k: int, trees: int, candidates: int) -> tuple[int, float]:
+    """(candidates, recall): the least number, from the given one on, whose recall on a sample of the queries is
+    RECALL, or all vectors in all trees."""
     some = classes.filter("asks").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("cid", "v").collect()
     if not some:
-        return candidates
+        return candidates, 1.0
     own, q = np.array([r.cid for r in some]), np.array([r.v for r in some])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,23 +203,16 @@ def _enough(classes: DataFrame, size: int, largest: float, k: int, trees: int, c
     rows = classes.select("cid", "v").mapInArrow(
         measure, "q INT, counts ARRAY<LONG>, far ARRAY<DOUBLE>, bits ARRAY<LONG>").groupBy("q").applyInArrow(
         merge, "counts ARRAY<LONG>, bits ARRAY<LONG>").collect()
+    if not rows:
+        return candidates, 1.0
     counts = np.array([r.counts for r in rows])
-    while 2 * candidates < size:
+    while True:
+        candidates = min(candidates, trees * size)
         depth = np.maximum((counts >= candidates).sum(axis=1) - 1, 0)  # counts fall with the depth
-        found = [b >= d for r, d in zip(rows, depth) for b in r.bits]
-        if np.mean(found or [True]) >= RECALL:
-            return candidates
+        recall = float(np.mean([b >= d for r, d in zip(rows, depth) for b in r.bits] or [True]))
+        if recall >= RECALL or candidates == trees * size:
+            return candidates, recall
         candidates += -(-candidates // 4)
-    return size
-
-
-def _all_pairs(entries: DataFrame, cells: int) -> DataFrame:
-    """What the pieces rank if every query meets every vector: entries dealt to cells, queries to all of them."""
-    rows = entries.withColumn("depth", F.lit(0))
-    dealt = rows.withColumn("prefix", F.pmod(F.xxhash64("cid"), F.lit(cells)).cast("long")).withColumn("entry", F.lit(True))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    asked = rows.filter("asks").withColumn("prefix", every).withColumn("entry", F.lit(False))
-    return dealt.unionByName(asked).drop("asks")
 
 
 def _forest(classes: DataFrame, size: int, largest: float, trees: int, candidates: int, keys: list[str]) -> DataFrame:
@@ -269,9 +262,10 @@ def _forest(classes: DataFrame, size: int, largest: float, trees: int, candidate
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
-           candidates: int = CANDIDATES) -> DataFrame:
+           candidates: int = CANDIDATES, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) found for
-    each whose id is divisible by `every`, without itself. `candidates`: the least number."""
+    each whose id is divisible by `every`, without itself. `candidates`: the least number. `report` is given what was
+    measured: the number of vectors, candidates of a query and recall of the sample."""
     rows = stored(clean(vectors).distinct(), "vectors")
     # The smallest ids of equal vectors: more can not be in one result.
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
@@ -291,12 +285,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = TREES,
     largest = float(largest or 0.0)
     keys = ["tree", "prefix", "piece.own", "piece.other"]
     candidates = max(candidates, trees * (k + 1))  # else they could be fewer than k vectors
-    if 2 * candidates < size:
-        candidates = _enough(classes, size, largest, k, trees, candidates)
-    if 2 * candidates >= size:
-        ready = _all_pairs(_entries(classes, largest, 1, 0), max(trees, -(-size // PIECE)))
-    else:
-        ready = _forest(classes, size, largest, trees, candidates, keys)
+    candidates, recall = _enough(classes, size, largest, k, trees, candidates)
+    if report is not None:
+        report.update(vectors=size, candidates=candidates, recall=recall)
+    ready = _forest(classes, size, largest, trees, candidates, keys)
 
     def rank(group: pa.Table) -> pa.Table:
         known, order, asked = _sorted(group)

@@ -5,7 +5,8 @@ and unlabelled web text:
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
-Labelled negatives are not used. The class prior is estimated from the two samples: the smallest
+Where the estimate of the negatives' risk (the second part) falls below zero on all rows, a step follows its
+ascent alone, as the published method has it, and the weight decay. Labelled negatives are not used. The class prior is estimated from the two samples: the smallest
 ratio of the unlabelled share to the positive share above any score of a first, plain
 positive-against-unlabelled fit.
 
@@ -121,10 +122,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     def gradient(w):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
         negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        g = prior * p.T @ (sp - 1) / len(p) + decay * w
+        trusted = prior * p.T @ (sp - 1) / len(p)
         rest = u.T @ su / len(u) - prior * p.T @ sp / len(p)
-        # Where the estimate of the negatives' risk falls below zero it is led back up.
-        return g + rest if negative >= 0 else g - rest
+        # Where the estimate of the negatives' risk falls below zero it alone is led back up.
+        return (trusted + rest if negative >= 0 else -rest) + decay * w
 
     return _descend(np.zeros(p.shape[1]), gradient), mean, scale, prior
 

@@ -94,8 +94,13 @@ def assign(docs: DataFrame, limit: int) -> DataFrame:
         first, last = last, min(BITS, last + 2 * SLACK)
 
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """The documents as Parquet, one folder for each shard."""
-    shards = assign(docs, limit).select(F.col("doc_id").alias("shard_id"), "shard").distinct()
-    held = docs.drop("shard").join(shards, F.col("doc_id").eqNullSafe(F.col("shard_id"))).drop("shard_id")
-    held.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str) -> str:
+    """The documents with all their columns as Parquet, one folder for each shard. Returns the name of the column that
+    the folders stand for: `shard`, or the first of shard_1, shard_2, ... that no column of docs has."""
+    names = [c.lower() for c in docs.columns]
+    free = [n for n in ("shard", *(f"shard_{i}" for i in range(1, len(names) + 3))) if n not in names]
+    name, key = free[0], free[1]
+    shards = assign(docs, limit).select(F.col("doc_id").alias(key), F.col("shard").alias(name)).distinct()
+    held = docs.join(shards, F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    held.repartition(name).sortWithinPartitions(name).write.partitionBy(name).parquet(path)
+    return name

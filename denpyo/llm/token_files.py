@@ -7,18 +7,19 @@ last id of the file), `starts` (fixed-size list of booleans, true on a document'
 copy: batch and row of a sequence follow from its number (`Sequences`).
 
 Documents are ordered by id over all files: a range partitioning, so each task sorts and writes
-its own range. A file is written under a temporary name and then renamed, so a task that is
+its own range; ties are ordered by the texts' hashes, which also lets an id with very many texts lie in several
+files. A file is written under a temporary name and then renamed, so a task that is
 repeated replaces its own file. Files go to any store that `pyarrow.fs` opens; they are read
 back by Spark's own reader.
 
 Encoding uses the tokenizers library. With a byte-level pre-tokenizer a text is split before every
 single blank, so what stands between two blanks has the same ids in all texts. Tasks hash these
-tokens (64 bits, beside length and first bytes) and keep their ids in flat arrays, some 30 bytes each, for as long as a Python
-worker lives; only new ones are encoded, many at a time. Texts with two blanks in a row, with
+tokens (two polynomials at bases that each worker draws, beside length and first bytes) and keep their ids in flat arrays,
+some 40 bytes each, for as long as a Python worker lives; only new ones are encoded, many at a time. Texts with two blanks in a row, with
 special tokens or with other scripts than Latin are encoded whole.
 
 Results by case: null and empty texts have the end id alone; documents with equal ids follow each
-other in any order; null ids come first; an empty table gives one file without sequences.
+other by the hashes of their texts; null ids come first; an empty table gives one file without sequences.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ from ..sources.files import scratch_dir
 from .common import BLANKS, Kept, Words, bounded, kept_by_worker, lean, stored, token_keys, uneven_rows
 
 SEQUENCE = 2048
-#: Sequences of a record batch, bytes of text that one file holds, tokens kept by a Python worker.
-BATCH, FILE_BYTES, KEPT = 64, 16 << 20, 1_000_000
+#: Sequences of a record batch, bytes of text that one file holds at least and at most (a thousandth of all
+#: between these), tokens kept by a Python worker.
+BATCH, FILE_BYTES, LARGEST_FILE, KEPT = 64, 16 << 20, 256 << 20, 2_000_000
 
 class Encoder:
     """Ids of texts, by the tokens between blanks."""
@@ -131,7 +133,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-size // FILE_BYTES))
+    files = max(1, -(-size // min(max(FILE_BYTES, size // 1000), max(FILE_BYTES, LARGEST_FILE))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -172,7 +174,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name],
                                           "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    ordered = bounded(own).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    tied = bounded(own).withColumn("tie", F.xxhash64("text"))
+    ordered = tied.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return stored(ordered.mapInArrow(pack, "part INT, file STRING, n_docs LONG, n_ids LONG"), "token-manifest")
 
 

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A host is blocked from this lower bound of its bad rate on; the bound lies so many standard
 #: deviations below the mean.
@@ -90,6 +92,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     )
+    hosts = stored(hosts, "host-counts")  # read by every level
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -102,18 +105,28 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return judged.select("host", "rate", (F.col("rate") - BOUND_SD * deviation).alias("bound"))
 
 
+def _judged(rows: DataFrame, host: str, path: str, bad: str, rules: list[tuple[str, str]], names: tuple[str, str]) -> DataFrame:
+    """rows with two more columns, the rule and the verdict, under the given names."""
+    reputation = host_reputation(rows.select(F.col(host).alias("host"), F.col(bad).cast("int").alias("bad"))).select(
+        F.col("host").alias(host), F.when(F.col("bound") >= BLOCK_RATE, "block").otherwise("allow").alias(names[1]))
+    rule, verdict = best_rule(F.col(host), F.col(path), rules)
+    joined = rows.join(reputation, host)
+    return joined.withColumn(names[0], rule).withColumn(names[1], F.coalesce(verdict, F.col(names[1])))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict) for pages (page_id, url, bad INT or null)."""
-    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                         F.col("bad").cast("int").alias("bad"))
-    reputation = host_reputation(split.select("host", "bad")).select(
-        "host", F.when(F.col("bound") >= BLOCK_RATE, "block").otherwise("allow").alias("learned"))
-    rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    return split.join(reputation, "host").select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("learned")).alias("verdict"))
+    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "bad")
+    return _judged(split, "host", "path", "bad", rules, ("rule", "verdict")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def keep_allowed(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The allowed pages with all their columns; pages need `page_id`, `url` and `bad`."""
-    blocked = judge(pages, rules).filter("verdict = 'block'").select("page_id").distinct()
-    return pages.join(blocked, "page_id", "left_anti").select(pages.columns)
+    """The allowed pages with all their columns; pages need `url` and `bad`. Every row is judged by its own url,
+    so null and repeated ids, and columns of any other name, make no difference."""
+    prefix = "judged_"
+    while any(c.startswith(prefix) for c in pages.columns):
+        prefix = "_" + prefix
+    host, path = prefix + "host", prefix + "path"
+    split = pages.withColumns({host: host_of(F.col("url")), path: path_of(F.col("url"))})
+    judged = _judged(split, host, path, "bad", rules, (prefix + "rule", prefix + "verdict"))
+    return judged.filter(F.col(prefix + "verdict") == "allow").select(*[f"`{c}`" for c in pages.columns])
