@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from denpyo.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality
-from denpyo.llm.common import stored, table, with_ids, without_ids
+from denpyo.llm.common import keyed, stored, table, without_rows
 from denpyo.llm.queries import BPE_RANKS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language that the evidence agrees on go."""
-    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("url"),
-                       F.col("source").alias("host"))
-    judged = language_id.identify(rows, language_id.fit(docs))
-    return without_ids(docs, judged.filter("NOT accepted").select("doc_id"))
+    """Texts of no language that the evidence agrees on, foreign ones included, go."""
+    rows, key = keyed(docs)
+    said = rows.select(F.col(key).alias("key"), "text", F.col("lang").alias("declared"),
+                       F.lit(None).cast("string").alias("url"), F.col("source").alias("host"))
+    judged = language_id.identify(said, language_id.fit(docs))
+    return without_rows(rows, key, judged.filter("NOT accepted").select(F.col("key").alias(key)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays, once."""
-    classes = stored(jaccard_join.similar_documents(docs), "classes")
-    kept = without_ids(docs, classes.filter("component_id <> doc_id").select("doc_id"))
-    repeated = classes.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = stored(repeated, "repeated")
-    if repeated.isEmpty():
-        return kept
-    return without_ids(kept, repeated).union(with_ids(kept, repeated).dropDuplicates(["doc_id"]))
+    """Of each group of similar documents the one with the smallest id stays, once. Rows are told apart by a key
+    of their own, so an id that stands for several texts loses none that is not similar to another."""
+    rows, key = keyed(docs)
+    classes = jaccard_join.similar_documents(rows.select(F.col(key).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(key), "component_id")
+    many = stored(classes, "classes")
+    many = many.join(many.groupBy("component_id").count().filter("count > 1").select("component_id"), "component_id", "left_semi")
+    many = stored(many.join(rows.select(key, "doc_id"), key), "members")
+    first = many.groupBy("component_id").agg(F.min_by(key, F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("kept"))
+    return without_rows(rows, key, many.join(first, "component_id").filter(F.col(key) != F.col("kept")).select(key))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
