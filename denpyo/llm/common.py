@@ -19,8 +19,8 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 CHUNK = 1 << 19
 
 
-#: Seconds after which a worker forgets what no task has used.
-FORGET = 5
+#: Seconds without a task after which a worker gives back its memory and what it has kept.
+FORGET = 2
 
 
 def _space() -> dict:
@@ -30,37 +30,53 @@ def _space() -> dict:
     return sys.modules.setdefault("denpyo_worker", types.ModuleType("denpyo_worker")).__dict__.setdefault("kept", {})
 
 
-def lean() -> None:
-    """At the start of a task: Arrow gives freed memory back at once, and what other operators have kept
-    in this worker goes. Python workers live on beside each other and share an executor's memory."""
+def _give_back() -> None:
     import ctypes
     import gc
-    import time
 
-    pa.set_memory_pool(pa.system_memory_pool())
-    space = _space()
-    for name in [n for n, (_, _, used) in space.items() if time.monotonic() - used > FORGET]:
-        del space[name]
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim:
         trim(0)
 
 
+def _watch() -> None:
+    """Wait for a time without a task, then forget everything. Python workers live on beside each other for a
+    minute and share an executor's memory with those of the next stage."""
+    import time
+
+    from pyspark import TaskContext
+
+    idle = 0.0
+    while idle < FORGET:
+        time.sleep(0.5)
+        idle = idle + 0.5 if TaskContext.get() is None else 0.0
+    _space().clear()  # and with it the mark that this thread runs
+    _give_back()
+
+
+def lean() -> None:
+    """At the start of a task: Arrow gives freed memory back at once, and a thread sees to it that nothing
+    is held when the worker has nothing to do."""
+    import threading
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    _give_back()
+    space = _space()
+    if "watched" not in space:
+        space["watched"] = (None, None)
+        threading.Thread(target=_watch, daemon=True).start()
+
+
 def kept_by_worker(name: str, key, build):
     """What `build` gave for this key in this Python worker, one thing for each name. It outlives the
     task, as a module's state would; tasks may run in any worker and any order, so it only ever
     saves time."""
-    import time
-
     space = _space()
     if space.get(name, (None,))[0] != key:
         space.pop(name, None)
-        space[name] = (key, build(), 0.0)
-    key, value, _ = space[name]
-    # A task may run for long after this.
-    space[name] = (key, value, time.monotonic() + 30)
-    return value
+        space[name] = (key, build())
+    return space[name][1]
 
 
 #: Beyond Latin letters and common punctuation, versions of Unicode may class a character differently.
@@ -160,6 +176,11 @@ def _powers(count: int, base: int, prime: int) -> np.ndarray:
     return out
 
 
+_LETTERS = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+#: Second bytes of the letters U+00C0 to U+00FF, without the signs for times and divided by.
+_AFTER_C3 = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+
+
 class Words:
     """64-bit hashes of the words of whole columns of text.
 
@@ -169,9 +190,11 @@ class Words:
     agree in both polynomials with a probability of some 2^-60.
     """
 
-    def __init__(self, fold: bytes, second: bool = False, seed: int | None = 20_240_501):
+    def __init__(self, fold: bytes, second: bool = False, seed: int | None = 20_240_501, marks: bytes = b""):
         """`second`: words get another check, of their length and first eight bytes. Hashes of one `seed`
-        agree between tasks; None draws bases that nobody knows in advance."""
+        agree between tasks; None draws bases that nobody knows in advance. One of the `marks` behind a letter
+        at the end of a word is set apart."""
+        self.marks = np.isin(np.arange(256), list(marks))
         self.fold = np.frombuffer(fold, np.uint8)
         self.value = self.fold.astype(np.uint64) + np.uint64(1)
         rng = np.random.default_rng(seed)
@@ -212,6 +235,7 @@ class Chunk:
             opens[1:] &= ~inside[:-1] | edge[1:-1]
             closes[:-1] &= ~inside[1:] | edge[1:-1]
         self.starts, self.stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        self.tail = self._tails(words) if words.marks.any() else None
         self.hashes = self._hashed(words, words.value[raw])
         self.second = self._check() if words.checked else None
         self.bounds = np.searchsorted(self.starts, ends)
@@ -229,6 +253,18 @@ class Chunk:
             out = out << np.uint64(31) | word % prime * inverse[self.starts] % prime
         return mixed(out)
 
+    def _tails(self, words: Words) -> np.ndarray:
+        """The mark that was taken from the end of each word, 0 for none: one behind a letter, of ASCII or of
+        two bytes between U+00C0 and U+00FF."""
+        out, raw = np.zeros(len(self.starts), np.uint8), self.raw
+        at = np.flatnonzero(words.marks[raw[self.stops - 1]] & (self.stops - self.starts > 1))
+        last = raw[self.stops[at] - 2]
+        letter = _LETTERS[last] | ((raw[np.maximum(self.stops[at] - 3, 0)] == 0xC3) & _AFTER_C3[last] & (self.stops[at] - self.starts[at] > 2))
+        at = at[letter]
+        out[at] = raw[self.stops[at] - 1]
+        self.stops[at] -= 1
+        return out
+
     def _check(self) -> np.ndarray:
         """Length and first eight bytes (as they stand in the text) of each word, in one number: words of
         one hash differ in it unless they also agree in both."""
@@ -245,6 +281,16 @@ class Chunk:
     def word(self, i: int) -> bytes:
         return self.fold[self.raw[self.starts[i]:self.stops[i]]].tobytes()
 
+    def spaced(self, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(some words in a row, each behind a blank; where each ends)."""
+        size = self.stops[at] - self.starts[at] + 1
+        ends = np.cumsum(size)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+        inner = np.ones(len(out), bool)
+        inner[ends - size] = False
+        out[inner] = self.raw[np.repeat(self.starts[at] - np.cumsum(size - 1) + size - 1, size - 1) + np.arange(int((size - 1).sum()))]
+        return out.tobytes(), ends
+
     def shingles(self, size: int):
         """The window hashes of each row in order; a row of fewer words is one window."""
         every = windows(self.hashes, size) if len(self.hashes) >= size else None
@@ -304,14 +350,14 @@ class Kept:
         self.used = 0
         self.parts = [_Part(), _Part()]
 
-    def add(self, keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, checks: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(codes) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
         self.numbers[self.used:self.used + len(codes)] = codes
         places = self.used + np.cumsum(sizes) - sizes
         self.used += len(codes)
-        order = np.argsort(keys[:, 0], kind="stable")
-        self.parts[1].merge([keys[order, 0], keys[order, 1], places[order], sizes[order].astype(np.int32)])
+        order = np.argsort(hashes, kind="stable")
+        self.parts[1].merge([hashes[order], checks[order], places[order], sizes[order].astype(np.int32)])
         if len(self.parts[1]) > self.RECENT:
             self.parts[0].merge(self.parts[1].rows)
             self.parts[1] = _Part()
@@ -319,21 +365,38 @@ class Kept:
     def __len__(self) -> int:
         return len(self.parts[0]) + len(self.parts[1])
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, count) of the numbers of each token; count -1 for unknown ones."""
-        place, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        for part in self.parts:
-            rows = part.find(keys[left, 0], keys[left, 1])
-            same = rows >= 0
-            place[left[same]], size[left[same]] = part.rows[2][rows[same]], part.rows[3][rows[same]]
-            left = left[~same]
+        place, size = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        rows = self.parts[0].find(hashes, checks)
+        found = np.flatnonzero(rows >= 0)
+        if len(found):
+            place[found], size[found] = self.parts[0].rows[2][rows[found]], self.parts[0].rows[3][rows[found]]
+        left = np.flatnonzero(rows < 0)
+        if len(left) and len(self.parts[1]):
+            rows = self.parts[1].find(hashes[left], checks[left])
+            left, rows = left[rows >= 0], rows[rows >= 0]
+            place[left], size[left] = self.parts[1].rows[2][rows], self.parts[1].rows[3][rows]
         return place, size
 
-    def gather(self, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all tokens in a row, where each token's end)."""
+    def gather(self, place: np.ndarray, size: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all tokens in a row, where each token's end). `marks` has for some tokens, else -1, one more
+        number that stands behind their own."""
         stops = np.cumsum(size)
-        return self.numbers[np.repeat(place - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)], stops
+        flat = self.numbers[np.repeat(place - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)]
+        if marks is None or not len(marks):
+            return flat, stops
+        marked = marks >= 0
+        after = np.cumsum(marked)
+        out = np.empty(len(flat) + int(after[-1]), flat.dtype)
+        out[np.arange(len(flat)) + np.repeat(after - marked, size)] = flat
+        stops = stops + after
+        out[stops[marked] - 1] = marks[marked]
+        return out, stops
+
+
+#: Marks that end a token and are no part of a word.
+MARKS = b".,;:!?"
 
 
 def uneven_rows(chunk: Chunk, marks: list[bytes]) -> np.ndarray:
@@ -359,14 +422,14 @@ def uneven_rows(chunk: Chunk, marks: list[bytes]) -> np.ndarray:
     return out
 
 
-def token_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, head): hash and check of each token; `head` marks the first of each text, which has no
-    blank before it and so a key of its own."""
-    keys = np.column_stack([chunk.hashes, chunk.second])
-    head = np.zeros(len(keys), bool)
+def token_keys(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, checks, head) of the tokens; `head` marks the first of each text, which has no blank before
+    it and so a key of its own."""
+    hashes, checks, head = chunk.hashes, chunk.second, np.zeros(len(chunk.hashes), bool)
     head[chunk.bounds[:-1][chunk.bounds[:-1] < chunk.bounds[1:]]] = True
-    keys[head] = ~keys[head]
-    return keys, head
+    hashes[head] = ~hashes[head]
+    checks[head] = ~checks[head]
+    return hashes, checks, head
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -7,7 +7,7 @@ last id of the file), `starts` (fixed-size list of booleans, true on a document'
 copy: batch and row of a sequence follow from its number (`Sequences`).
 
 Documents are ordered by id over all files: a range partitioning, so each task sorts and writes
-its own range; ties are ordered by the texts' hashes, which also lets an id with very many texts lie in several
+its own range; equal ids are ordered by size, start and text, so an id with very many texts lies in several
 files. A file is written under a temporary name and then renamed, so a task that is
 repeated replaces its own file. Files go to any store that `pyarrow.fs` opens; they are read
 back by Spark's own reader.
@@ -19,12 +19,13 @@ some 40 bytes each, for as long as a Python worker lives; only new ones are enco
 special tokens or with other scripts than Latin are encoded whole.
 
 Results by case: null and empty texts have the end id alone; documents with equal ids follow each
-other by the hashes of their texts; null ids come first; an empty table gives one file without sequences.
+other by size, start and text; null ids come first; an empty table gives one file without sequences.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -37,17 +38,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch_dir
-from .common import BLANKS, Kept, Words, bounded, kept_by_worker, lean, stored, token_keys, uneven_rows
+from .common import BLANKS, MARKS, Chunk, Kept, Words, bounded, kept_by_worker, lean, stored, token_keys, uneven_rows
 
 SEQUENCE = 2048
 #: Sequences of a record batch, bytes of text that one file holds at least and at most (a thousandth of all
 #: between these), tokens kept by a Python worker.
-BATCH, FILE_BYTES, LARGEST_FILE, KEPT = 64, 16 << 20, 256 << 20, 2_000_000
+BATCH, FILE_BYTES, LARGEST_FILE, KEPT = 64, 16 << 20, 256 << 20, 1_200_000
 
 class Encoder:
     """Ids of texts, by the tokens between blanks."""
 
     def __init__(self, path: str):
+        # Tasks are parallel already; threads of a worker would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,25 +67,30 @@ class Encoder:
         split = spec["pre_tokenizer"] or {}
         self.by_blanks = split.get("type") == "ByteLevel" and split.get("use_regex") and not split["add_prefix_space"] \
             and spec["normalizer"] is None
-        self.words = Words(BLANKS, second=True, seed=None)
+        self.words = Words(BLANKS, second=True, seed=None, marks=MARKS)
+        self.marks = np.full(256, -1, np.int64)
+        for mark in MARKS:
+            codes = self.whole(chr(mark))
+            self.marks[mark] = int(codes[0]) if len(codes) == 1 else -1
+        if (self.marks[list(MARKS)] < 0).any():
+            self.words.marks[:] = False  # a vocabulary without them
         self.kept = Kept(self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def learn(self, keys: np.ndarray, tokens: list[bytes], behind_blank: np.ndarray) -> None:
-        """Encode new tokens. Those behind a blank are split the same way when they follow each other,
-        so many are encoded as one text and told apart by their bytes; others stand alone."""
-        order = np.argsort(~behind_blank, kind="stable")
-        keys, count = keys[order], int(behind_blank.sum())
-        tokens = [tokens[i] for i in order.tolist()]
-        runs = [tokens[i:min(count, i + 1000)] for i in range(0, count, 1000)]
-        texts = [(b" " + b" ".join(r)).decode() for r in runs] + [t.decode() for t in tokens[count:]]
+    def learn(self, chunk: Chunk, hashes: np.ndarray, checks: np.ndarray, new: np.ndarray, head: np.ndarray) -> None:
+        """Encode new tokens of a chunk. Those behind a blank are split the same way when they follow each other,
+        so many are encoded as one text and told apart by their bytes; the first ones of texts stand alone."""
+        behind, alone = new[~head[new]], new[head[new]]
+        runs = [chunk.spaced(behind[i:i + 1000]) for i in range(0, len(behind), 1000)]
+        texts = [r.decode() for r, _ in runs] + [chunk.word(i).decode() for i in alone.tolist()]
         codes = [np.array(c.ids, np.int64) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        stops = np.cumsum([len(t) + (i < count) for i, t in enumerate(tokens)])
-        ends = np.searchsorted(np.cumsum(self.sizes[flat]), stops) + 1
-        self.kept.add(keys, flat.astype(self.dtype), np.diff(np.r_[0, ends]))
+        size = np.r_[chunk.stops[behind] - chunk.starts[behind] + 1, chunk.stops[alone] - chunk.starts[alone]]
+        ends = np.searchsorted(np.cumsum(self.sizes[flat]), np.cumsum(size)) + 1
+        own = np.r_[behind, alone]
+        self.kept.add(hashes[own], checks[own], flat.astype(self.dtype), np.diff(np.r_[0, ends]))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -90,18 +98,18 @@ class Encoder:
             self.kept = Kept(self.dtype)
         for first, chunk in self.words.chunks(texts):
             alone = uneven_rows(chunk, self.special) if self.by_blanks else np.diff(chunk.ends) > 0
-            keys, head = token_keys(chunk)
+            hashes, checks, head = token_keys(chunk)
             skipped = np.repeat(alone, np.diff(chunk.bounds))
-            place, size = self.kept.find(keys)
+            place, size = self.kept.find(hashes, checks)
             missing = np.flatnonzero((size < 0) & ~skipped)
             while len(missing):  # again for tokens of one hash that differ in their check
-                _, once = np.unique(keys[missing, 0], return_index=True)
-                once = missing[once]
-                self.learn(keys[once], [chunk.word(i) for i in once.tolist()], ~head[once])
-                place[missing], size[missing] = self.kept.find(keys[missing])
+                _, once = np.unique(hashes[missing], return_index=True)
+                self.learn(chunk, hashes, checks, missing[once], head)
+                place[missing], size[missing] = self.kept.find(hashes[missing], checks[missing])
                 missing = missing[size[missing] < 0]
             size[skipped] = 0
-            flat, stops = self.kept.gather(place, size)
+            marks = None if chunk.tail is None else np.where(skipped, -1, self.marks[chunk.tail])
+            flat, stops = self.kept.gather(place, size, marks)
             ends = np.r_[0, stops][chunk.bounds]
             for row in range(len(chunk)):
                 yield self.whole(texts[first + row].as_py()) if alone[row] else flat[ends[row]:ends[row + 1]]
@@ -174,8 +182,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length:
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name],
                                           "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    tied = bounded(own).withColumn("tie", F.xxhash64("text"))
-    ordered = tied.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    # Enough to tell most texts of one id apart without reading them whole.
+    tied = bounded(own).withColumns({"size": F.octet_length("text"), "start": F.xxhash64(F.substring("text", 1, 128))})
+    ordered = tied.repartitionByRange(files, "doc_id", "size", "start").sortWithinPartitions(
+        "doc_id", "size", "start", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(pack, "part INT, file STRING, n_docs LONG, n_ids LONG"), "token-manifest")
 
 

@@ -327,11 +327,11 @@ def test_kept_tokens():
         keys[:50, 0] = keys[50:, 0]
         sizes = rng.integers(0, 4, 100)
         codes = rng.integers(0, 1000, int(sizes.sum()), dtype=np.int32)
-        kept.add(keys, codes, sizes)
+        kept.add(keys[:, 0].copy(), keys[:, 1].copy(), codes, sizes)
         for k, part in zip(map(tuple, keys.tolist()), np.split(codes, np.cumsum(sizes)[:-1])):
             known[k] = part.tolist()
     asked = np.array(list(known) + [(1, 2), (int(keys[0, 0]), 5)], np.uint64)
-    place, size = kept.find(asked)
+    place, size = kept.find(asked[:, 0].copy(), asked[:, 1].copy())
     assert size[-2:].tolist() == [-1, -1]
     flat, stops = kept.gather(place[:-2], size[:-2])
     assert [p.tolist() for p in np.split(flat, stops[:-1])] == list(known.values())
