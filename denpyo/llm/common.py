@@ -16,11 +16,11 @@ from ..sources.files import scratch_dir
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Text that is hashed at once, in bytes.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
-#: Seconds without a task after which a worker gives back its memory and what it has kept.
-FORGET = 2
+#: Seconds without a task after which a worker gives up what it has kept.
+FORGET = 1.0
 
 
 def _space() -> dict:
@@ -49,8 +49,10 @@ def _watch() -> None:
 
     idle = 0.0
     while idle < FORGET:
-        time.sleep(0.5)
-        idle = idle + 0.5 if TaskContext.get() is None else 0.0
+        time.sleep(0.2)
+        idle = idle + 0.2 if TaskContext.get() is None else 0.0
+        if 0.1 < idle < 0.3:
+            _give_back()  # what the task has freed
     _space().clear()  # and with it the mark that this thread runs
     _give_back()
 
