@@ -37,6 +37,16 @@ CASES = [
     ("to_date:%Y-%m-%d", "", None),
     ("to_date:%d/%m/%Y", "05/01/2024", "2024-01-05"),
     ("to_date", "Jan 5, 2024", "2024-01-05"),
+    ("to_date", "5 September 2024", "2024-09-05"),
+    ("to_date", "may 05 2024", "2024-05-05"),
+    ("to_date", "20240229", "2024-02-29"),
+    ("to_date", "20230229", "20230229"),
+    ("to_date", "2024.3.9", "2024-03-09"),
+    ("to_date", "3/9/2024", "2024-03-09"),
+    ("to_date", "2024-03-09T10:20:30", "2024-03-09"),
+    ("to_date", "Abc 5, 2024", "Abc 5, 2024"),
+    ("parse_japanese_date", "昭和99999999999999999999年1月2日", None),
+    ("parse_japanese_date", "令和99999年1月2日", "102017-01-02"),
     ("normalize_phone", "０３－１２３４－５６７８", "03-1234-5678"),
     ("normalize_phone", "03(1234)5678", "0312345678"),
     ("normalize_phone", "03.1234.5678", "0312345678"),
