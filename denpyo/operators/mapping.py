@@ -125,7 +125,7 @@ _ENTRY = "struct<key:string,value:string,source:string,field_value:string>"
 
 def with_mapped_fields(df: DataFrame, variants: list | None = None) -> DataFrame:
     """Add t_<target> for every target and `null_targets`, the targets whose key was found
-    but whose transforms gave null."""
+    but whose transforms gave null. What `with_rule_table` has found stands for the sources of `variants`."""
     variants = rule_variants() if variants is None else variants
     names = targets(variants)
     staged = df if "_all_norm" in df.columns else with_keys(df)
@@ -133,6 +133,9 @@ def with_mapped_fields(df: DataFrame, variants: list | None = None) -> DataFrame
 
     found = {}
     for t in names:
+        if "_found" in df.columns:
+            found[f"_e_{t}"] = F.struct(F.try_element_at("_found", F.lit(t)).alias("value"))
+            continue
         sources = [(d, v, r["mappings"].get(t, {}).get("from", [])) for d, v, r in variants]
         found[f"_e_{t}"] = _by_variant(sources, lambda s: lookup(s) if s else None, nothing)
     staged = staged.withColumns(found)
@@ -170,10 +173,11 @@ def _converted(raw: Column, rule, kind: str) -> Column | None:
     return F.when(raw.isNull(), F.lit(default).cast(kind)).otherwise(out)
 
 
-def unmapped_fields(variants: list | None = None, entries: str = "entries") -> Column:
+def unmapped_fields(variants: list | None = None, entries: str = "entries", table: bool = False) -> Column:
     """Entries whose key equals no source of any rule, sorted by key: (field, value, source).
 
-    Needs `with_keys`. Values are cut to 100 characters, as the report is defined.
+    Needs `with_keys`, and `with_rule_table` if the sources are those of a table. Values are cut to 100
+    characters, as the report is defined.
     """
     variants = rule_variants() if variants is None else variants
 
@@ -190,7 +194,7 @@ def unmapped_fields(variants: list | None = None, entries: str = "entries") -> C
         F.left(F.coalesce(F.nullif(e["field_value"], F.lit("")), F.nullif(e["value"], F.lit(""))),
                F.lit(100)).alias("value"),
         e["source"].alias("source"),
-        F.array_contains(names, F.get("_norm", i)).alias("known"),
+        (F.array_contains("_known", e["key"]) if table else F.array_contains(names, F.get("_norm", i))).alias("known"),
     ))
     rest = F.filter(rows, lambda r: ~r["known"] & r["value"].isNotNull())
     return F.array_sort(F.transform(rest, lambda r: F.struct(r["field"], r["value"], r["source"])))
@@ -228,7 +232,42 @@ def lookup_long(docs: DataFrame, rule_table: DataFrame, doc_id: str = "doc_id")
 
     A document follows the rules of its vendor if there are any, else those of its type.
     """
-    spark = docs.sparkSession
+    ruled, hits = _rule_hits(docs, rule_table, doc_id, "doc_type", "entries")
+    if hits.count() > SENT_HITS:
+        return (
+            _entry_hits(ruled, hits, doc_id)
+            .groupBy(doc_id, "h.target")
+            .agg(F.min_by("h", F.struct("h.priority", "h.pos")).alias("hit"))
+            .select(doc_id, "hit.target", "hit.key", "hit.value")
+        )
+    return _with_row_hits(ruled, hits).select(doc_id, F.explode(_first_hits()).alias("h")).select(
+        doc_id, "h.target", "h.key", "h.value")
+
+
+def with_rule_table(docs: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """Rows with `_found`, a map from each target that a rule of the table hits to the entry's value, and
+    `_known`, the keys that equal a source; chosen as in `lookup_long`. Rows are judged one by one, whatever
+    their ids. The documents are stored; they are shuffled only if more than SENT_HITS pairs match."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "ruled-rows")
+    ruled, hits = _rule_hits(rows, rule_table, *rows.columns)
+    if hits.count() > SENT_HITS:
+        own = _entry_hits(ruled, hits, "_row").groupBy("_row").agg(F.array_sort(F.collect_list("h")).alias("_all"))
+        ruled = ruled.join(own, "_row", "left").withColumn("_all", F.coalesce("_all", F.array().cast(_HITS)))
+    else:
+        ruled = _with_row_hits(ruled, hits)
+    return ruled.withColumns({
+        "_found": F.map_from_entries(F.transform(_first_hits(), lambda h: F.struct(h["target"], h["value"]))),
+        "_known": F.transform(F.filter("_all", lambda h: h["same"]), lambda h: h["key"]),
+    }).drop("_row", "_vendor", "_all")
+
+
+_TO = "array<struct<target:string,priority:int,same:boolean>>"
+_HITS = "array<struct<target:string,priority:int,pos:int,key:string,value:string,same:boolean>>"
+
+
+def _rule_hits(docs: DataFrame, rule_table: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with `_vendor`, whose rules they follow, and (doc_type, _vendor, key, target, priority, same) of the
+    distinct keys that a rule matches; `same` tells whether the key equals a source of the target."""
     table = rule_table.withColumns({
         "_lower": F.lower("source"), "_norm": normalize_key(F.col("source")),
         "vendor": F.coalesce("vendor", F.lit("")),
@@ -236,46 +275,49 @@ def lookup_long(docs: DataFrame, rule_table: DataFrame, doc_id: str = "doc_id")
     layered = table.select("doc_type", "vendor").distinct().filter("vendor <> ''").withColumn("_own", F.lit(True))
     own_vendor = F.when(F.col("_own"), F.col("vendor")).otherwise("").alias("_vendor")
     named = docs if "vendor" in docs.columns else docs.withColumn("vendor", F.lit(None).cast("string"))
-    ruled = named.join(layered, ["doc_type", "vendor"], "left").select(doc_id, "doc_type", own_vendor, "entries")
+    ruled = named.join(layered, ["doc_type", "vendor"], "left").select(*columns, own_vendor)
     vocabulary = ruled.select("doc_type", "_vendor", F.explode("entries.key").alias("key")).distinct()
     # One row per distinct source length; the number of lengths is bounded by the longest name.
     lengths = [r[0] for r in table.select(F.length("_lower")).distinct().collect() if r[0]]
-    windows = [substrings(F.col("_k"), n) for n in sorted(lengths)]
+    windows = [substrings(F.col("_k"), n) for n in sorted(lengths)] or [F.array().cast("array<string>")]
     parts = vocabulary.withColumn("_k", F.lower("key")).withColumn(
         "_lower", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*windows))))))
     rule = table.withColumnRenamed("vendor", "_vendor")
     pair = ["doc_type", "_vendor", "key", "target", "priority"]
-    contained = parts.join(rule, ["doc_type", "_vendor", "_lower"]).select(*pair)
+    contained = parts.join(rule, ["doc_type", "_vendor", "_lower"]).select(*pair, F.lit(False).alias("same"))
     equal = vocabulary.withColumn("_norm", normalize_key(F.col("key"))).join(
-        rule, ["doc_type", "_vendor", "_norm"]).select(*pair)
-    hits = materialize(contained.unionByName(equal).groupBy("doc_type", "_vendor", "key", "target").agg(
-        F.min("priority").alias("priority")), "rule-hits")
+        rule, ["doc_type", "_vendor", "_norm"]).select(*pair, F.lit(True).alias("same"))
+    hits = contained.unionByName(equal).groupBy("doc_type", "_vendor", "key", "target").agg(
+        F.min("priority").alias("priority"), F.max("same").alias("same"))
+    return ruled, materialize(hits, "rule-hits")
+
+
+def _entry_hits(ruled: DataFrame, hits: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, h) for each entry and rule that match, by a join."""
+    entries = ruled.select(doc_id, "doc_type", "_vendor", F.posexplode("entries").alias("pos", "e")).select(
+        doc_id, "doc_type", "_vendor", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"),
+        F.pmod(F.xxhash64(doc_id, "pos"), F.lit(SALTS)).cast("int").alias("_salt"))
+    spread = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return entries.join(spread, ["doc_type", "_vendor", "key", "_salt"]).select(
+        doc_id, F.struct("target", "priority", "pos", "key", "value", "same").alias("h"))
 
-    if hits.count() > SENT_HITS:
-        entries = ruled.select(doc_id, "doc_type", "_vendor", F.posexplode("entries").alias("pos", "e")).select(
-            doc_id, "doc_type", "_vendor", "pos", F.col("e.key").alias("key"), F.col("e.value").alias("value"),
-            F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("_salt"))
-        spread = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return (
-            entries.join(spread, ["doc_type", "_vendor", "key", "_salt"])
-            .groupBy(doc_id, "target")
-            .agg(F.min_by(F.struct("key", "value"), F.struct("priority", "pos")).alias("hit"))
-            .select(doc_id, "target", "hit.key", "hit.value")
-        )
 
-    by_key = hits.groupBy("doc_type", "_vendor", "key").agg(F.collect_list(F.struct("target", "priority")).alias("to"))
+def _with_row_hits(ruled: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents with `_all`, what matches their entries, by target, priority and place."""
+    by_key = hits.groupBy("doc_type", "_vendor", "key").agg(F.collect_list(F.struct("target", "priority", "same")).alias("to"))
     by_type = by_key.groupBy("doc_type", "_vendor").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "to"))).alias("_hits"))
 
     def found(e: Column, pos: Column) -> Column:
         return F.transform(F.coalesce(F.try_element_at("_hits", e["key"]), F.array().cast(_TO)), lambda h: F.struct(
             h["target"].alias("target"), h["priority"].alias("priority"), pos.alias("pos"),
-            e["key"].alias("key"), e["value"].alias("value")))
+            e["key"].alias("key"), e["value"].alias("value"), h["same"].alias("same")))
 
     ordered = F.array_sort(F.flatten(F.transform("entries", found)))
-    chosen = ruled.join(F.broadcast(by_type), ["doc_type", "_vendor"]).withColumn("_all", ordered)
-    first = F.filter("_all", lambda x, i: (i == 0) | (x["target"] != F.get("_all", i - 1)["target"]))
-    return chosen.select(doc_id, F.explode(first).alias("h")).select(doc_id, "h.target", "h.key", "h.value")
+    return ruled.join(F.broadcast(by_type), ["doc_type", "_vendor"], "left").withColumn(
+        "_all", F.coalesce(ordered, F.array().cast(_HITS))).drop("_hits")
 
 
-_TO = "array<struct<target:string,priority:int>>"
+def _first_hits() -> Column:
+    """Of `_all` the first for each target."""
+    return F.filter("_all", lambda x, i: (i == 0) | (x["target"] != F.get("_all", i - 1)["target"]))

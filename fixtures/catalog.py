@@ -220,6 +220,21 @@ def normalize_vendor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "doc.vendor", validate.error_codes().alias("errors"), "is_valid")
 
 
+@query(FACTS + """
+SELECT doc_id, CASE WHEN has_cdm THEN number END AS document_no, CASE WHEN has_cdm THEN total::DOUBLE END AS grand_total,
+       CASE WHEN has_cdm THEN currency END AS currency, errors, errors = '' AS is_valid FROM g
+""")
+def normalize_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run with the sources of all fields from a table, which also lists every supplier as a source."""
+    suppliers = render.table(spark, sf_dir, "supplier").select(
+        F.lit(rules.INVOICE).alias("doc_type"), F.lit(None).cast("string").alias("vendor"), F.lit("requester").alias("target"),
+        (F.col("s_suppkey") + 1_000).cast("int").alias("priority"), F.col("s_name").alias("source"))
+    out = normalize_payloads(
+        render.payload_docs(spark, sf_dir), RUN_TS, rule_table=mapping.rule_rows(spark).unionByName(suppliers))
+    return out.select("doc_id", "doc.document_no", "doc.grand_total", "doc.currency",
+                      validate.error_codes().alias("errors"), "is_valid")
+
+
 # Extraction ---------------------------------------------------------------------------------
 
 

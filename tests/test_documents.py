@@ -456,6 +456,28 @@ def test_rule_hits_joined_and_broadcast(spark, monkeypatch):
     assert rows[0] == rows[1] and rows[0]
 
 
+def test_rule_table_inside_normalization(spark, monkeypatch):
+    """A table of the folded rules gives what these give, broadcast or joined, for repeated and null ids too, and
+    a vendor's own rules replace those of its type."""
+    from denpyo.plans.normalize import normalize_payloads
+    from fixtures import render
+
+    docs = render.payload_docs(spark, "/root/testdata/sf0.001").limit(150)
+    docs = docs.union(docs.limit(5)).withColumn("doc_id", F.when(~F.col("doc_id").endswith("7"), F.col("doc_id")))
+    variants = mapping.rule_variants({("INVOICE", "株式会社エグザンプル"): {"document_no": {"from": ["IssueDate"]}}}, "override")
+
+    def rows(**options):
+        out = normalize_payloads(docs, "2024-01-01", variants=variants, **options)
+        return sorted(repr(r) for r in out.select("doc_id", "doc", "metadata", "null_targets", "is_valid").collect())
+
+    want = rows()
+    for most in (mapping.SENT_HITS, 0):
+        monkeypatch.setattr(mapping, "SENT_HITS", most)
+        assert rows(rule_table=mapping.rule_rows(spark, variants)) == want
+    none = normalize_payloads(docs, "2024-01-01", rule_table=mapping.rule_rows(spark, variants).limit(0))
+    assert none.count() == 155 and not none.filter("doc.document_no IS NOT NULL").count()
+
+
 def test_variant_can_not_hold_nested_values(spark):
     """Why nested values go through a function: a VARIANT orders the keys of an object anew and refuses repeated
     ones, of which the last counts here."""
