@@ -99,12 +99,12 @@ def bounded(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, file_rows: int = 0) -> DataFrame:
     """The rows, written to the shared folder and read back: what follows starts from files
-    that survive lost executors."""
+    that survive lost executors. Large rows need files of few (`file_rows`), as readers take some thousand at once."""
     bounded(df)
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -273,6 +273,15 @@ def test_byte_bpe(docs, empty, ranks, library, monkeypatch, kept):
     assert byte_bpe.digests(empty, ranks, public_tokenizers.PATTERN).collect() == []
 
 
+def test_byte_bpe_of_stored_blocks(docs, empty, ranks, monkeypatch):
+    """Blocks that are stored in several files before their words are joined give the same rows."""
+    monkeypatch.setattr(byte_bpe, "FILE_BLOCKS", 2)
+    apart = {"block": 1 << 12, "remembered": 1000, "apart": True}
+    want = sorted(byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN).collect(), key=repr)
+    assert sorted(byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN, **apart).collect(), key=repr) == want
+    assert byte_bpe.digests(empty, ranks, public_tokenizers.PATTERN, **apart).collect() == []
+
+
 def test_byte_bpe_ids(docs, ranks, library):
     got = {r.doc_id: (r.ids, r.decoded) for r in byte_bpe.token_ids(docs, ranks, public_tokenizers.PATTERN).collect()}
     for i, text in enumerate(TEXTS):
