@@ -44,10 +44,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left. Blocks are small: the stages before have
-    left an executor's memory to the JVM."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left. Blocks are small and stored before their
+    words are joined: the stages before have left an executor's memory to the JVM."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(BPE_RANKS))
-    return byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN, block=1 << 20, remembered=150_000)
+    return byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN, block=1 << 20, remembered=150_000, apart=True)
 
 
 STAGES = [
