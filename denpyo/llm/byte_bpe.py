@@ -429,11 +429,13 @@ def _split(pattern: str, known, ranks: dict[bytes, int], batches: Iterator[pa.Re
     numbers = kept_by_worker("bpe", (xxhash.xxh3_64_intdigest(known.value), pattern), lambda: _Numbers(
         regex.compile(pattern).findall, pattern in BLANK_PATTERNS, _unpacked(known.value).column("word").combine_chunks()))
     ids, rows, chars, pairs = [], [], 0, byte_pairs(ranks)
+    pieces = {rank: piece for piece, rank in ranks.items()}
 
     def block() -> pa.RecordBatch:
         cells, tail, new, long = numbers.block(rows)
-        ready = [{"ids": ",".join(map(str, codes)).encode(), "size": len(codes), "bytes": word}
-                 for word, codes in ((w, merged(w, ranks)) for w in long)]
+        # Long words are decoded from their ids too, as all others are.
+        ready = [{"ids": ",".join(map(str, codes)).encode(), "size": len(codes), "bytes": b"".join(map(pieces.get, codes))}
+                 for codes in (merged(w, ranks) for w in long)]
         return pa.RecordBatch.from_arrays(
             [pa.array([ids], pa.list_(pa.int64())), pa.array([cells], pa.list_(pa.binary())),
              pa.array([tail], pa.list_(pa.int32())), pa.array([ready], pa.list_(_CODE)), pa.array([new], pa.list_(pa.binary())),

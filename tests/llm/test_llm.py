@@ -282,6 +282,14 @@ def test_byte_bpe_of_stored_blocks(docs, empty, ranks, monkeypatch):
     assert byte_bpe.digests(empty, ranks, public_tokenizers.PATTERN, **apart).collect() == []
 
 
+def test_byte_bpe_decodes_words_of_any_length(docs):
+    """Two pieces of one id: what comes back is the id's piece, from long words as from short ones."""
+    spark, shared = docs.sparkSession, {bytes([b]): b for b in range(256)} | {b"y": ord("x")}
+    frame = spark.createDataFrame([(n, "x" * n) for n in (3, byte_bpe.LONG + 1)], "doc_id LONG, text STRING")
+    got = {r.doc_id: bytes(r.decoded) for r in byte_bpe.token_ids(frame, shared, public_tokenizers.PATTERN).collect()}
+    assert got == {n: b"y" * n for n in (3, byte_bpe.LONG + 1)}
+
+
 def test_byte_bpe_ids(docs, ranks, library):
     got = {r.doc_id: (r.ids, r.decoded) for r in byte_bpe.token_ids(docs, ranks, public_tokenizers.PATTERN).collect()}
     for i, text in enumerate(TEXTS):
