@@ -484,3 +484,49 @@ def test_variant_can_not_hold_nested_values(spark):
     df = spark.createDataFrame([('{"b":{"x":1},"a":2}', '{"a":1,"a":2}')], "ordered string, twice string")
     r = df.select(F.to_json(F.try_parse_json("ordered")).alias("ordered"), F.try_parse_json("twice").isNull().alias("refused")).first()
     assert r.ordered == '{"a":2,"b":{"x":1}}' and r.refused
+
+
+def test_first_arrivals_take_rows():
+    """Rows of a key one by one, without a data frame for each key; known days stop what is near to them."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from denpyo.streaming.dedup import FirstArrivals
+
+    kept = []
+    processor = FirstArrivals(10)
+    days = SimpleNamespace(get=lambda: iter([(100,)]), put=kept.extend)
+    processor.init(SimpleNamespace(getListState=lambda *_: days, registerTimer=kept.append))
+    rows = [Row(doc_id=i, at=at, day=at // 10) for i, at in enumerate([1055, 1200, 1205, 1200, 1401])]
+    got = list(processor.handleInputRows(("v", "n"), iter(rows), None))
+    assert got == [Row(doc_id=1, vendor="v", document_no="n", at=1200), Row(doc_id=4, vendor="v", document_no="n", at=1401)]
+    assert kept == [(100,), (120,), (140,), 111 * 86_400_000]
+
+
+def test_rendered_documents_are_not_stored(spark, monkeypatch):
+    """Only narrow rows are dealt to tasks, whose number grows with them."""
+    from fixtures import render
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(render, "TASK_DOCS", 100)
+    for docs, name, rows in ((render.payload_docs, "orders", 1500), (render.text_docs, "orders", 1500), (render.line_docs, "lineitem", 6000)):
+        found = docs(spark, sf)
+        assert [f.rpartition("/")[2] for f in found.inputFiles()] == [f"{name}.parquet"]
+        assert found.rdd.getNumPartitions() == rows // 100 and found.count() == rows
+
+
+def test_artifacts_are_compressed(spark, tmp_path):
+    """Texts of all kinds in few bytes, each line as it was."""
+    from denpyo.plans.normalize import normalize_payloads
+    from denpyo.sources import sinks
+    from fixtures import render
+
+    out = normalize_payloads(render.payload_docs(spark, "/root/testdata/sf0.001"), "2024-01-01").limit(300)
+    out = out.localCheckpoint()
+    sinks.write_artifacts(out, str(tmp_path / "a"), "2024-01-01T00:00:00", "r", 0)
+    want = sinks.artifact_rows(out).select("kind", "body").collect()
+    got = spark.read.text(str(tmp_path / "a")).select("kind", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    size = sum(f.stat().st_size for f in (tmp_path / "a").rglob("part-*"))
+    assert size < sum(len(r.body.encode()) for r in want) / 3
