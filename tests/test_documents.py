@@ -135,6 +135,23 @@ def test_lookup_order_and_nulls(spark):
         ("grand_total", "TotalAmount"), ("subtotal", "税抜 合計"), ("currency", "通貨")}
 
 
+def test_rules_of_vendors_shuffle_no_documents(spark, monkeypatch):
+    rows = [(f"D{i}", "INVOICE", "A社" if i % 2 else None, [("金額", str(i))]) for i in range(8)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id string, doc_type string, vendor string, "
+                                 "entries array<struct<key:string,value:string>>")
+    table = spark.createDataFrame(
+        [("INVOICE", None, "of_type", 0, "金額"), ("INVOICE", "A社", "of_vendor", 0, "金額")],
+        "doc_type string, vendor string, target string, priority int, source string")
+    ruled, _ = mapping._rule_hits(docs, table, "doc_id", "doc_type", "entries")
+    plan = ruled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = sorted((d, "of_vendor" if v else "of_type", "金額", e[0][1]) for d, _, v, e in rows + rows[:1])
+    assert sorted(map(tuple, mapping.lookup_long(docs, table).collect())) == want
+    # More layers than are broadcast.
+    monkeypatch.setattr(skew, "MASTER_ROWS", 0)
+    assert sorted(map(tuple, mapping.lookup_long(docs, table).collect())) == want
+
+
 def test_merge_of_layers():
     base = {"a": {"from": ["x"], "default": 1}, "b": 2}
     over = {"a": {"from": ["y"], "default": 3}}
