@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from denpyo.llm import byte_bpe, decontaminate, jaccard_join, language_id, quality
-from denpyo.llm.common import keyed, stored, table, without_rows
+from denpyo.llm.common import keyed, relieve, stored, table, without_rows
 from denpyo.llm.queries import BPE_RANKS
 
 
@@ -28,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id stays, once. Rows are told apart by a key
     of their own, so an id that stands for several texts loses none that is not similar to another."""
+    relieve(spark)
     rows, key = keyed(docs)
     classes = jaccard_join.similar_documents(rows.select(F.col(key).alias("doc_id"), "text")).select(
         F.col("doc_id").alias(key), "component_id")
@@ -40,12 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat a twentieth or more of their words from the benchmark go."""
+    relieve(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left. Blocks are small and stored before their
     words are joined: the stages before have left an executor's memory to the JVM."""
+    relieve(spark)
     ranks = byte_bpe.read_ranks(public_tokenizers.path(BPE_RANKS))
     return byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN, block=1 << 20, remembered=150_000, apart=True)
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.text import let
-from .common import BLANKS, MARKS, Kept, Words, bounded, kept_by_worker, lean, stored, token_keys, uneven_rows
+from .common import BLANKS, MARKS, Kept, Words, bounded, kept_by_worker, lean, relieve, stored, token_keys, uneven_rows
 
 BUCKETS = 1 << 13
 #: Bound of the broadcast: so many words, none of them longer.
@@ -468,6 +468,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish, schem
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     frequent, context = _frequent(own, ranks), docs.sparkSession.sparkContext
     known, codes = (context.broadcast(_packed(frequent.select(names))) for names in (["word"], ["ids", "size", "bytes"]))
+    relieve(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()

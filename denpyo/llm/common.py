@@ -40,6 +40,14 @@ def _give_back() -> None:
         trim(0)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Give back what the driver no longer needs: Python's objects first, as they keep plans alive in the JVM, then the
+    JVM's, which lets Spark drop the broadcasts and shuffles of these plans and returns heap to the system."""
+    _give_back()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _watch() -> None:
     """Wait for a time without a task, then forget everything. Python workers live on beside each other for a
     minute and share an executor's memory with those of the next stage."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, bounded, lean, sent, shingle_sets, signed, stored, windows
+from .common import SPACED, Words, bounded, lean, relieve, sent, shingle_sets, signed, stored, windows
 
 #: Counters of the table that orders shingles by frequency, and rows it is summed in.
 COUNTER_BITS, COUNTER_ROWS = 22, 1024
@@ -360,6 +360,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = near.join(labels.toDF("next", "far"), "next").select(
             "id", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("moved"))
         step = stored(jumped, "labels")
+        relieve(edges.sparkSession)
         labels = step.select("id", "comp")
         if step.filter("moved").isEmpty():
             return labels
@@ -396,6 +397,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, size: int = 5, ro
     tested = spark.createDataFrame([], "a LONG, b LONG")
     edges = tested
     for turn in range(rounds + 1):
+        relieve(spark)  # each round leaves the plans and broadcasts of some dozens of jobs
         every = turn == rounds
         labelled = lists.join(sent(labels, True), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         offers = _offers(labelled.select("token", "id", "n", "pos", "comp"), threshold, every)

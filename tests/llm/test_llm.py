@@ -85,6 +85,15 @@ def test_word_hashes():
 # Jaccard join ---------------------------------------------------------------------------------
 
 
+def test_driver_gives_back(spark):
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    data = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.byte, 64 << 20)
+    held = runtime.totalMemory() - runtime.freeMemory()
+    del data  # the JVM's array lives until Python's reference is collected
+    common.relieve(spark)
+    assert held - (runtime.totalMemory() - runtime.freeMemory()) > 48 << 20
+
+
 def shingles(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")) if w]
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
