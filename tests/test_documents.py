@@ -521,6 +521,44 @@ def test_first_arrivals_take_rows():
     assert kept == [(100,), (120,), (140,), 111 * 86_400_000]
 
 
+def test_first_arrivals_call_the_state_once_for_many_keys(monkeypatch):
+    """All keys of a bucket cost one read, one write and one timer; parts are united, and days fall out behind the horizon."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from denpyo.streaming import dedup
+
+    calls, state = [], []
+    parts = SimpleNamespace(
+        get=lambda: (calls.append("get"), iter(list(state)))[1], appendList=lambda new: (calls.append("append"), state.extend(new)),
+        put=lambda new: (calls.append("put"), state.clear(), state.extend(new)), clear=lambda: (calls.append("clear"), state.clear()))
+    processor = dedup.BucketArrivals(10)
+    processor.init(SimpleNamespace(getListState=lambda *_: parts, registerTimer=calls.append))
+
+    def deliver(day, *keys):
+        calls.clear()
+        rows = [Row(doc_id=f"{k}{i}", vendor=k, document_no="n", at=day * 10 + i, day=day) for i in (1, 0) for k in keys]
+        return sorted(r.doc_id for r in processor.handleInputRows((7,), iter(rows), None))
+
+    many = [f"k{i:03d}" for i in range(500)]
+    assert deliver(100, *many) == [f"{k}0" for k in many]
+    assert calls == ["get", "append", 111 * 86_400_000]
+    assert deliver(105, *many, "new") == ["new0"] and calls == ["get", "append"]
+    assert deliver(110, *many, "new") == [] and calls == ["get"]
+    assert deliver(111, "k000", "new") == ["k0000"] and len(state) == 3
+    monkeypatch.setattr(dedup, "PARTS", 3)
+    assert deliver(99, "first") == ["first0"] and calls == ["get", "put", 110 * 86_400_000] and len(state) == 1
+    calls.clear()
+    for at, left in ((110, 502), (111, 2), (116, 1), (122, 0)):
+        expired = SimpleNamespace(getExpiryTimeInMs=lambda at=at: at * 86_400_000)
+        assert list(processor.handleExpiredTimer((7,), None, expired)) == []
+        assert sum(len(part[2]) for part in state) == left
+    assert calls[-1] == "clear"
+    processor.handleInitialState((7,), Row(bucket=7, vendors=["k000", "x"], numbers=["n", "n"], days=[100, 90]), None)
+    assert deliver(101, "k000", "x") == ["x0"]
+
+
 def test_rendered_documents_are_not_stored(spark, monkeypatch):
     """Only narrow rows are dealt to tasks, whose number grows with them."""
     from fixtures import render
