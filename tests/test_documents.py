@@ -559,6 +559,24 @@ def test_first_arrivals_call_the_state_once_for_many_keys(monkeypatch):
     assert deliver(101, "k000", "x") == ["x0"]
 
 
+def test_checks_and_known_keys_without_lambdas_and_lists(spark):
+    """What is computed for a check stays in generated code, a key is looked up in a set, and nulls count as before."""
+    df = spark.createDataFrame([(1, "x"), (-1, "x"), (None, None)], "n int, s string")
+    found = df.select(validate.collect([
+        (F.col("n") < 0, validate.error("low", "n", "below zero")), (F.col("s") == "x", validate.error("x", F.col("s"), "is x"))]).alias("errors"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [[(e.code, e.path) for e in r.errors] for r in found.collect()] == [[("x", "x")], [("low", "n"), ("x", "x")], []]
+    assert validate.collect([]) is not None and df.select(validate.collect([]).alias("e")).first().e == []
+
+    entry = ("key string, value string, source string, field_value string")
+    rows = [("INVOICE", None, [("InvoiceNumber", "1", "f", "1"), ("Tax", "", "f", None), ("other", "v" * 120, "f", ""), ("more", "", "f", None)]),
+            (None, None, [("InvoiceNumber", "1", "f", "2"), (None, "1", "f", "1")])]
+    keyed = mapping.with_keys(spark.createDataFrame(rows, f"doc_type string, vendor string, entries array<struct<{entry.replace(' string', ':string')}>>"))
+    out = keyed.select(mapping.unmapped_fields().alias("u"))
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [[tuple(u) for u in r.u] for r in out.collect()] == [[("other", "v" * 100, "f")], [("InvoiceNumber", "2", "f")]]
+
+
 def test_rendered_documents_are_not_stored(spark, monkeypatch):
     """Only narrow rows are dealt to tasks, whose number grows with them."""
     from fixtures import render
